@@ -140,3 +140,41 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
         out = (out + hashes[k : k + size]) * _STEPS[k % 5]
         out ^= out >> U(29)
     return mix(out)
+
+
+def pack(**columns: np.ndarray) -> bytes:
+    """Equal-length columns as one compressed blob; sorted keys go as differences."""
+    import zstandard
+
+    out = []
+    for name, a in columns.items():
+        a = np.ascontiguousarray(a)
+        if name == "key":
+            a = np.diff(a, prepend=a.dtype.type(0))
+        out.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def unpack(blob: bytes, **kinds: str) -> dict[str, np.ndarray]:
+    """The columns of ``pack``, given their dtypes in the same order."""
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    sizes = {k: np.dtype(v).itemsize for k, v in kinds.items()}
+    n, at, out = len(raw) // sum(sizes.values()), 0, {}
+    for k, v in kinds.items():
+        a = np.ascontiguousarray(raw[at : at + n * sizes[k]].reshape(sizes[k], n).T).reshape(-1).view(v)
+        out[k] = np.cumsum(a, dtype=a.dtype) if k == "key" else a
+        at += n * sizes[k]
+    return out
+
+
+def unpack_all(blobs, **kinds: str) -> dict[str, np.ndarray]:
+    parts = [unpack(b, **kinds) for b in blobs]
+    return {k: np.concatenate([p[k] for p in parts]) for k in kinds}
+
+
+def text_bytes(docs: DataFrame) -> int:
+    from pyspark.sql import functions as F
+
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
