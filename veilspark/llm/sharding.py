@@ -41,14 +41,9 @@ def range_of(splitters: list[int]) -> Column:
     """Splitters at or below the key, found by halving."""
     steps = max(1, len(splitters).bit_length())
     padded = F.split(F.lit(",".join(map(str, [*splitters, *[(1 << 63) - 1] * ((1 << steps) - len(splitters))]))), ",").cast("array<bigint>")
-    found: Column = F.lit(0)
 
-    def step(width: int):
-        return lambda x: x + F.when(F.element_at(padded, x + width) <= F.col("key"), width).otherwise(0)
-
-    for k in reversed(range(steps)):
-        found = F.transform(F.array(found), step(1 << k))[0]
-    return found
+    widths = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
+    return F.aggregate(widths, F.lit(0), lambda at, w: at + F.when(F.get(padded, at + w - 1) <= F.col("key"), w).otherwise(0))
 
 
 def split(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
