@@ -2,7 +2,7 @@
 
 The lexicon is learned from labelled rows: words far more frequent among toxic
 documents.  Each word of a text runs as a Levenshtein automaton against the trie, so
-misspelled terms match within one edit (two for long terms).  The words around a match
+misspelled terms match within one edit.  The words around a match
 are its context: quotation marks and learned context weights separate a quoted term
 from an abusive one.  A logistic unit turns the matches of a document into a score.
 """
@@ -20,17 +20,17 @@ from pyspark.sql import functions as F
 from .quality_classifier import held_out, sample_of
 
 #: Labelled rows that lexicon and weights are learned from, at most; terms of the lexicon, at most.
-SAMPLE, TERMS = 16_000, 512
+SAMPLE, TERMS = 10_000, 512
 #: Words on each side of a match that are its context; words remembered by a worker.
 CONTEXT, CACHE = 6, 2_000_000
-#: Length from which a term may be misspelled by one edit, by two.
-ONE_EDIT, TWO_EDITS = 5, 9
+#: Length from which a term may be misspelled, and by how many edits.
+MISSPELLED, EDITS = 5, 1
 QUOTES = "\"“”„«»‹›'‘’"
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def edits_allowed(term: str) -> int:
-    return 2 if len(term) >= TWO_EDITS else 1 if len(term) >= ONE_EDIT else 0
+    return EDITS if len(term) >= MISSPELLED else 0
 
 
 def build_trie(terms: list[str]) -> dict:
@@ -49,7 +49,6 @@ def intersect(word: str, trie: dict, terms: list[str]) -> tuple[int, int] | None
     The automaton's state is the row of edit distances between the trie's path and
     every prefix of the word; a path dies when its whole row exceeds the most edits.
     """
-    most = 2 if len(word) >= TWO_EDITS - 2 else 1 if len(word) >= ONE_EDIT - 1 else 0
     best: tuple[int, int] | None = None
     stack = [(trie, list(range(len(word) + 1)))]
     while stack:
@@ -62,7 +61,7 @@ def intersect(word: str, trie: dict, terms: list[str]) -> tuple[int, int] | None
                 new = [row[0] + 1]
                 for k, w in enumerate(word):
                     new.append(min(new[k] + 1, row[k + 1] + 1, row[k] + (w != c)))
-                if min(new) <= most:
+                if min(new) <= EDITS:
                     stack.append((child, new))
     return best
 
@@ -75,16 +74,30 @@ class Lexicon:
         self.coefficients = np.zeros(7)
 
     def matcher(self):
-        """Word -> (term, edits) or None, remembered."""
-        trie, known = build_trie(self.terms), {}
+        """Word -> (term, edits) or None, remembered.
+
+        One edit leaves a term's first or second half whole, so a word that begins with
+        no first half and ends with no second half is refused before its automaton runs.
+        """
+        trie, known = build_trie(self.terms), {t: (i, 0) for i, t in enumerate(self.terms)}
+        heads, tails = {t[: len(t) // 2] for t in self.terms}, {t[len(t) // 2 :] for t in self.terms}
+        head_sizes, tail_sizes = sorted({len(x) for x in heads}), sorted({len(x) for x in tails})
+        terms = dict(known)
+
+        def find(word: str) -> tuple[int, int] | None:
+            bare = _EDGES.sub("", word)
+            if bare in terms:
+                return terms[bare]
+            if len(bare) < MISSPELLED - EDITS or not (any(bare[:k] in heads for k in head_sizes) or any(bare[-k:] in tails for k in tail_sizes)):
+                return None
+            return intersect(bare, trie, self.terms)
 
         def match(word: str) -> tuple[int, int] | None:
             if word in known:
                 return known[word]
             if len(known) > CACHE:
                 known.clear()
-            bare = _EDGES.sub("", word)
-            known[word] = found = intersect(bare, trie, self.terms) if len(bare) > 1 else None
+            known[word] = found = find(word)
             return found
 
         return match
