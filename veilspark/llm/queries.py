@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, ngram_lm, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, toxicity
+from . import decontaminate, merge_dropout, ngram_join, ngram_lm, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, toxicity
 from .common import documents
 
 
@@ -36,6 +36,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return merge_dropout.round_trip(documents(spark, sf_dir), str(public_tokenizers.path("piece_bpe_32k.model")), seed=7)
+
+
 def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.evaluate(documents(spark, sf_dir))
 
@@ -50,7 +56,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_quality_rules, op4_decontaminate, op5_quality_classifier, op6_toxicity, op8_ngram_lm, op9_token_counts, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_quality_rules, op4_decontaminate, op5_quality_classifier, op6_toxicity, op7_sentencepiece, op8_ngram_lm, op9_token_counts, op10_suffix_dedup)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
