@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,6 @@ def hmac_hex(value: Column, scope: str, key: bytes) -> Column:
 
 def hmac_hex_hidden(value: Column, scope: str, key: bytes) -> Column:
     """The same digest by an Arrow UDF, whose closure hides the key from plan and event log."""
-    import hmac
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def digest(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else hmac.new(key, f"{scope}:{v}".encode(), "sha256").hexdigest())
