@@ -120,5 +120,5 @@ def inject_orphans(frames: dict[str, DataFrame], count: int) -> tuple[DataFrame,
 
 def row_counts(frames: dict[str, DataFrame], entities: dict[str, list[str]]) -> DataFrame:
     """entity, n: rows of each logical entity, which may have several frames."""
-    parts = [frames[f].select(F.lit(entity).alias("entity")) for entity, names in entities.items() for f in names]
-    return reduce(DataFrame.unionByName, parts).groupBy("entity").agg(F.count("*").alias("n"))
+    parts = [frames[f].agg(F.count("*").alias("n")).select(F.lit(entity).alias("entity"), "n") for entity, names in entities.items() for f in names]
+    return reduce(DataFrame.unionByName, parts).groupBy("entity").agg(F.sum("n").alias("n"))
