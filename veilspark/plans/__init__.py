@@ -1,6 +1,6 @@
 """Queries that bind the operators to the given tables, with DuckDB equivalents."""
 
-from . import masking_queries, quality_queries, registry_queries, selection_queries  # noqa: F401
+from . import generate_queries, masking_queries, quality_queries, registry_queries, selection_queries, source_queries, streaming_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

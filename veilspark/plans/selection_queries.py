@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keyed import pick_order, pick_order_sql
+from ..functions.keyed import hmac_sql, pick_order, pick_order_sql
 from ..operators import closure as C
+from ..operators import masking as M
 from ..operators import selection as S
-from .base import ESTATE, ORACLES, QUERIES, SEED, WITH, entity, estate, query
+from .base import ESTATE, KEY, ORACLES, QUERIES, SEED, WITH, entity, estate, query
 
 ORDER = pick_order_sql(SEED, "member_id")
 ANCHOR = f"anchor AS (SELECT member_id FROM (SELECT member_id, row_number() OVER (ORDER BY {ORDER}, member_id) AS place FROM member) WHERE place <= (SELECT greatest(1, round_even(count(*) * 2 / 100.0, 0)) FROM member))"
@@ -248,3 +249,19 @@ def predicate_malformed(spark, sf_dir):
 
 
 assert set(NAMES) == set(ESTATE)
+
+
+@query("flagship", f"""{WITH}, {ANCHOR}, c AS (SELECT claim_id, member_id FROM claim WHERE member_id IN (SELECT member_id FROM anchor)), l AS (SELECT claim_id, count(*) AS n FROM claim_line GROUP BY claim_id)
+SELECT m.gender AS segment, count(DISTINCT m.member_id) AS n_members, count(c.claim_id) AS n_claims, CAST(coalesce(sum(l.n), 0) AS BIGINT) AS n_lines, min('TKN-' || upper(substr({hmac_sql('m.member_id', 'member-id-global', KEY)}, 1, 12))) AS sample_member
+FROM member m LEFT JOIN c ON c.member_id = m.member_id LEFT JOIN l ON l.claim_id = c.claim_id WHERE m.member_id IN (SELECT member_id FROM anchor) GROUP BY m.gender""")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closed 2 % subset of members, claims and lines with masked members, by market segment.
+
+    Lines and claims are counted before they meet members, so no join multiplies rows.
+    """
+    f, _ = closed(spark, sf_dir, "claim_line")
+    lines = f["claim_line"].groupBy("claim_id").agg(F.count("*").alias("n"))
+    claims = f["claim"].select("claim_id", "member_id").join(lines, "claim_id", "left").groupBy("member_id").agg(F.count("*").alias("claims"), F.sum("n").alias("lines"))
+    members = f["member"].select("member_id", F.col("gender").alias("segment"), M.token(M.Masker(KEY, hidden=False).digest(F.col("member_id"), "member-id-global")).alias("token"))
+    zero = F.lit(0).cast("long")
+    return members.join(claims, "member_id", "left").groupBy("segment").agg(F.count("*").alias("n_members"), F.coalesce(F.sum("claims"), zero).alias("n_claims"), F.coalesce(F.sum("lines"), zero).alias("n_lines"), F.min("token").alias("sample_member"))
