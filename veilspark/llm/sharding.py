@@ -37,10 +37,15 @@ def sample_keys(rows: DataFrame, rate: float, salt: int) -> list[int]:
     return sorted(r.key for r in rows.where(chance < F.col("size") * F.lit(rate)).select("key").collect())
 
 
+def literals(numbers: list[int]) -> Column:
+    """A constant array of longs: a few hundred, by RANGES."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
+
 def range_of(splitters: list[int]) -> Column:
     """Splitters at or below the key, found by halving."""
     steps = max(1, len(splitters).bit_length())
-    padded = F.split(F.lit(",".join(map(str, [*splitters, *[(1 << 63) - 1] * ((1 << steps) - len(splitters))]))), ",").cast("array<bigint>")
+    padded = literals([*splitters, *[(1 << 63) - 1] * ((1 << steps) - len(splitters))])
 
     widths = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
     return F.aggregate(widths, F.lit(0), lambda at, w: at + F.when(F.get(padded, at + w - 1) <= F.col("key"), w).otherwise(0))
@@ -52,7 +57,6 @@ def split(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     A null text counts one byte.  Repeated rows keep their copies and get slots of
     their own; null ids are records like others; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     rows = cut(records(docs))
     total = rows.agg(F.sum("size").alias("size")).first().size or 0
     if not total:
@@ -73,13 +77,13 @@ def split(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             parts = 2 + int(s["size"] * RANGES / total)
             splitters += [own[i * len(own) // parts] for i in range(1, parts) if own]
         splitters = sorted(set(splitters))
-    before, taken, plan = 0, [0] * shards, []
+    before, taken = 0, [0] * shards
+    shard_of, first_of = [0] * (len(splitters) + 1), [0] * (len(splitters) + 1)
     for s in sorted(stats, key=lambda s: s["range"]):
         shard = min(shards - 1, int((before + s["size"] / 2) * shards / total))
-        plan.append((s["range"], shard, taken[shard]))
+        shard_of[s["range"]], first_of[s["range"]] = shard, taken[shard]
         taken[shard] += s["n"]
         before += s["size"]
-    ranges = spark.createDataFrame(plan, "range int, shard int, first long")
     slot = F.row_number().over(Window.partitionBy("range").orderBy("key", "doc_id")) - 1
-    dealt = placed.withColumn("slot", slot).join(F.broadcast(ranges), "range")  # a few hundred rows, by RANGES
+    dealt = placed.select("*", slot.alias("slot"), F.get(literals(shard_of), F.col("range")).cast("int").alias("shard"), F.get(literals(first_of), F.col("range")).alias("first"))
     return dealt.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("first")).cast("long").alias("slot"))
