@@ -72,7 +72,7 @@ class Generator:
     def rows(self, seeds: DataFrame, seed: int) -> DataFrame:
         df, i = seeds, "i"
         if self.fan:
-            df = df.withColumn("j", F.explode(F.expr("filter(sequence(1, greatest(1, {0})), x -> x <= {0})".format(f"CAST({render(self.fan, SPARK, seed)} AS INT)"))))
+            df = df.withColumn("j", F.explode(F.expr("filter(sequence(1L, greatest(1L, {0})), x -> x <= {0})".format(f"CAST({render(self.fan, SPARK, seed)} AS BIGINT)"))))
             df, i = df.withColumn("ij", F.col("i") * 1000 + F.col("j")), "ij"
         df = df.selectExpr(*(f"{render(t, SPARK, seed, i)} AS {c}" for c, t in self.columns.items()), *([f"{render(self.keep, SPARK, seed, i)} AS keep_"] if self.keep else []))
         return df.where("keep_").drop("keep_") if self.keep else df
@@ -121,7 +121,7 @@ def claim_with_lines(claims: DataFrame, seed: int) -> DataFrame:
     cents = lambda e: f"floor(({e}) * 100 + 0.5) / 100"
     priced = claims.selectExpr("*", f"{cents(f'billed * (0.5 + 0.4 * {u("allowed")})')} AS allowed")
     priced = priced.selectExpr("*", f"CASE WHEN status <> 'denied' THEN {cents(f'allowed * (0.6 + 0.4 * {u("paid")})')} END AS paid")
-    return priced.withColumn("line_number", F.explode(F.sequence(F.lit(1), F.col("n_lines")))).withColumn("charge", F.expr(cents("billed / n_lines")))
+    return priced.withColumn("line_number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_lines").cast("long")))).withColumn("charge", F.expr(cents("billed / n_lines")))
 
 
 def tag(df: DataFrame, provenance: str, batch: str, scenario: str | None = None) -> DataFrame:
