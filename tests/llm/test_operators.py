@@ -245,6 +245,13 @@ def test_texts_survive(text, seed):
     assert special + sum(len(e.ids) for e in t.encode_batch(found, add_special_tokens=False)) == len(t.encode(text, add_special_tokens=False).ids)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcdetionrs▁ É", max_size=40), st.integers(0, 2**63))
+def test_both_agendas_merge_alike(chunk, key):
+    c = merge_dropout.codec(PIECES, 0, 0.3)
+    assert c.merge_list(list(chunk), key) == c.merge_heap(list(chunk), key)
+
+
 def test_no_dropout_is_the_library(spark):
     from sentencepiece import SentencePieceProcessor
 

@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from .common import U, mix, slices
 #: Chance that an offered merge is skipped; variants of a word's segmentation; cached chunks of a worker.
 DROPOUT, VARIANTS, CACHE = 0.1, 4, 1_200_000
 META = "▁"
+#: Characters of a chunk up to which its agenda is a list; the rank of no piece.
+SHORT, NONE = 48, 1 << 60
 _CHUNKS = re.compile(r" *[^ ]+| +").findall
 _MASK = (1 << 64) - 1
 
@@ -40,7 +43,6 @@ class Codec:
         model = SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         self.id: dict[str, int] = {}
-        self.score: dict[str, float] = {}
         self.bytes_id = [0] * 256
         raw = [b""] * size
         for i in range(size):
@@ -51,77 +53,115 @@ class Codec:
                 raw[i] = bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i)):
                 self.id[piece] = i
-                self.score[piece] = -model.get_score(i)
                 raw[i] = piece.replace(META, " ").encode()
         self.length = np.array([len(b) for b in raw], np.int64)
         self.at = np.append(0, np.cumsum(self.length))[:-1]
         self.table = np.frombuffer(b"".join(raw), np.uint8)
+        order = sorted(self.id, key=lambda p: (-model.get_score(self.id[p]), self.id[p]))
+        self.rank = {p: r for r, p in enumerate(order)}
+        self.noise = np.random.default_rng(seed).integers(1 << 63, size=len(order)).tolist()
         self.limit = int(dropout * (1 << 64))
         self.keys = [int.from_bytes(hashlib.blake2b(f"{seed}:{v}".encode(), digest_size=8).digest(), "big") for v in range(VARIANTS)]
         self.seed = seed
         self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
 
     def merge(self, chunk: str, variant: int) -> bytes:
-        """Piece ids of one chunk, four bytes each."""
-        symbols: list[str | None] = list(chunk.replace(META, "\0\0").replace(" ", META)) if META not in chunk else [META if c == " " else c + "\0" if c == META else c for c in chunk]
-        n = len(symbols)
-        score, ids, key = self.score, self.id, self.keys[variant] ^ zlib.crc32(chunk.encode()) * 0x9E3779B97F4A7C15
+        """Piece ids of one chunk, four bytes each.
+
+        A short chunk keeps its agenda as a list of the ranks of adjacent pairs, a long
+        one as a heap; both offer the best rank first, the leftmost of equals.
+        """
+        if META in chunk:
+            parts = [META if c == " " else c + "\0" if c == META else c for c in chunk]
+        else:
+            parts = list(chunk.replace(" ", META))
+        key = self.keys[variant] ^ (zlib.crc32(chunk.encode()) * 0x9E3779B97F4A7C15 & _MASK)
+        parts = (self.merge_list if len(parts) <= SHORT else self.merge_heap)(parts, key)
+        ids = self.id
+        try:
+            out = [ids[s] for s in parts]
+        except KeyError:
+            out = []
+            for s in parts:
+                if s in ids:
+                    out.append(ids[s])
+                else:
+                    out += [self.bytes_id[b] for b in (s if s == "\0" else s.rstrip("\0")).encode()]
+        return array("i", out).tobytes()
+
+    def merge_list(self, parts: list[str], key: int) -> list[str]:
+        rank, noise, limit = self.rank.get, self.noise, self.limit
+        ranks = [rank(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        place = list(range(1, 2 * len(parts), 2))
+        while ranks:
+            best = min(ranks)
+            if best == NONE:
+                break
+            i = ranks.index(best)
+            if (noise[best] + key) * place[i] & _MASK < limit:
+                ranks[i] = NONE
+                continue
+            parts[i] += parts.pop(i + 1)
+            del place[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], NONE)
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], NONE)
+        return parts
+
+    def merge_heap(self, parts: list[str | None], key: int) -> list[str]:
+        rank, n = self.rank.get, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if (s := score.get(pair)) is not None:
-                agenda.append((s, i, pair))
+        agenda = [(r, i) for i in range(n - 1) if (r := rank(parts[i] + parts[i + 1])) is not None]
         heapq.heapify(agenda)
         while agenda:
-            _, i, pair = heapq.heappop(agenda)
-            j = after[i] if symbols[i] is not None else n
-            if j >= n or symbols[i] + symbols[j] != pair:
+            r, i = heapq.heappop(agenda)
+            if parts[i] is None or (j := after[i]) >= n or rank(parts[i] + parts[j]) != r:
                 continue
-            h = (key + ids[pair] * 0xD6E8FEB86659FD93 + i * 0xA0761D6478BD642F) & _MASK
-            h = ((h ^ (h >> 32)) * 0xBF58476D1CE4E5B9) & _MASK
-            if (h ^ (h >> 29)) * 0x94D049BB133111EB & _MASK < self.limit:
+            if (self.noise[r] + key) * (2 * i + 1) & _MASK < self.limit:
                 continue
-            symbols[i], symbols[j] = pair, None
+            parts[i] += parts[j]
+            parts[j] = None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                new = pair + symbols[k]
-                if (s := score.get(new)) is not None:
-                    heapq.heappush(agenda, (s, i, new))
+                if (r := rank(parts[i] + parts[k])) is not None:
+                    heapq.heappush(agenda, (r, i))
             k = before[i]
-            if k >= 0:
-                new = symbols[k] + pair
-                if (s := score.get(new)) is not None:
-                    heapq.heappush(agenda, (s, k, new))
-        out: list[int] = []
-        for s in symbols:
-            if s is not None:
-                i = ids.get(s)
-                if i is None:
-                    out += [self.bytes_id[b] for b in s.rstrip("\0").encode()] if s != "\0" else [self.bytes_id[0]]
-                else:
-                    out.append(i)
-        return np.array(out, np.int32).tobytes()
+            if k >= 0 and (r := rank(parts[k] + parts[i])) is not None:
+                heapq.heappush(agenda, (r, k))
+        return [p for p in parts if p is not None]
+
+    def remembered(self, chunk: str, variant: int) -> bytes:
+        """A chunk that the younger half of the cache lacks; the older half is dropped when the younger is full."""
+        ids = self.older[variant].get(chunk)
+        if ids is None:
+            ids = self.merge(chunk, variant)
+        own = self.known[variant]
+        if len(own) >= CACHE // (2 * VARIANTS):
+            self.older[variant], self.known[variant] = own, (own := {})
+        own[chunk] = ids
+        return ids
 
     def encode(self, text: str | None, key: int = 0) -> np.ndarray:
-        """Piece ids of a text; ``key`` varies the segmentation from document to document."""
+        """Piece ids of a text; ``key`` varies the segmentation from document to document.
+
+        A chunk's variant is its place plus the hash of seed and key, modulo the variants.
+        """
         chunks = _CHUNKS(text or "")
         if not chunks:
             return np.zeros(0, np.int32)
-        variants = (mix(np.arange(len(chunks), dtype=U) + U((key * 0x9E3779B97F4A7C15 + self.seed) & _MASK)) % U(VARIANTS)).tolist()
-        known = self.known
-        found = [known[v].get(c) for v, c in zip(variants, chunks, strict=True)]
-        if None in found:
-            for k, ids in enumerate(found):
-                if ids is None:
-                    own = known[variants[k]]
-                    ids = own.get(chunks[k])
-                    if ids is None:
-                        if len(own) > CACHE // VARIANTS:
-                            own.clear()
-                        ids = own[chunks[k]] = self.merge(chunks[k], variants[k])
-                    found[k] = ids
+        first = int(mix(np.array([(key * 0x9E3779B97F4A7C15 + self.seed) & _MASK], U))[0] % U(VARIANTS))
+        found: list[bytes | None] = [None] * len(chunks)
+        for k in range(VARIANTS):
+            variant, mine = (first + k) % VARIANTS, chunks[k::VARIANTS]
+            ids = list(map(self.known[variant].get, mine))
+            if None in ids:
+                for n, got in enumerate(ids):
+                    if got is None:
+                        ids[n] = self.known[variant].get(mine[n]) or self.remembered(mine[n], variant)
+            found[k::VARIANTS] = ids
         return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
