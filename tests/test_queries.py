@@ -7,6 +7,7 @@ import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from veilspark.plans import ORACLES, QUERIES
@@ -25,7 +26,7 @@ def db():
 
 
 def value(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
         return None
     if isinstance(v, bool) or type(v).__name__ in ("bool_", "bool"):
         return str(bool(v))
