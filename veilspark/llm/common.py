@@ -51,7 +51,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``size`` bytes of text; a longer text is a run by itself."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total, start = np.cumsum(lengths), 0
@@ -60,6 +60,7 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 21) -> Iterator[
         stop = max(start + 1, int(np.searchsorted(total, before + size, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
