@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, U, Words, ensure_checkpoint_dir, flat, mix, pack, slices, text_bytes, unpack_all
 
 #: Bytes of text for each shard of the model, for each flush of a counting task, for each slice scored at once.
-SHARD_BYTES, FLUSH_BYTES, SLICE_BYTES = 24 << 20, 24 << 20, 4 << 20
+SHARD_BYTES, FLUSH_BYTES, SLICE_BYTES = 16 << 20, 16 << 20, 2 << 20
 END, START = U(0x9AE16A3B2F90404F), U(0xC949D7C7509E6557)
 PAIR = {"key": "uint64", "word": "uint64", "n": "uint32"}
 #: Of a word: tokens it precedes; followers seen once, twice, more often; different words before it; tokens that it is.
