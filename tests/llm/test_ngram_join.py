@@ -56,6 +56,20 @@ def test_components_equal_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join.near_duplicates(df).collect())) == want
 
 
+def test_lone_pairs_equal_brute_force(spark):
+    r = random.Random(3)
+    rows = []
+    for size in range(4, 41):
+        for pair in range(16):
+            w = [f"p{size}x{pair}x{k}" for k in range(size + 4)]
+            cut = r.randint(1, max(1, size // 4))
+            a = r.randint(0, cut)
+            rows += [" ".join(w), " ".join(w[a : len(w) - cut + a])]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, ngram_join.near_duplicates(df).collect())) == brute(rows)
+
+
 def test_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(3, text, "a"), (1, text + " x", "b"), (1, text + " x", "b"), (2, "other words here", "c"), (4, None, None), (None, text, "d"), (5, "", "e")]

@@ -15,7 +15,9 @@ which loses no component.  Families larger than a task's bound are cut by size b
 
 The index takes the lower half of the hash space: of ``m`` indexed shingles no more
 than ``d`` can be missing from a linked document, as of the whole set.  Where half a
-set does not exceed ``d`` the whole set is indexed.
+set does not exceed ``d`` the whole set is indexed.  Halves and whole sets are counted
+apart, so that two documents order the same shingles alike: a document that may be
+linked to a wholly indexed one, as its half is small too, is indexed both ways.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ WORDS, PERCENT = 5, 75
 SHARD_BYTES, BLOCK_BYTES = 16 << 20, 16 << 20
 #: Bytes of shingles of a family that one task takes, and documents of a tile.
 FAMILY_BYTES, TILE = 48 << 20, 256
-#: Bits of an indexed shingle.
+#: Bits of an indexed shingle; the mark of one of a whole set.
 BITS = 48
+WHOLE = U(1 << BITS)
 BAND = float(np.log(100 / PERCENT))
 
 
@@ -61,6 +64,21 @@ def missing(n):
     return n - -(-n * PERCENT // 100)
 
 
+def indexed(s: np.ndarray) -> list[np.ndarray]:
+    """Keys of a sorted set by half, by the whole, or both ways.
+
+    A linked partner has at least p n shingles, p the least similarity, and if its half
+    is no more than the share 1 - p of its own set, then at most (1 - p * p) n lie in
+    this half.
+    """
+    half, out = s[: np.searchsorted(s, U(1 << 63))], []
+    if len(half) > missing(len(s)):
+        out.append(half >> U(64 - BITS))
+    if not out or len(half) * 10_000 <= (10_000 - PERCENT * PERCENT) * len(s):
+        out.append(s >> U(64 - BITS) | WHOLE)
+    return [k[np.append(True, k[1:] != k[:-1])] if len(k) else k for k in out]
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and the 128-bit identity of the set of every row."""
 
@@ -75,20 +93,19 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def index(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Shingles of blocks of documents, packed by shard; shard 0 also carries the block's documents."""
+    """Shingles of blocks of documents, packed by shard; shard 0 also carries the block's documents, once for each way they are indexed."""
     from pyspark import TaskContext
 
     task = TaskContext.get().partitionId() << 32
 
     def block(number: int, ids: list[np.ndarray], sets: list[np.ndarray]) -> pa.RecordBatch:
-        keys, sizes, n = [], np.zeros(len(sets), np.int64), np.array([len(s) for s in sets], np.int64)
+        keys, of_doc = [], []
         for i, s in enumerate(sets):
-            half = s[: np.searchsorted(s, U(1 << 63))]
-            key = (half if len(half) > missing(len(s)) else s) >> U(64 - BITS)
-            key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-            sizes[i] = len(key)
-            keys.append(key)
-        key, doc = np.concatenate(keys), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+            for key in indexed(s):
+                keys.append(key)
+                of_doc.append(i)
+        sizes, n = np.array([len(k) for k in keys], np.int64), np.array([len(sets[i]) for i in of_doc], np.int64)
+        key, doc = np.concatenate(keys), np.repeat(np.arange(len(keys), dtype=np.uint32), sizes)
         of = (mix(key) % U(shards)).astype(np.int64)
         order = np.lexsort((key, of))
         bounds = np.searchsorted(of[order], np.arange(shards + 1))
@@ -99,7 +116,7 @@ def index(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
                 rows["shard"].append(s)
                 rows["block"].append(task + number)
                 rows["keys"].append(pack(key=key[mine], doc=doc[mine]))
-                rows["meta"].append(pack(id=np.concatenate(ids), n=n, m=sizes) if s == 0 else None)
+                rows["meta"].append(pack(id=np.concatenate(ids)[of_doc], n=n, m=sizes) if s == 0 else None)
         return pa.RecordBatch.from_pydict({"shard": pa.array(rows["shard"], pa.int32()), "block": pa.array(rows["block"], pa.int64()), "keys": pa.array(rows["keys"], pa.binary()), "meta": pa.array(rows["meta"], pa.binary())})
 
     number, ids, sets, size = 0, [], [], 0
