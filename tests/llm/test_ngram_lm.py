@@ -58,3 +58,46 @@ def test_next_words_sum_to_one(spark):
 
 def test_empty_table(spark):
     assert ngram_lm.evaluate(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def brute_three(rows):
+    """Scores of the model of order three with dictionaries of words."""
+    toks = {d: ["<s>", *re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), "</s>"] for d, t in rows}
+    train = [toks[d] for d, _ in rows if zlib.crc32(str(d).encode()) % 5 != 1]
+    raw, triples, words = Counter(), Counter(), Counter()
+    for t in train:
+        raw.update(zip(t, t[1:], strict=False))
+        triples.update(zip(t, t[1:], t[2:], strict=False))
+        words.update(t[1:])
+    pairs, left, after2, after3 = Counter({k: n for k, n in raw.items() if k[0] == "<s>"}), Counter(), defaultdict(list), defaultdict(list)
+    for u, v, w in triples:
+        pairs[v, w] += 1
+        after3[u, v].append(triples[u, v, w])
+    for v, w in pairs:
+        left[w] += 1
+        after2[v].append(pairs[v, w])
+    of = lambda c: ngram_lm.discounts(*(sum(1 for n in c.values() if n == k) for k in (1, 2, 3, 4)))
+    d3, d2, d1 = of(triples), of(pairs), of(left)
+    less = lambda n, d: max(0, n - d[min(3, n)])
+    out = {}
+    for doc, t in toks.items():
+        s = 0.0
+        for i in range(1, len(t)):
+            v, w = t[i - 1], t[i]
+            p = (less(left[w], d1) + sum(d1[min(3, n)] for n in left.values()) / (len(words) + 1)) / sum(left.values())
+            if after2[v]:
+                p = (less(pairs[v, w], d2) + sum(d2[min(3, n)] for n in after2[v]) * p) / sum(after2[v])
+            if i > 1 and after3[t[i - 2], v]:
+                seen = after3[t[i - 2], v]
+                p = (less(triples[t[i - 2], v, w], d3) + sum(d3[min(3, n)] for n in seen) * p) / sum(seen)
+            s += math.log10(p)
+        out[doc] = s
+    return out
+
+
+def test_order_three_equals_dictionaries(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{k}" for k in r.zipf(1.4, r.integers(0, 60)) % 50)) for i in range(300)] + [(900, None), (902, "the " * 1000)]
+    got = ngram_lm.evaluate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order=3).collect()
+    assert {x.doc_id: x.score for x in got} == pytest.approx(brute_three(rows), rel=1e-9)
+    assert ngram_lm.evaluate(spark.createDataFrame([], "doc_id long, text string"), order=3).collect() == []

@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney language model of order two.
+"""Interpolated modified Kneser-Ney language model of order two or three.
 
 Tokens are words and one end for each text; the first token's context is a start.
 Words and bigrams are known by 64-bit hashes.  Bigrams are counted in Spark: tasks pack
@@ -13,6 +13,12 @@ p(w | v) = max(c(vw) - D, 0) / c(v) + (D1 n1 + D2 n2 + D3 n3)(v) / c(v) * p(w),
 discounts D1, D2, D3 for counts 1, 2 and 3 or more, n1, n2, n3 the followers of v seen
 so often; p(w) counts the different words before w in the same way and is interpolated
 with the uniform distribution over all types and one unknown.
+
+In order three p(w | u v) has that form with counts of trigrams, and p(w | v) takes the
+number of different words before ``v w`` for c(vw); where v is the start it takes the
+count itself, and no trigram is asked for.  A trigram is known by the hashes of its two
+bigrams and is counted in the shard of the first, where that bigram is counted too; the
+shard tells the second bigram's shard how many words precede it.
 """
 
 from __future__ import annotations
@@ -35,10 +41,13 @@ from .common import SPACE, U, Words, ensure_checkpoint_dir, flat, mix, pack, sli
 #: Bytes of text for each shard of the model, for each flush of a counting task, for each slice scored at once.
 SHARD_BYTES, FLUSH_BYTES, SLICE_BYTES = 16 << 20, 16 << 20, 2 << 20
 END, START = U(0x9AE16A3B2F90404F), U(0xC949D7C7509E6557)
+LEFT = {"key": "uint64", "n": "uint32"}
 PAIR = {"key": "uint64", "word": "uint64", "n": "uint32"}
 #: Of a word: tokens it precedes; followers seen once, twice, more often; different words before it; tokens that it is.
 WORD = {"key": "uint64", "total": "uint64", "n1": "uint32", "n2": "uint32", "n3": "uint32", "left": "uint32", "count": "uint64"}
 _FEW = 255
+#: Of a bigram in order three: its count; followers seen once, twice, more often; different words before it.
+ROW = ("n", "n1", "n2", "n3", "left")
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,6 +60,19 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return word, before, count
 
 
+def earlier(before: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hash of the token two places before every token, the start where there is none."""
+    out = np.append(START, before[:-1])
+    out[np.append(0, np.cumsum(count))[:-1]] = START
+    return out
+
+
+def triples(word: np.ndarray, before: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
+    """Both bigrams of every trigram once each, in order of the first, with their counts."""
+    keep = np.flatnonzero(before != START)
+    return distinct_pairs(bigram(earlier(before, count)[keep], before[keep]), bigram(before[keep], word[keep]), np.ones(len(keep), np.uint32))
+
+
 def bigram(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(before * U(0xD6E8FEB86659FD93) + (word ^ (word >> U(31))))
 
@@ -77,28 +99,39 @@ def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> U(32)) * U(shards) >> U(32)).astype(np.int64)
 
 
-def count_pairs(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def by_shard(p: dict[str, np.ndarray], of: np.ndarray, shards: int) -> dict[int, bytes]:
+    """The packed rows of every shard that has any, their order kept."""
+    order = np.argsort(of, kind="stable")
+    bounds = np.searchsorted(of[order], np.arange(shards + 1))
+    return {s: pack(**{k: v[order[bounds[s] : bounds[s + 1]]] for k, v in p.items()}) for s in range(shards) if bounds[s + 1] > bounds[s]}
+
+
+def count_pairs(batches: Iterator[pa.RecordBatch], shards: int, order: int = 2) -> Iterator[pa.RecordBatch]:
     held: list[dict[str, np.ndarray]] = []
+    more: list[dict[str, np.ndarray]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
         p = distinct_pairs(*(np.concatenate([h[k] for h in held]) for k in PAIR))
-        of = shard_of(bigram(p["key"], p["word"]), shards)
-        order = np.argsort(of, kind="stable")
-        bounds = np.searchsorted(of[order], np.arange(shards + 1))
-        full = [s for s in range(shards) if bounds[s + 1] > bounds[s]]
-        blobs = [pack(**{k: v[order[bounds[s] : bounds[s + 1]]] for k, v in p.items()}) for s in full]
-        return pa.RecordBatch.from_pydict({"shard": pa.array(full, pa.int32()), "pairs": pa.array(blobs, pa.binary())})
+        pairs = by_shard(p, shard_of(bigram(p["key"], p["word"]), shards), shards)
+        out = {"shard": pa.array(list(pairs), pa.int32()), "pairs": pa.array(list(pairs.values()), pa.binary())}
+        if order == 3:
+            t = distinct_pairs(*(np.concatenate([h[k] for h in more]) for k in PAIR))
+            found = by_shard(t, shard_of(t["key"], shards), shards)  # a trigram's first bigram is one of the pairs
+            out["triples"] = pa.array([found.get(s) for s in pairs], pa.binary())
+        return pa.RecordBatch.from_pydict(out)
 
     for batch in batches:
         for part in slices(batch, "text"):
             data, off = flat(part.column("text"))
-            word, before, _ = tokens(data, off)
+            word, before, count = tokens(data, off)
             held.append(distinct_pairs(before, word, np.ones(len(word), np.uint32)))
+            if order == 3:
+                more.append(triples(word, before, count))
             size += len(data)
             if size >= FLUSH_BYTES:
                 yield flush()
-                held, size = [], 0
+                held, more, size = [], [], 0
     if held:
         yield flush()
 
@@ -116,6 +149,14 @@ def write_arrays(folder: str, **arrays: np.ndarray) -> None:
         store.move(temporary, f"{path}/{name}")
 
 
+def read_array(folder: str, name: str, kind: str) -> np.ndarray:
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+    with store.open_input_stream(f"{path}/{name}") as file:
+        return np.frombuffer(file.read(), kind)
+
+
 def count_of_counts(n: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(n, U(5)).astype(np.int64), minlength=6)[1:5].tolist()
 
@@ -129,9 +170,14 @@ def merge_pairs(pdf: pd.DataFrame, folder: str, shards: int) -> pd.DataFrame:
     order = np.argsort(key)
     often = order[n[order] >= _FEW]
     write_arrays(folder, **{f"pair-{shard}.key": key[order], f"pair-{shard}.n": np.minimum(n[order], _FEW).astype(np.uint8), f"often-{shard}.key": key[often], f"often-{shard}.n": n[often]})
+    return about_words(before, word, n, n, shards)
+
+
+def about_words(before: np.ndarray, word: np.ndarray, n: np.ndarray, tokens: np.ndarray, shards: int) -> pd.DataFrame:
+    """What bigrams of counts ``n`` and so many tokens say about words, by word shard."""
     one = np.ones(len(n), U)
     as_context = add_up(before, n, n == 1, n == 2, n > 2)
-    as_word = add_up(word, one, n)
+    as_word = add_up(word, one, tokens)
     keys = np.unique(np.concatenate([as_context[0], as_word[0]]))
     cols = {"key": keys} | {k: np.zeros(len(keys), v) for k, v in WORD.items() if k != "key"}
     for (found, *sums), names in ((as_context, ("total", "n1", "n2", "n3")), (as_word, ("left", "count"))):
@@ -148,6 +194,48 @@ def merge_pairs(pdf: pd.DataFrame, folder: str, shards: int) -> pd.DataFrame:
     return out
 
 
+def merge_triples(pdf: pd.DataFrame, folder: str, shards: int) -> pd.DataFrame:
+    """Write the shard's trigrams and what is known of its bigrams; tell the bigrams that end trigrams of their words before."""
+    shard = int(pdf["shard"].iloc[0])
+    p = distinct_pairs(*unpack_all(pdf["pairs"], **PAIR).values())
+    key = bigram(p["key"], p["word"])
+    order = np.argsort(key)
+    key, rows = key[order], np.zeros((len(order), len(ROW)), np.uint32)
+    rows[:, 0] = p["n"][order]
+    blobs = [b for b in pdf["triples"] if b is not None]
+    t = distinct_pairs(*unpack_all(blobs, **PAIR).values()) if blobs else {"key": np.zeros(0, U), "word": np.zeros(0, U), "n": np.zeros(0, np.uint32)}
+    first, second, n = t["key"], t["word"], t["n"]
+    context, *seen = add_up(first, n == 1, n == 2, n > 2)
+    rows[np.searchsorted(key, context), 1:4] = np.stack(seen, axis=1)
+    write_arrays(folder, **{f"row-{shard}.key": key, f"half-{shard}.n": rows, f"half-{shard}.before": p["key"][order], f"half-{shard}.word": p["word"][order]})
+    triple = bigram(first, second)
+    order = np.argsort(triple)
+    often = order[n[order] >= _FEW]
+    write_arrays(folder, **{f"triple-{shard}.key": triple[order], f"triple-{shard}.n": np.minimum(n[order], _FEW).astype(np.uint8), f"often3-{shard}.key": triple[often], f"often3-{shard}.n": n[often]})
+    ends, left = add_up(second, np.ones(len(second), U))
+    blobs = by_shard({"key": ends, "n": left.astype(np.uint32)}, shard_of(ends, shards), shards)
+    blobs.setdefault(shard, None)  # every shard of bigrams goes on
+    counts = count_of_counts(n.astype(U))
+    return pd.DataFrame({"shard": list(blobs), "lefts": list(blobs.values())} | {f"t{i + 1}": [counts[i] if s == shard else 0 for s in blobs] for i in range(4)})
+
+
+def merge_lefts(pdf: pd.DataFrame, folder: str, shards: int) -> pd.DataFrame:
+    """Write the shard's bigrams with the words before them; send what they say about words to the words' shards."""
+    shard = int(pdf["shard"].iloc[0])
+    key, before, word = read_array(folder, f"row-{shard}.key", "uint64"), read_array(folder, f"half-{shard}.before", "uint64"), read_array(folder, f"half-{shard}.word", "uint64")
+    rows = read_array(folder, f"half-{shard}.n", "uint32").reshape(-1, len(ROW)).copy()
+    blobs = [b for b in pdf["lefts"] if b is not None]
+    if blobs:
+        ends, left = add_up(*unpack_all(blobs, **LEFT).values())
+        rows[np.searchsorted(key, ends), 4] = left
+    rows[before == START, 4] = rows[before == START, 0]
+    write_arrays(folder, **{f"row-{shard}.n": rows})
+    out = about_words(before, word, rows[:, 4], rows[:, 0], shards)
+    for i in range(1, 5):
+        out[f"t{i}"] = [int(pdf[f"t{i}"].sum())] + [0] * (len(out) - 1)
+    return out
+
+
 def merge_words(pdf: pd.DataFrame, folder: str) -> pd.DataFrame:
     """Write the shard's words; return its share of the model's sums."""
     shard = int(pdf["shard"].iloc[0])
@@ -156,7 +244,7 @@ def merge_words(pdf: pd.DataFrame, folder: str) -> pd.DataFrame:
     table = np.stack([c[k].astype(np.uint64) for k in ("total", "n1", "n2", "n3", "left", "count")], axis=1)
     write_arrays(folder, **{f"word-{shard}.key": key, f"word-{shard}.n": table})
     left = count_of_counts(c["left"][c["left"] > 0])
-    out = {f"n{i}": [int(pdf[f"n{i}"].sum())] for i in range(1, 5)} | {f"l{i + 1}": [left[i]] for i in range(4)}
+    out = {k: [int(pdf[k].sum())] for k in pdf.columns if k[0] in "nt"} | {f"l{i + 1}": [left[i]] for i in range(4)}
     return pd.DataFrame(out | {"l5": [int((c["left"] > 2).sum())], "tokens": [int(c["count"].sum())], "types": [int((c["count"] > 0).sum())], "pairs": [int(c["left"].sum())]})
 
 
@@ -179,6 +267,7 @@ class Model:
     pair_discounts: tuple[float, ...]
     word_discounts: tuple[float, ...]
     left_over: float
+    triple_discounts: tuple[float, ...] = ()
 
     def discount(self, counts: np.ndarray, which: tuple[float, ...]) -> np.ndarray:
         return np.array(which)[np.minimum(counts, U(3)).astype(np.int64)]
@@ -187,20 +276,41 @@ class Model:
         """The word table's row for every hash, zeros for the unknown."""
         return lookup(self, "word", word, 6)
 
-    def score(self, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability of every token in its context, token counts in training)."""
+    def triples(self, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Counts of trigrams, each looked for in its first bigram's shard."""
+        of, key = shard_of(first, self.shards), bigram(first, ends)
+        order = np.lexsort((key, of))
+        out = np.zeros(len(key), U)
+        out[order] = lookup(self, "triple", key[order], 1, of[order])[:, 0]
+        return out
+
+    def score(self, word: np.ndarray, before: np.ndarray, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability of every token in its context, token counts in training).
+
+        Order three takes the tokens two places before, too.
+        """
         types, which = np.unique(np.concatenate([word, before]), return_inverse=True)
         table = self.words(types)
         w, v = which[: len(word)], which[len(word) :]
         left = table[:, 4]
         p1 = (np.maximum(0.0, left - self.discount(left, self.word_discounts)) + self.left_over / (self.types + 1)) / max(1, self.pairs)
-        pairs, at = np.unique(bigram(before, word), return_inverse=True)
-        n = lookup(self, "pair", pairs, 1)[:, 0]
+        third = bool(self.triple_discounts)
+        ends = bigram(before, word)
+        first = bigram(earlier, before) if third else ends[:0]
+        pairs, at = np.unique(np.concatenate([ends, first]), return_inverse=True)
+        rows = lookup(self, "row" if third else "pair", pairs, len(ROW) if third else 1)
+        n, at, of = rows[:, -1], at[: len(word)], at[len(word) :]
         high = np.maximum(0.0, n - self.discount(n, self.pair_discounts))[at]
         total = table[:, 0].astype(float)
         gamma = table[:, 1:4].astype(float) @ np.array(self.pair_discounts[1:])
         seen = total[v] > 0
         p = np.where(seen, (high + gamma[v] * p1[w]) / np.maximum(1.0, total[v]), p1[w])
+        if third:
+            total = np.where(before == START, 0.0, rows[of, 0].astype(float))
+            gamma = rows[of, 1:4].astype(float) @ np.array(self.triple_discounts[1:])
+            n = self.triples(first, ends)
+            high = np.maximum(0.0, n - self.discount(n, self.triple_discounts))
+            p = np.where(total > 0, (high + gamma * p) / np.maximum(1.0, total), p)
         return np.log10(np.maximum(p, 1e-300)), table[w, 5]
 
 
@@ -219,10 +329,10 @@ def mapped(folder: str, name: str, kind: str) -> np.ndarray:
     return np.memmap(path, kind, "r")
 
 
-def lookup(model: Model, table: str, keys: np.ndarray, width: int) -> np.ndarray:
-    """Rows of sorted keys, zeros where the table has none."""
+def lookup(model: Model, table: str, keys: np.ndarray, width: int, of: np.ndarray | None = None) -> np.ndarray:
+    """Rows of sorted keys (of those in each shard ``of``), zeros where the table has none."""
     out = np.zeros((len(keys), width), U)
-    bounds = np.searchsorted(shard_of(keys, model.shards), np.arange(model.shards + 1))
+    bounds = np.searchsorted(shard_of(keys, model.shards) if of is None else of, np.arange(model.shards + 1))
     for s in range(model.shards):
         a, b = bounds[s], bounds[s + 1]
         own = mapped(model.folder, f"{table}-{s}.key", "uint64")
@@ -230,33 +340,43 @@ def lookup(model: Model, table: str, keys: np.ndarray, width: int) -> np.ndarray
             continue
         at = np.searchsorted(own, keys[a:b])
         hit = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == keys[a:b])
-        if table == "word":
-            out[a + hit] = mapped(model.folder, f"word-{s}.n", "uint64").reshape(-1, width)[at[hit]]
+        if table in ("word", "row"):
+            out[a + hit] = mapped(model.folder, f"{table}-{s}.n", "uint64" if table == "word" else "uint32").reshape(-1, width)[at[hit]]
             continue
-        n = mapped(model.folder, f"pair-{s}.n", "uint8")[at[hit]].astype(U)
+        n = mapped(model.folder, f"{table}-{s}.n", "uint8")[at[hit]].astype(U)
         many = np.flatnonzero(n == _FEW)
         if len(many):
-            often = mapped(model.folder, f"often-{s}.key", "uint64")
-            n[many] = mapped(model.folder, f"often-{s}.n", "uint32")[np.searchsorted(often, keys[a:b][hit[many]])]
+            name = "often" if table == "pair" else "often3"
+            often = mapped(model.folder, f"{name}-{s}.key", "uint64")
+            n[many] = mapped(model.folder, f"{name}-{s}.n", "uint32")[np.searchsorted(often, keys[a:b][hit[many]])]
         out[a + hit, 0] = n
     return out
 
 
-def fit(docs: DataFrame) -> Model:
+def fit(docs: DataFrame, order: int = 2) -> Model:
     """Count all texts of ``docs`` (a null one is empty) and write the model's arrays."""
     spark = docs.sparkSession
     rows = docs.select("text")
     shards = max(12, -(-text_bytes(rows) // SHARD_BYTES))
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ngram-lm-{uuid.uuid4().hex}"
-    pairs = rows.mapInArrow(lambda b: count_pairs(b, shards), "shard int, pairs binary")
-    words = pairs.groupBy("shard").applyInPandas(lambda p: merge_pairs(p, folder, shards), "shard int, words binary, n1 long, n2 long, n3 long, n4 long")
-    names = [*(f"n{i}" for i in range(1, 5)), *(f"l{i}" for i in range(1, 6)), "tokens", "types", "pairs"]
+    if order not in (2, 3):
+        raise ValueError(f"order {order}")
+    pairs = rows.mapInArrow(lambda b: count_pairs(b, shards, order), "shard int, pairs binary" + ", triples binary" * (order == 3))
+    schema, above = "shard int, words binary, n1 long, n2 long, n3 long, n4 long", []
+    if order == 2:
+        words = pairs.groupBy("shard").applyInPandas(lambda p: merge_pairs(p, folder, shards), schema)
+    else:
+        above = [f"t{i}" for i in range(1, 5)]
+        kinds = "".join(f", {k} long" for k in above)
+        lefts = pairs.groupBy("shard").applyInPandas(lambda p: merge_triples(p, folder, shards), f"shard int, lefts binary{kinds}")
+        words = lefts.groupBy("shard").applyInPandas(lambda p: merge_lefts(p, folder, shards), schema + kinds)
+    names = [*(f"n{i}" for i in range(1, 5)), *above, *(f"l{i}" for i in range(1, 6)), "tokens", "types", "pairs"]
     sums = words.groupBy("shard").applyInPandas(lambda p: merge_words(p, folder), ", ".join(f"{k} long" for k in names))
     s = sums.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in names)).first()
     if urllib.parse.urlparse(folder).scheme not in ("", "file") and s.tokens:
         spark.sparkContext.addFile(folder, recursive=True)
     low = discounts(s.l1, s.l2, s.l3, s.l4)
-    return Model(folder, shards, s.tokens, s.types, s.pairs, tuple(discounts(s.n1, s.n2, s.n3, s.n4)), tuple(low), float(low[1] * s.l1 + low[2] * s.l2 + low[3] * s.l5))
+    return Model(folder, shards, s.tokens, s.types, s.pairs, tuple(discounts(s.n1, s.n2, s.n3, s.n4)), tuple(low), float(low[1] * s.l1 + low[2] * s.l2 + low[3] * s.l5), tuple(discounts(*(s[k] for k in above))) if above else ())
 
 
 def held_out() -> Column:
@@ -277,7 +397,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 word, before, count = tokens(*flat(part.column("text")))
-                logp, c = model.score(word, before)
+                logp, c = model.score(word, before, earlier(before, count))
                 first = np.append(0, np.cumsum(count))[:-1]
                 base = np.add.reduceat(np.log10((c.astype(float) + 0.5) / whole), first)
                 known = np.add.reduceat((c > 0).astype(np.int64), first)
@@ -288,7 +408,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def evaluate(docs: DataFrame) -> DataFrame:
+def evaluate(docs: DataFrame, order: int = 2) -> DataFrame:
     """Scores of all documents by a model of those that are not held out."""
-    scored = score(docs, fit(docs.where(~held_out())))
+    scored = score(docs, fit(docs.where(~held_out()), order))
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -43,7 +43,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.evaluate(documents(spark, sf_dir))
+    return ngram_lm.evaluate(documents(spark, sf_dir), order=3)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
