@@ -94,6 +94,26 @@ def test_leaks_by_substring_and_by_pieces(spark, monkeypatch):
     assert [r.i for r in gates.leaks(texts, "t", raw, "v").collect()] == [1]
 
 
+def test_leaks_are_the_same_at_every_size(spark, monkeypatch):
+    values = ["Ann Lee", "123-45-6789", "a.b@c.org", "2024/01/02", "Zoë Ågren", "Customer#000000123", "Customer#000000124", "aaaa", "x" * 300, "abc", "", None]
+    lines = ["to Ann Lee.", "ssn 123-45-6789", "xa.b@c.orgx", "on 2024/01/02", "fra Zoë Ågren", "idCustomer#000000123x", "Customer#00000012", "Ann  Lee", "aaa", "aaaaa", "y" * 250 + "Ann Lee" + "é" * 600 + "123-45-6789", "x" * 299, "x" * 301, "abc", "", None, "to Ann Lee."]
+    texts, raw = spark.createDataFrame(list(enumerate(lines)), "i int, t string").withColumn("i", F.when(F.col("i") == 16, 0).otherwise(F.col("i"))), spark.createDataFrame([(v,) for v in values], "v string")
+    want = sorted(0 if i == 16 else i for i, t in enumerate(lines) if t and any(v in t for v in values if v and len(v) >= 4))
+    assert sorted(r.i for r in gates.leaks(texts, "t", raw, "v").collect()) == want
+    monkeypatch.setattr(gates, "LEAK_BYTES", 1)
+    assert sorted(r.i for r in gates.leaks(texts, "t", raw, "v").collect()) == want
+
+
+def test_validation_report_sees_a_leak_of_any_member(spark, monkeypatch):
+    from veilspark.plans import QUERIES, quality_queries
+
+    plain = quality_queries.masked
+    leaky = lambda s, d, e: quality_queries.entity(s, d, e).where("member_id % 50 = 4") if e == "member" else plain(s, d, e)
+    monkeypatch.setattr(quality_queries, "masked", leaky)
+    got = {r.check_name: r.passed for r in QUERIES["masking_validation_report"](spark, "/root/testdata/sf0.001").collect()}
+    assert got["leaks"] is False
+
+
 def test_gates_fail_when_they_should(spark):
     g = spark.createDataFrame([("a", True), ("b", False)], "gate string, passed boolean")
     assert gates.certify(g).first().status == "failed" and gates.certify(g.where("passed")).first().status == "certified" and gates.certify(g.limit(0)).first().status == "failed"

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import hmac_hex
 
-#: Bytes of raw values above which the substring check compares by cell, not by substring.
+#: Bytes of raw values above which the substring check finds its candidates by shared grams, not by broadcast.
 LEAK_BYTES = 8 << 20
+#: Characters of the pieces from which grams are taken.
+PIECE = 256
 
 
 def gate(df: DataFrame, name: str, passed: Column, detail: Column) -> DataFrame:
@@ -32,19 +34,39 @@ def collisions(links: DataFrame) -> DataFrame:
     return links.groupBy("scope", "masked").agg(F.countDistinct("original").alias("n")).where("n > 1")
 
 
+def grams(text: str, size: int) -> Column:
+    """All substrings of so many characters, repeats included; those of a long text by pieces that overlap."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - size) / PIECE).cast("int")), lambda k: F.col(text).substr(k * PIECE + 1, F.lit(PIECE + size - 1)))
+    each = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - size + 1), lambda i: p.substr(i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.flatten(F.transform(pieces, each)))
+
+
 def leaks(texts: DataFrame, text: str, raw: DataFrame, value: str, shortest: int = 4) -> DataFrame:
-    """Rows of ``texts`` whose text contains a raw value of at least ``shortest`` characters.
+    """Rows of ``texts`` whose text contains a raw value of at least ``shortest`` characters, the empty one aside.
 
-    The values are broadcast for a substring search only while their measured size is
-    within LEAK_BYTES; beyond it every text is cut into its runs of letters and digits,
-    and those are joined with the values.
+    The values are broadcast for the search only while their measured size is within
+    LEAK_BYTES.  Beyond it each value is looked for by one of its grams, that which the
+    fewest values have, among the grams of the texts; what meets is searched.  Both
+    ways find the same rows.
     """
+    shortest = max(1, shortest)
     values = raw.select(F.col(value).cast("string").alias("raw_value")).where(F.length("raw_value") >= shortest).distinct()
     size = values.agg(F.sum(F.octet_length("raw_value"))).first()[0] or 0
     if size <= LEAK_BYTES:
         return texts.join(F.broadcast(values), F.col(text).contains(F.col("raw_value")), "left_semi")
-    pieces = texts.withColumn("__piece", F.explode(F.array_distinct(F.split(text, r"[^A-Za-z0-9#]+"))))
-    return pieces.join(values, F.col("__piece") == F.col("raw_value"), "left_semi").drop("__piece").dropDuplicates()
+    whole = texts.select(F.col(text).alias("__text")).where("__text IS NOT NULL").distinct().withColumn("__of", F.xxhash64("__text"))
+    hits = []
+    for n, above in ((shortest, 2 * shortest), (2 * shortest, 4 * shortest), (4 * shortest, None)):
+        own = values.where(F.length("raw_value") >= n)
+        own = own.where(F.length("raw_value") < above) if above else own
+        own = own.select("raw_value", F.explode(F.array_distinct(grams("raw_value", n))).alias("__gram"))
+        rare = own.groupBy("__gram").agg(F.count("*").alias("__n"))
+        keyed = own.join(rare, "__gram").groupBy("raw_value").agg(F.min(F.struct("__n", "__gram"))["__gram"].alias("__gram"))
+        held = whole.select("__of", F.explode(F.array_distinct(grams("__text", n))).alias("__gram"))
+        hits.append(held.join(keyed, "__gram").select("__of", "raw_value"))
+    met = hits[0].unionByName(hits[1]).unionByName(hits[2]).distinct()
+    found = whole.join(met, "__of").where(F.col("__text").contains(F.col("raw_value"))).select("__text").distinct()
+    return texts.join(found, F.col(text) == F.col("__text"), "left_semi")
 
 
 def mean_ratio(both: DataFrame, largest: float = 10.0, least: int = 5) -> DataFrame:

@@ -131,7 +131,7 @@ def leak_check_theta_join(spark, sf_dir):
 def masking_validation_report(spark, sf_dir):
     found = links(spark, sf_dir)
     member = masked(spark, sf_dir, "member").select("member_id", F.col("name").cast("string").alias("text"))
-    leaked = G.leaks(member, "text", entity(spark, sf_dir, "member").where("member_id % 50 = 3"), "name")
+    leaked = G.leaks(member, "text", entity(spark, sf_dir, "member"), "name")
     one = lambda name, df: df.agg(F.count("*").alias("n_findings")).select(F.lit(name).alias("check_name"), (F.col("n_findings") == 0).alias("passed"), "n_findings")
     return D.union_all([one("consistency", G.inconsistent(found)), one("collisions", G.collisions(found)), one("leaks", leaked)])
 
