@@ -290,3 +290,20 @@ def test_words_of_flat_buffers(texts):
     blob = common.pack(key=np.sort(h), x=np.arange(len(h), dtype=np.uint32))
     back = common.unpack(blob, key="uint64", x="uint32")
     assert (back["key"] == np.sort(h)).all() and (back["x"] == np.arange(len(h))).all()
+
+
+def test_every_occurrence_draws_its_own_merges():
+    c = merge_dropout.Codec(PIECES, 3, 0.3)
+    word, n = " internationalisation", 400
+    text = word * n
+    ids, found, at = c.encode(text, 1), [], 0
+    while at < len(ids):  # cut back into words
+        size, end = 0, at
+        while size < len(word):
+            size += int(c.length[ids[end]])
+            end += 1
+        found.append(tuple(ids[at:end].tolist()))
+        at = end
+    assert len(found) == n and len(set(found)) > 20
+    assert found[:-4] != found[4:]
+    assert c.decode(ids) == text.encode()

@@ -2,9 +2,10 @@
 
 The vocabulary file gives pieces and scores.  A text is cut before every run of spaces;
 each chunk starts as single characters, and an agenda offers adjacent pairs whose
-concatenation is a piece, best score first.  A keyed hash of seed, variant, piece and
-place decides whether an offered merge is skipped, so a seed gives one segmentation
-and different places of one word get different ones.  Characters outside the vocabulary
+concatenation is a piece, best score first.  A keyed hash of seed, document, place of
+the chunk, piece and place in the chunk decides whether an offered merge is skipped, so
+a seed gives one segmentation and every occurrence of a word draws its own.  Only the
+merge without skips is cached, with what it offers: it stands if none of that is skipped.  Characters outside the vocabulary
 become byte pieces.  Nothing is normalised: a space is the meta symbol, a literal meta
 symbol is bytes, and the pieces of a text concatenate to exactly that text.
 """
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from .common import U, mix, slices
 
-#: Chance that an offered merge is skipped; variants of a word's segmentation; cached chunks of a worker.
-DROPOUT, VARIANTS, CACHE = 0.1, 4, 1_200_000
+#: Chance that an offered merge is skipped; cached chunks of a worker.
+DROPOUT, CACHE = 0.1, 1_200_000
 META = "▁"
 #: Characters of a chunk up to which its agenda is a list; the rank of no piece.
 SHORT, NONE = 48, 1 << 60
@@ -61,13 +62,12 @@ class Codec:
         self.rank = {p: r for r, p in enumerate(order)}
         self.noise = np.random.default_rng(seed).integers(1 << 63, size=len(order)).tolist()
         self.limit = int(dropout * (1 << 64))
-        self.keys = [int.from_bytes(hashlib.blake2b(f"{seed}:{v}".encode(), digest_size=8).digest(), "big") for v in range(VARIANTS)]
         self.seed = seed
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.known: dict[str, tuple[bytes, bytes, int]] = {}
+        self.older: dict[str, tuple[bytes, bytes, int]] = {}
 
-    def merge(self, chunk: str, variant: int) -> bytes:
-        """Piece ids of one chunk, four bytes each.
+    def merge(self, chunk: str, key: int, offers: list[int] | None = None) -> bytes:
+        """Piece ids of one chunk, four bytes each; with ``offers`` nothing is skipped, and they take noise and place of all offered.
 
         A short chunk keeps its agenda as a list of the ranks of adjacent pairs, a long
         one as a heap; both offer the best rank first, the leftmost of equals.
@@ -76,8 +76,7 @@ class Codec:
             parts = [META if c == " " else c + "\0" if c == META else c for c in chunk]
         else:
             parts = list(chunk.replace(" ", META))
-        key = self.keys[variant] ^ (zlib.crc32(chunk.encode()) * 0x9E3779B97F4A7C15 & _MASK)
-        parts = (self.merge_list if len(parts) <= SHORT else self.merge_heap)(parts, key)
+        parts = (self.merge_list if len(parts) <= SHORT else self.merge_heap)(parts, key, offers)
         ids = self.id
         try:
             out = [ids[s] for s in parts]
@@ -90,7 +89,7 @@ class Codec:
                     out += [self.bytes_id[b] for b in (s if s == "\0" else s.rstrip("\0")).encode()]
         return array("i", out).tobytes()
 
-    def merge_list(self, parts: list[str], key: int) -> list[str]:
+    def merge_list(self, parts: list[str], key: int, offers: list[int] | None = None) -> list[str]:
         rank, noise, limit = self.rank.get, self.noise, self.limit
         ranks = [rank(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
         place = list(range(1, 2 * len(parts), 2))
@@ -99,7 +98,9 @@ class Codec:
             if best == NONE:
                 break
             i = ranks.index(best)
-            if (noise[best] + key) * place[i] & _MASK < limit:
+            if offers is not None:
+                offers += (noise[best], place[i])
+            elif (noise[best] + key) * place[i] & _MASK < limit:
                 ranks[i] = NONE
                 continue
             parts[i] += parts.pop(i + 1)
@@ -110,7 +111,7 @@ class Codec:
                 ranks[i - 1] = rank(parts[i - 1] + parts[i], NONE)
         return parts
 
-    def merge_heap(self, parts: list[str | None], key: int) -> list[str]:
+    def merge_heap(self, parts: list[str | None], key: int, offers: list[int] | None = None) -> list[str]:
         rank, n = self.rank.get, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(r, i) for i in range(n - 1) if (r := rank(parts[i] + parts[i + 1])) is not None]
@@ -119,7 +120,9 @@ class Codec:
             r, i = heapq.heappop(agenda)
             if parts[i] is None or (j := after[i]) >= n or rank(parts[i] + parts[j]) != r:
                 continue
-            if (self.noise[r] + key) * (2 * i + 1) & _MASK < self.limit:
+            if offers is not None:
+                offers += (self.noise[r], 2 * i + 1)
+            elif (self.noise[r] + key) * (2 * i + 1) & _MASK < self.limit:
                 continue
             parts[i] += parts[j]
             parts[j] = None
@@ -133,36 +136,33 @@ class Codec:
                 heapq.heappush(agenda, (r, k))
         return [p for p in parts if p is not None]
 
-    def remembered(self, chunk: str, variant: int) -> bytes:
-        """A chunk that the younger half of the cache lacks; the older half is dropped when the younger is full."""
-        ids = self.older[variant].get(chunk)
-        if ids is None:
-            ids = self.merge(chunk, variant)
-        own = self.known[variant]
-        if len(own) >= CACHE // (2 * VARIANTS):
-            self.older[variant], self.known[variant] = own, (own := {})
-        own[chunk] = ids
-        return ids
+    def remembered(self, chunk: str) -> tuple[bytes, bytes, int]:
+        """The merge without skips, its offers and their number, of a chunk that the younger half of the cache may lack; the older half is dropped when the younger is full."""
+        found = self.known.get(chunk) or self.older.get(chunk)
+        if found is None:
+            offers: list[int] = []
+            ids = self.merge(chunk, 0, offers)
+            found = (ids, array("Q", offers).tobytes(), len(offers) // 2)
+        if len(self.known) >= CACHE // 8:  # an entry holds offers too
+            self.older, self.known = self.known, {}
+        self.known[chunk] = found
+        return found
 
     def encode(self, text: str | None, key: int = 0) -> np.ndarray:
-        """Piece ids of a text; ``key`` varies the segmentation from document to document.
-
-        A chunk's variant is its place plus the hash of seed and key, modulo the variants.
-        """
+        """Piece ids of a text; ``key`` varies the segmentation from document to document, the place that of each chunk."""
         chunks = _CHUNKS(text or "")
         if not chunks:
             return np.zeros(0, np.int32)
-        first = int(mix(np.array([(key * 0x9E3779B97F4A7C15 + self.seed) & _MASK], U))[0] % U(VARIANTS))
-        found: list[bytes | None] = [None] * len(chunks)
-        for k in range(VARIANTS):
-            variant, mine = (first + k) % VARIANTS, chunks[k::VARIANTS]
-            ids = list(map(self.known[variant].get, mine))
-            if None in ids:
-                for n, got in enumerate(ids):
-                    if got is None:
-                        ids[n] = self.known[variant].get(mine[n]) or self.remembered(mine[n], variant)
-            found[k::VARIANTS] = ids
-        return np.frombuffer(b"".join(found), np.int32)
+        first = mix(np.array([(key * 0x9E3779B97F4A7C15 + self.seed) & _MASK], U))
+        keys = mix(first + np.arange(1, len(chunks) + 1, dtype=U) * U(0xD1342543DE82EF95))
+        known = [got or self.remembered(c) for c, got in zip(chunks, map(self.known.get, chunks), strict=True)]
+        out, offered, count = (list(x) for x in zip(*known, strict=True))
+        offers = np.frombuffer(b"".join(offered), U).reshape(-1, 2)
+        chunk = np.repeat(np.arange(len(chunks)), count)
+        skipped = (offers[:, 0] + keys[chunk]) * offers[:, 1] < U(min(self.limit, _MASK))
+        for i in np.unique(chunk[skipped]).tolist():
+            out[i] = self.merge(chunks[i], int(keys[i]))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of a sequence of piece ids."""
