@@ -233,16 +233,41 @@ def test_token_counts_equal_the_library(spark, odd):
 @settings(max_examples=200, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" ▁\0\n<|>endoftx'sre")), max_size=60), st.integers(0, 9))
 def test_texts_survive(text, seed):
-    from tokenizers import Tokenizer
-
     c = merge_dropout.codec(PIECES, seed, 0.3)
     ids = c.encode(text, seed)
     assert c.decode(ids) == text.encode()
     assert ids.tolist() == merge_dropout.Codec(PIECES, seed, 0.3).encode(text, seed).tolist() if seed == 0 else True
-    found, special = token_counts.pieces(text, BPE)
+
+
+@pytest.fixture(scope="module")
+def kinds():
+    return token_counts.classes(BPE)
+
+
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("  \n\t\u3000<|endoftx>'sremdlvS1!é")), max_size=40), min_size=1, max_size=5))
+def test_pre_tokens_equal_the_library(kinds, texts):
+    import pyarrow as pa
+
     t = token_counts.tokenizer(BPE)
-    assert isinstance(t, Tokenizer)
-    assert special + sum(len(e.ids) for e in t.encode_batch(found, add_special_tokens=False)) == len(t.encode(text, add_special_tokens=False).ids)
+    cut = token_counts.Cut(pa.array(texts, pa.string()), BPE, kinds)
+    if not cut.special.any():
+        want = [[span for _, span in t.pre_tokenizer.pre_tokenize_str(x)] for x in texts]
+        assert np.bincount(cut.of, minlength=len(texts)).tolist() == [len(w) for w in want]
+        assert (cut.end - cut.start).tolist() == [b - a for w in want for a, b in w]
+    table = token_counts.Table(cut.hashes[:0], np.zeros(0, np.int64))
+    n = cut.special + np.bincount(cut.of, token_counts.lengths(cut, table, BPE), len(texts)).astype(np.int64)
+    assert n.tolist() == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 2**64 - 1), unique=True, max_size=200), st.integers(0, 63))
+def test_open_addresses_find_what_was_put(hashes, shift):
+    keys = np.unique(np.array(hashes, np.uint64) | np.uint64(1) << np.uint64(shift))  # many share their place
+    table = token_counts.Table(keys, np.arange(len(keys)) + 1)
+    assert table.find(keys).tolist() == list(range(1, len(keys) + 1))
+    other = np.setdiff1d(np.array([5, 7, 2**63], np.uint64), keys)
+    assert (table.find(other) == -1).all()
 
 
 @settings(max_examples=200, deadline=None)

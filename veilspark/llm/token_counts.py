@@ -1,28 +1,36 @@
 """Token counts by a two-tier look-up on the map side.
 
-Tier one is a compact table of frequent pre-tokens and their token counts, broadcast
-to every worker.  Tier two is each worker's own cache: a pre-token the table lacks is
-encoded once by the tokenizer library and remembered.  Pre-tokens are never shuffled;
-the table comes from bounded per-partition summaries of the whole corpus, and it only
-decides where a length is looked up, never what it is.
+Tier one is a compact hash table of frequent pre-tokens: two numpy arrays, 64-bit hashes
+at open addresses and token counts beside them, broadcast to every worker.  Tier two is
+each worker's own cache: a pre-token that the table lacks is encoded once by the
+tokenizer library and remembered across the tasks of that worker.  Pre-tokens are cut
+and hashed a slice of texts at a time, and none is ever shuffled.  The table comes from
+bounded per-partition summaries of the whole corpus; it only decides where a count is
+looked up, never what it is.  Two pre-tokens are taken as equal by 64 bits.
 """
 
 from __future__ import annotations
 
 import functools
-from collections import Counter
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The byte-level pre-tokenizer's pattern (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+from .common import U, prefix_sums, slices, span_hash
+
 #: Pre-tokens that a partition reports, and that the broadcast table holds.
-PER_PARTITION, TABLE = 4096, 32768
-#: Pre-tokens that a worker's cache holds before it starts afresh.
-CACHE = 2_000_000
+PER_PARTITION, TABLE = 8192, 65536
+#: Pre-tokens that a worker's cache holds before its older half goes.
+CACHE = 1_000_000
+#: Classes of code points.
+OTHER, LETTER, NUMBER, WHITE = range(4)
+#: What may follow an apostrophe as a pre-token with it (fixed values).
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 @functools.cache
@@ -33,44 +41,179 @@ def tokenizer(path: str):
 
 
 @functools.cache
-def splitter(path: str):
-    """(pre-token finder, pattern of special strings or None) of a tokenizer file."""
-    import json
-
-    import regex
-
+def special_strings(path: str) -> list[str]:
     with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    special = [regex.escape(t["content"]) for t in spec["added_tokens"]]
-    return regex.compile(PATTERN).findall, regex.compile("|".join(special)) if special else None
+        return [t["content"] for t in json.load(f)["added_tokens"]]
 
 
-def pieces(text: str, path: str) -> tuple[list[str], int]:
-    """(pre-tokens, special strings found) of one text."""
-    find, special = splitter(path)
-    if special is None or not special.search(text):
-        return find(text), 0
-    parts = special.split(text)
-    return [x for part in parts for x in find(part)], len(parts) - 1
+def classes(path: str) -> np.ndarray:
+    """The class of every code point as the library's own pre-tokenizer has it.
 
+    Letters and numbers of a newer Unicode than the library's are asked of the library.
+    """
+    import regex
+
+    points = "".join(map(chr, [*range(0xD800), *[0x21] * 0x800, *range(0xE000, 0x110000)]))
+    out = np.zeros(len(points), np.uint8)
+    cut = tokenizer(path).pre_tokenizer.pre_tokenize_str
+    for kind, pattern, probe in ((WHITE, r"\s+", None), (LETTER, r"\p{L}+", "a"), (NUMBER, r"\p{N}+", "1")):
+        found = np.concatenate([np.arange(*m.span()) for m in regex.finditer(pattern, points)])
+        if probe:
+            ends = dict(span for _, span in cut("".join(f"{probe}{points[i]}\n\n" for i in found)))
+            found = found[[ends.get(4 * k) == 4 * k + 2 for k in range(len(found))]]
+        out[found] = kind
+    return out
+
+
+def pre_tokens(points: np.ndarray, off: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of every text of a flat buffer of code points begin."""
+    n = len(points)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = kinds[points]
+    first = np.zeros(n + 1, bool)
+    first[off] = True
+    begins = first.copy()
+    begins[1:n] |= kind[1:] != kind[:-1]
+    # of the white space before a word, the last character stands apart; a space joins the word
+    word = np.flatnonzero(begins[1:n] & ~first[1:n] & (kind[1:] != WHITE) & (kind[:-1] == WHITE)) + 1
+    begins[word - 1] = True
+    begins[word[points[word - 1] == 0x20]] = False
+    # an apostrophe alone, not after a space, takes one of the endings
+    lone = np.flatnonzero((points[:-1] == 0x27) & begins[: n - 1] & begins[1:n] & ~first[1:n] & (kind[1:] == LETTER))
+    for ending in ENDINGS:
+        at = lone[lone + len(ending) < n]
+        for k, c in enumerate(ending, 1):
+            at = at[(points[at + k] == ord(c)) & ~first[at + k]]
+        begins[at + 1] = False
+        begins[at + len(ending) + 1] = True
+        lone = lone[~np.isin(lone, at)]
+    return np.flatnonzero(begins[:n])
+
+
+def flat_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, offsets)."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    return points, np.append(0, np.cumsum([len(t) for t in texts]))
+
+
+class Cut:
+    """Pre-tokens of a slice of texts: spans, hashes and the text each lies in.
+
+    Special strings are cut out before, as the library does; each is one token.
+    """
 
-def frequent(docs: DataFrame, path: str) -> dict[str, int]:
-    """Frequent pre-tokens of the corpus with their token counts, at most ``TABLE``."""
+    def __init__(self, column: pa.Array, path: str, kinds: np.ndarray):
+        texts, of = column.fill_null("").to_pylist(), None
+        self.special = np.zeros(len(texts), np.int64)
+        for s in special_strings(path):
+            for i in np.flatnonzero(pc.match_substring(column, s).fill_null(False).to_numpy(zero_copy_only=False)) if s else ():
+                self.special[i] += texts[i].count(s)
+        if self.special.any():
+            split = [self.parts(t, special_strings(path)) if k else [t] for t, k in zip(texts, self.special, strict=True)]
+            of = np.repeat(np.arange(len(texts)), [len(p) for p in split])
+            texts = [t for p in split for t in p]
+        self.text = "".join(texts)
+        points, off = flat_points(texts)
+        self.start = pre_tokens(points, off, kinds)
+        self.end = np.append(self.start[1:], len(points))
+        self.hashes = span_hash(prefix_sums(points), self.start, self.end)
+        self.of = np.searchsorted(off, self.start, side="right") - 1
+        if of is not None:
+            self.of = of[self.of]
+
+    def parts(self, text: str, special: list[str]) -> list[str]:
+        out = [text]
+        for s in special:
+            out = [p for x in out for p in x.split(s)]
+        return out
+
+
+def address(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes >> U(64 - size.bit_length() + 1)).astype(np.int64)
+
+
+class Table:
+    """Open addresses of hashes with counts: at least twice as many places as entries, the next free place taken."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        size = 1 << max(4, (2 * len(hashes)).bit_length())
+        self.key, self.count = np.zeros(size, U), np.zeros(size, np.uint16)
+        self.steps = 1
+        at, left = address(hashes, size), np.arange(len(hashes))
+        while len(left):  # all that are left try one place; one of each place's takers gets it
+            free = self.key[at[left]] == 0
+            mine, first = np.unique(at[left[free]], return_index=True)
+            put = left[free][first]
+            self.key[mine], self.count[mine] = hashes[put], counts[put]
+            left = np.setdiff1d(left, put, assume_unique=True)
+            at[left] = (at[left] + 1) & (size - 1)
+            self.steps += 1
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Counts, -1 where the table has none."""
+        out, at, left = np.full(len(hashes), -1, np.int64), address(hashes, len(self.key)), np.arange(len(hashes))
+        for _ in range(self.steps):
+            key = self.key[at[left]]
+            hit = key == hashes[left]
+            out[left[hit]] = self.count[at[left[hit]]]
+            left = left[~hit & (key != 0)]
+            if not len(left):
+                break
+            at[left] = (at[left] + 1) & (len(self.key) - 1)
+        return out
+
+
+#: A worker's own counts by file and hash, in a younger and an older half.
+_OWN: dict[str, list[dict[int, int]]] = {}
+
+
+def lengths(cut: Cut, table: Table, path: str) -> np.ndarray:
+    """Tokens of every pre-token: from the table, else from the worker's cache, else from the library."""
+    out = table.find(cut.hashes)
+    lost = np.flatnonzero(out < 0)
+    if len(lost):
+        kinds, at, which = np.unique(cut.hashes[lost], return_index=True, return_inverse=True)
+        halves = _OWN.setdefault(path, [{}, {}])
+        young, old = halves
+        found = [young.get(h, -1) if h in young else old.get(h, -1) for h in kinds.tolist()]
+        new = [k for k, n in enumerate(found) if n < 0]
+        if new:
+            spans = lost[at[new]]
+            strings = [cut.text[a:b] for a, b in zip(cut.start[spans].tolist(), cut.end[spans].tolist(), strict=True)]
+            for k, e in zip(new, tokenizer(path).encode_batch(strings, add_special_tokens=False), strict=True):
+                found[k] = len(e)
+            if len(young) > CACHE // 2:
+                young, _ = halves[:] = {}, young
+            young.update(zip(kinds[new].tolist(), (found[k] for k in new), strict=True))
+        out[lost] = np.array(found, np.int64)[which]
+    return out
+
+
+def frequent(docs: DataFrame, path: str, kinds) -> Table:
+    """The most frequent pre-tokens of the corpus, at most ``TABLE``, with their token counts."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        seen: dict[int, list] = {}
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(pieces(text.as_py() or "", path)[0])
-            if len(seen) > 64 * PER_PARTITION:
-                seen = Counter(dict(seen.most_common(8 * PER_PARTITION)))
-        top = seen.most_common(PER_PARTITION)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array([k for k, _ in top], pa.string()), "n": pa.array([v for _, v in top], pa.int64())})
+            for part in slices(batch, "text"):
+                cut = Cut(part.column("text"), path, kinds.value)
+                keys, at, n = np.unique(cut.hashes, return_index=True, return_counts=True)
+                for k, i, c in zip(keys.tolist(), at.tolist(), n.tolist(), strict=True):
+                    if k in seen:
+                        seen[k][0] += c
+                    elif cut.end[i] - cut.start[i] <= 64:  # a longer one is left to the caches
+                        seen[k] = [c, cut.text[cut.start[i] : cut.end[i]]]
+                if len(seen) > 64 * PER_PARTITION:
+                    seen = dict(sorted(seen.items(), key=lambda x: -x[1][0])[: 8 * PER_PARTITION])
+        top = sorted(seen.values(), key=lambda x: -x[0])[:PER_PARTITION]
+        yield pa.RecordBatch.from_pydict({"piece": pa.array([p for _, p in top], pa.string()), "n": pa.array([n for n, _ in top], pa.int64())})
 
     rows = docs.select("text").mapInArrow(summarise, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(TABLE).collect()
     found = [r.piece for r in rows]
+    points, off = flat_points(found)
     encoded = tokenizer(path).encode_batch(found, add_special_tokens=False)
-    return {k: len(e.ids) for k, e in zip(found, encoded, strict=True)}
+    return Table(span_hash(prefix_sums(points), off[:-1], off[1:]), np.array([len(e) for e in encoded], np.int64))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
@@ -80,29 +223,17 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     count as one token each, as the library takes them by default.  Repeated rows and
     null ids stay as they are; other columns are ignored.
     """
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(frequent(docs, path))
+    context = docs.sparkSession.sparkContext
+    kinds = context.broadcast(classes(path))  # a byte for every code point there is
+    table = context.broadcast(frequent(docs, path, kinds))  # at most ``TABLE`` entries
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, own, encode = table.value, {}, tokenizer(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            n_tokens = []
-            for text in texts:
-                found, total = pieces(text, path)
-                missing = {x for x in found if x not in common and x not in own}
-                if missing:
-                    if len(own) > CACHE:
-                        own.clear()
-                        missing = {x for x in found if x not in common}
-                    missing = list(missing)
-                    for k, e in zip(missing, encode.encode_batch(missing, add_special_tokens=False), strict=True):
-                        own[k] = len(e.ids)
-                for x in found:
-                    n = common.get(x)
-                    total += own[x] if n is None else n
-                n_tokens.append(total)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "over_limit": pa.array([n > limit for n in n_tokens])})
+            for part in slices(batch, "text"):
+                text = part.column("text")
+                cut = Cut(text, path, kinds.value)
+                n_tokens = cut.special + np.bincount(cut.of, lengths(cut, table.value, path), part.num_rows).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pc.fill_null(pc.binary_length(text), 0).cast(pa.int64()), "n_tokens": pa.array(n_tokens), "over_limit": pa.array(n_tokens > limit)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
