@@ -175,6 +175,47 @@ def unpack_all(blobs, **kinds: str) -> dict[str, np.ndarray]:
     return {k: np.concatenate([p[k] for p in parts]) for k in kinds}
 
 
+def flat_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, offsets)."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    return points, np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
+
+
+def address(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes >> U(64 - size.bit_length() + 1)).astype(np.int64)
+
+
+class Table:
+    """Open addresses of distinct hashes with values from 0: at least twice as many places as entries, the next free place taken."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        size = 1 << max(4, (2 * len(hashes)).bit_length())
+        self.key, self.value = np.zeros(size, U), np.zeros(size, np.int32)
+        self.steps = 1
+        at, left = address(hashes, size), np.arange(len(hashes))
+        while len(left):  # all that are left try one place; one of each place's takers gets it
+            free = self.key[at[left]] == 0
+            mine, first = np.unique(at[left[free]], return_index=True)
+            put = left[free][first]
+            self.key[mine], self.value[mine] = hashes[put], values[put]
+            left = np.setdiff1d(left, put, assume_unique=True)
+            at[left] = (at[left] + 1) & (size - 1)
+            self.steps += 1
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Values, -1 where the table has none."""
+        out, at, left = np.full(len(hashes), -1, np.int64), address(hashes, len(self.key)), np.arange(len(hashes))
+        for _ in range(self.steps):
+            key = self.key[at[left]]
+            hit = key == hashes[left]
+            out[left[hit]] = self.value[at[left[hit]]]
+            left = left[~hit & (key != 0)]
+            if not len(left):
+                break
+            at[left] = (at[left] + 1) & (len(self.key) - 1)
+        return out
+
+
 def text_bytes(docs: DataFrame) -> int:
     from pyspark.sql import functions as F
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, prefix_sums, slices, span_hash
+from .common import Table, flat_points, prefix_sums, slices, span_hash
 
 #: Pre-tokens that a partition reports, and that the broadcast table holds.
 PER_PARTITION, TABLE = 8192, 65536
@@ -91,12 +91,6 @@ def pre_tokens(points: np.ndarray, off: np.ndarray, kinds: np.ndarray) -> np.nda
     return np.flatnonzero(begins[:n])
 
 
-def flat_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(code points of all texts, offsets)."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    return points, np.append(0, np.cumsum([len(t) for t in texts]))
-
-
 class Cut:
     """Pre-tokens of a slice of texts: spans, hashes and the text each lies in.
 
@@ -129,41 +123,6 @@ class Cut:
         return out
 
 
-def address(hashes: np.ndarray, size: int) -> np.ndarray:
-    return (hashes >> U(64 - size.bit_length() + 1)).astype(np.int64)
-
-
-class Table:
-    """Open addresses of hashes with counts: at least twice as many places as entries, the next free place taken."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        size = 1 << max(4, (2 * len(hashes)).bit_length())
-        self.key, self.count = np.zeros(size, U), np.zeros(size, np.uint16)
-        self.steps = 1
-        at, left = address(hashes, size), np.arange(len(hashes))
-        while len(left):  # all that are left try one place; one of each place's takers gets it
-            free = self.key[at[left]] == 0
-            mine, first = np.unique(at[left[free]], return_index=True)
-            put = left[free][first]
-            self.key[mine], self.count[mine] = hashes[put], counts[put]
-            left = np.setdiff1d(left, put, assume_unique=True)
-            at[left] = (at[left] + 1) & (size - 1)
-            self.steps += 1
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Counts, -1 where the table has none."""
-        out, at, left = np.full(len(hashes), -1, np.int64), address(hashes, len(self.key)), np.arange(len(hashes))
-        for _ in range(self.steps):
-            key = self.key[at[left]]
-            hit = key == hashes[left]
-            out[left[hit]] = self.count[at[left[hit]]]
-            left = left[~hit & (key != 0)]
-            if not len(left):
-                break
-            at[left] = (at[left] + 1) & (len(self.key) - 1)
-        return out
-
-
 #: A worker's own counts by file and hash, in a younger and an older half.
 _OWN: dict[str, list[dict[int, int]]] = {}
 
