@@ -76,6 +76,7 @@ class Codec:
         pairs = [(number[p[:k]], number[p[k:]], r) for r, p in enumerate(order) for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
         left, right, rank = np.array(pairs, np.int64).reshape(-1, 3).T
         self.pairs = Table(pair_key(left, right), rank)
+        self.rank_of = {(a, b): r for a, b, r in pairs}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the piece that two symbols make, NONE where they make none."""
@@ -121,7 +122,6 @@ class Codec:
     def merge_heap(self, sym: list[int], key: int) -> list[int]:
         """The same for one chunk of any length."""
         n = len(sym)
-        pair = lambda a, b: int(self.rank(np.array([a]), np.array([b]))[0])
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         ranks = self.rank(np.array(sym[:-1], np.int64), np.array(sym[1:], np.int64)).tolist()
         agenda = [(r, i) for i, r in enumerate(ranks) if r < NONE]
@@ -138,17 +138,15 @@ class Codec:
             sym[i], ranks[j] = r, NONE
             sym[j] = -1
             k = after[i] = after[j]
-            ranks[i] = NONE
+            ranks[i] = self.rank_of.get((r, sym[k]), NONE) if k < n else NONE
             if k < n:
                 before[k] = i
-                ranks[i] = pair(r, sym[k])
-                heapq.heappush(agenda, (ranks[i], i))
-            k = before[i]
-            if k >= 0:
-                ranks[k] = pair(sym[k], r)
-                heapq.heappush(agenda, (ranks[k], k))
-            while agenda and agenda[0][0] == NONE:
-                heapq.heappop(agenda)
+            at = before[i]
+            if at >= 0:
+                ranks[at] = self.rank_of.get((sym[at], r), NONE)
+            for k in (i, at):
+                if k >= 0 and ranks[k] < NONE:
+                    heapq.heappush(agenda, (ranks[k], k))
         return [x for x in sym if x != -1]
 
     def encode_all(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
