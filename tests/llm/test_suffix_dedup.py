@@ -2,7 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from veilspark.llm import suffix_dedup
 
@@ -48,6 +51,48 @@ def test_spans_equal_brute_force(spark, together):
     assert [tuple(r)[:4] for r in got if r.doc_id is None] == [(None, 0, 0, 0)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab", min_size=6, max_size=40), min_size=1, max_size=6), st.integers(3, 6))
+def test_longest_previous_factors_equal_brute_force(parts, length):
+    data = np.frombuffer("".join(parts).encode(), np.uint8)
+    n = len(data)
+    ranks = suffix_dedup.prefix_ranks(data, length)
+    padded = data.tobytes() + b"\0" * length
+    assert [len(set(r.tolist())) for _, r in ranks] == [len({padded[i : i + h] for i in range(n)}) for h, _ in ranks]
+    order = np.argsort(ranks[-1][1], kind="stable")
+    assert [padded[i : i + length] for i in order] == sorted(padded[i : i + length] for i in range(n))
+    common = lambda i, j: next((k for k in range(length) if padded[i + k] != padded[j + k]), length)
+    lcp = np.append(0, suffix_dedup.common_prefixes(ranks, order[1:], order[:-1]))
+    assert lcp.tolist() == [0] + [common(i, j) for i, j in zip(order[1:], order[:-1])]
+    for sign in (1, -1):
+        got = suffix_dedup.previous_factors(lcp, sign * order, 1)
+        assert got.tolist() == [max((common(i, j) for j in range(n) if sign * j < sign * i), default=0) for i in order]
+
+
+@pytest.mark.parametrize("together", [20_000, 2])
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_a_passage_in_every_document(spark, keep, together):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 7)))
+    passage = " ".join(word() for _ in range(60))[:260]
+    rows = [(i, word() + passage + word() * (i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_dedup.digest(df, keep=keep, together=together).collect()}
+    if keep == "none":
+        want = {d: (removed, runs) for d, _, removed, runs, _ in brute([(i, t.encode()) for i, t in rows], 200)}
+        assert got == want
+    else:  # bytes under a window that an earlier document, or an earlier place, has too
+        seen, want = set(), {}
+        for i, t in rows:
+            hit = set()
+            for k in range(len(t) - 199):
+                if t[k : k + 200] in seen:
+                    hit |= set(range(k, k + 200))
+                seen.add(t[k : k + 200])
+            want[i] = len(hit)
+        assert {d: n for d, (n, _) in got.items()} == want
+
+
 def test_first_copy_stays(spark):
     r = random.Random(1)
     passage = "".join(r.choice("abcdefgh") for _ in range(400))

@@ -5,11 +5,15 @@ of least hash, so all suffixes that can share a window meet under that hash:
 
 1.  Every text is cut into runs of consecutive windows with the same least hash.  A
     run is known by that hash (its key) and the hash of its bytes.
-2.  Runs meet by key.  Runs of equal bytes repeat each other whole; one of them stands
-    for all.  A key with a single run that holds its string once repeats nothing.
-3.  The bytes of the remaining runs meet by key.  Their suffixes are sorted (ties by
-    position); the neighbours of smaller position in suffix order give the longest
-    previous factor, the neighbours of larger position the longest later one.
+2.  A task settles equal runs of its own block of texts: later ones repeat the first, and
+    only the first goes on.  Runs of all blocks then meet by key.  Runs of equal bytes
+    repeat each other whole; one of them stands for all.  A key with a single run that
+    holds its string once repeats nothing.
+3.  The bytes of the remaining runs meet by key.  Their suffixes are sorted: ranks of 8
+    bytes are joined into ranks of longer and longer prefixes, up to a window's length.
+    The longest common prefixes of neighbours, and for every suffix the nearest one of
+    smaller position before and after it in suffix order, give the longest previous
+    factor; positions taken the other way give the longest later one.
 4.  Bytes under a factor of at least ``length`` are removed: those of later copies, or
     of all copies.
 """
@@ -34,7 +38,12 @@ LENGTH, SEED = 200, 64
 SHARD_BYTES = 16 << 20
 #: Distinct runs of one key that are sorted together; above it the windows are dealt out by their hash.
 TOGETHER = 20_000
+#: Bytes of runs that are sorted at once, unless one key has more; windows of hot keys that a task remembers.
+SORTED_BYTES, REMEMBERED = 2_000_000, 200_000
 DIRECT, ALONE, CONTEXT, HOT = 0, 1, 2, 3
+#: Marks of a run: its string is in it twice; other runs of its block equal it.
+AGAIN, MANY = 1, 2
+SPANS = {"one": "int64", "two": "int32", "start": "uint32", "n": "uint32"}
 RUN = {"key": "uint64", "same": "uint64", "row": "uint32", "start": "uint32", "n": "uint32", "again": "uint8"}
 
 
@@ -96,17 +105,22 @@ def runs(data: np.ndarray, off: np.ndarray, length: int = LENGTH, seed: int = SE
     return {"key": key, "same": span_hash(sums, start, end + length), "row": row.astype(np.uint32), "start": (start - off[row]).astype(np.uint32), "n": (end - start + 1).astype(np.uint32), "again": again}
 
 
-def shard_runs(batches: Iterator[pa.RecordBatch], shards: int, length: int) -> Iterator[pa.RecordBatch]:
+def shard_runs(batches: Iterator[pa.RecordBatch], shards: int, length: int, keep: str) -> Iterator[pa.RecordBatch]:
+    """Runs of blocks of texts, packed by shard of their keys; of equal runs the first, the others as spans that repeat."""
+
     def blobs(found: list[dict], ids: list[tuple]) -> pa.RecordBatch:
         cols = {k: np.concatenate([f[k] for f in found]) for k in RUN}
-        order = np.argsort(cols["key"])
-        cols = {k: v[order] for k, v in cols.items()}
         one, two = (np.concatenate(x) for x in zip(*ids, strict=True))
+        cols, new, _ = in_order(cols, one[cols["row"]], two[cols["row"]], keep)
+        later = {k: v[~new] for k, v in cols.items()}
+        copies = np.diff(np.append(np.flatnonzero(new), len(new)))
+        cols = {k: v[new] for k, v in cols.items()}
+        cols["again"] = cols["again"] | np.where(copies > 1, MANY, 0).astype(np.uint8)
         # equal widths of the hash would be uneven: a least hash is small
         of = (mix(cols["key"]) % U(shards)).astype(np.int64)
         by = np.argsort(of, kind="stable")
         bounds = np.searchsorted(of[by], np.arange(shards + 1))
-        out = {"shard": [], "one": [], "two": [], "runs": []}
+        out: dict[str, list] = {"shard": [], "one": [], "two": [], "runs": [], "later": []}
         for s in range(shards):
             mine = by[bounds[s] : bounds[s + 1]]
             if len(mine):
@@ -116,7 +130,11 @@ def shard_runs(batches: Iterator[pa.RecordBatch], shards: int, length: int) -> I
                 out["one"].append(pack(x=one[rows]))
                 out["two"].append(pack(x=two[rows]))
                 out["runs"].append(pack(**part))
-        return pa.RecordBatch.from_pydict({"shard": pa.array(out["shard"], pa.int32()), "one": pa.array(out["one"], pa.binary()), "two": pa.array(out["two"], pa.binary()), "runs": pa.array(out["runs"], pa.binary())})
+                out["later"].append(None)
+        if len(later["row"]):
+            at = later["row"]
+            out["later"][int(one[at[0]]) % len(out["later"])] = pack(one=one[at], two=two[at], start=later["start"], n=later["n"])
+        return pa.RecordBatch.from_pydict({"shard": pa.array(out["shard"], pa.int32()), "one": pa.array(out["one"], pa.binary()), "two": pa.array(out["two"], pa.binary()), "runs": pa.array(out["runs"], pa.binary()), "later": pa.array(out["later"], pa.binary())})
 
     found, ids, rows, size = [], [], 0, 0
     for batch in batches:
@@ -135,6 +153,18 @@ def shard_runs(batches: Iterator[pa.RecordBatch], shards: int, length: int) -> I
         yield blobs(found, ids)
 
 
+def in_order(c: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, keep: str) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(runs by key, bytes and position; which differ from the one before; which have another key)."""
+    order = np.lexsort((c["start"], two, one, c["same"], c["key"]))
+    c, one, two = {k: v[order] for k, v in c.items()}, one[order], two[order]
+    change = lambda v: np.append(True, v[1:] != v[:-1])[: len(v)]
+    if keep == "first":  # rows of one id and text are one document
+        own = change(c["key"]) | change(c["same"]) | change(one) | change(two) | change(c["start"])
+        c = {k: v[own] for k, v in c.items()}
+    new_key = change(c["key"])
+    return c, new_key | change(c["same"]), new_key
+
+
 def meet(pdf: pd.DataFrame, keep: str, together: int) -> pd.DataFrame:
     """Runs of a shard of keys: those that repeat whole, and those whose bytes must be compared."""
     parts = []
@@ -144,59 +174,157 @@ def meet(pdf: pd.DataFrame, keep: str, together: int) -> pd.DataFrame:
         p["two"] = unpack_all([two], x="int32")["x"][p["row"]]
         parts.append(p)
     c = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-    order = np.lexsort((c["start"], c["two"], c["one"], c["same"], c["key"]))
-    c = {k: v[order] for k, v in c.items()}
-    if keep == "first":  # rows of one id and text are one document
-        own = np.append(True, np.any([c[k][1:] != c[k][:-1] for k in ("key", "same", "one", "two", "start")], axis=0))
-        c = {k: v[own] for k, v in c.items()}
-    new_key = np.append(True, c["key"][1:] != c["key"][:-1])
-    new = new_key | np.append(True, c["same"][1:] != c["same"][:-1])
-    kind_of = np.cumsum(new) - 1
-    copies = np.bincount(kind_of)
-    distinct = np.bincount(np.cumsum(new_key) - 1, weights=new).astype(np.int64)[np.cumsum(new_key) - 1]
-    many = copies[kind_of] > 1
-    direct = many & ~new if keep == "first" else many
-    compare = new & ((distinct > 1) | (c["again"] > 0))
+    c, new, new_key = in_order(c, c["one"], c["two"], keep)
+    first = np.flatnonzero(new)
+    kind_of, key_of = np.cumsum(new) - 1, np.cumsum(new_key) - 1
+    copies = np.diff(np.append(first, len(new)))
+    many = ((copies > 1) | (np.bitwise_or.reduceat(c["again"], first) & MANY > 0))[kind_of]
+    distinct = np.bincount(key_of, weights=new).astype(np.int64)[key_of]
+    direct = ~new if keep == "first" else many
+    compare = new & ((distinct > 1) | (c["again"] & AGAIN > 0))
     role = np.where(distinct > together, HOT, np.where(many & (keep != "first"), CONTEXT, ALONE))
     at = np.concatenate([np.flatnonzero(direct), np.flatnonzero(compare)])
     roles = np.concatenate([np.full(direct.sum(), DIRECT), role[compare]]).astype(np.int8)
-    return pd.DataFrame({"one": c["one"][at], "two": c["two"][at], "start": c["start"][at].astype(np.int32), "n": c["n"][at].astype(np.int32), "key": c["key"][at].view(np.int64), "role": roles})
+    out = pd.DataFrame({"one": c["one"][at], "two": c["two"][at], "start": c["start"][at].astype(np.int32), "n": c["n"][at].astype(np.int32), "key": c["key"][at].view(np.int64), "role": roles})
+    later = [b for b in pdf["later"] if b is not None]
+    if not later:
+        return out
+    told = pd.DataFrame(unpack_all(later, **SPANS)).astype({"start": "int32", "n": "int32"})
+    return pd.concat([out, told.assign(key=np.int64(0), role=np.int8(DIRECT))])
+
+
+def ranked(keys: np.ndarray) -> np.ndarray:
+    """The rank of every value among the distinct ones."""
+    order = np.argsort(keys)
+    new = np.append(False, keys[order][1:] != keys[order][:-1])
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def prefix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(h, rank of the h bytes from every position) for growing h up to ``length``; zeros follow the end."""
+    bits = max(8, int(len(data) + length).bit_length())
+    fit = max(2, 63 // bits)
+    padded = np.append(data, np.zeros(length, np.uint8)).astype(U)
+    width, packed = min(8, length), np.zeros(len(data), U)
+    for k in range(width):
+        packed = packed << U(8) | padded[k : k + len(data)]
+    out = [(1, data.astype(np.int64)), (width, ranked(packed))]
+    while width < length:
+        rank = np.append(out[-1][1] + 1, np.zeros(length, np.int64))
+        longer = min(width * fit, length)
+        packed = rank[: len(data)]
+        for k in range(1, -(-longer // width)):
+            at = min(k * width, longer - width)
+            packed = packed << bits | rank[at : at + len(data)]
+        width = longer
+        out.append((width, ranked(packed)))
+    return out
 
 
-def repeated(keys: list[bytes], positions: list, keep: str) -> list[int]:
-    """Suffixes whose longest previous factor (or, for all copies, any other) spans the whole window.
+def common_prefixes(ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes, up to the longest of the ranked prefixes, that positions a and b have in common."""
+    longest, whole = ranks[-1]
+    out = np.where(whole[a] == whole[b], longest, 0)
+    rest = np.flatnonzero(out < longest)
+    a, b, off = a[rest], b[rest], np.zeros(len(rest), np.int64)
+    for width, rank in reversed(ranks[:-1]):
+        rank = np.append(rank, np.full(longest, -1))
+        for _ in range(8):
+            same = rank[a + off] == rank[b + off]
+            if not same.any():
+                break
+            off += width * same
+    out[rest] = np.minimum(off, longest - 1)
+    return out
+
 
-    The suffixes are sorted by their windows, ties by position, so among suffixes that
-    share a window the nearest smaller position in suffix order is the left neighbour
-    and the nearest larger one the right neighbour.
+def previous_factors(lcp: np.ndarray, position: np.ndarray, least: int) -> np.ndarray:
+    """For suffixes in suffix order, the longest prefix that one of smaller position has too; factors below ``least`` count as none.
+
+    ``lcp[k]`` is what suffix k has in common with the one before it.  The nearest suffix
+    of smaller position on either side is found by jumps: where the candidate's position
+    is larger, the candidate's own candidate follows.
     """
-    order = sorted(range(len(keys)), key=lambda i: (keys[i], positions[i]))
-    out, head = [], 0
-    for k, i in enumerate(order):
-        if keys[order[head]] != keys[i]:
-            head = k
-        before = positions[order[head]] < positions[i] if keep == "first" else k > head
-        after = keep != "first" and k + 1 < len(order) and keys[order[k + 1]] == keys[i]
-        if before or after:
-            out.append(i)
+    n = len(position)
+    best = np.zeros(n, np.int64)
+    for step in (-1, 1):
+        to = np.arange(n) + step
+        have = lcp.copy() if step < 0 else np.append(lcp[1:], 0)
+        live = np.flatnonzero(have >= least)
+        while len(live):
+            live = live[position[to[live]] > position[live]]
+            ahead = to[live]
+            have[live], to[live] = np.minimum(have[live], have[ahead]), to[ahead]
+            live = live[have[live] >= least]
+        best = np.maximum(best, np.where(have >= least, have, 0))
+    return best
+
+
+def repeated(runs: list[bytes], windows: np.ndarray, length: int, keep: str) -> np.ndarray:
+    """Which windows of runs, in order of position, are later copies (or have any copy, if none is kept)."""
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    first = np.append(0, np.cumsum([len(r) for r in runs]))[:-1]
+    at = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+    ranks = prefix_ranks(data, length)
+    order = np.argsort(ranks[-1][1][at], kind="stable")
+    lcp = np.append(0, common_prefixes(ranks, at[order][1:], at[order][:-1]))
+    factor = previous_factors(lcp, order, length)
+    if keep != "first":
+        factor = np.maximum(factor, previous_factors(lcp, -order, length))
+    out = np.zeros(len(at), bool)
+    out[order] = factor >= length
     return out
 
 
 def compare_runs(pdf: pd.DataFrame, length: int, keep: str) -> pd.DataFrame:
-    """Sort the suffixes of the runs of each key; spans of those that occur elsewhere too."""
-    out: list[tuple[int, int, int, int]] = []
-    for _, group in pdf.groupby("key", sort=False):
-        keys, positions, whose = [], [], []
-        for one, two, start, n, role, data in zip(group["one"], group["two"], group["start"], group["n"], group["role"], group["data"], strict=True):
-            keys += [data[i : i + length] for i in range(n)]
-            positions += [(one, two, start + i) for i in range(n)]
-            whose += [role] * n
-        for one, two, at in sorted(positions[i] for i in repeated(keys, positions, keep) if whose[i] != CONTEXT):
-            if out and out[-1][:2] == (one, two) and out[-1][2] <= at <= out[-1][3]:
-                out[-1] = (one, two, out[-1][2], at + length)
-            else:
-                out.append((one, two, at, at + length))
-    return pd.DataFrame(out, columns=["one", "two", "start", "stop"]).astype({"one": "int64", "two": "int32", "start": "int32", "stop": "int32"})
+    """Factors of the runs of a shard; spans of those that occur elsewhere too."""
+    told = pdf["role"] == DIRECT
+    out = [pdf[told][["one", "two", "start"]].assign(stop=(pdf["start"][told] + length).to_numpy())]
+    pdf = pdf[~told].sort_values(["key", "one", "two", "start"], kind="stable")
+    if keep == "first":  # rows of one id and text are one document
+        pdf = pdf.drop_duplicates(["key", "one", "two", "start"])
+    sizes = pdf.groupby("key", sort=True)["n"].agg(lambda n: int(n.sum()) + len(n) * (length - 1))
+    block = (sizes.cumsum() - 1) // SORTED_BYTES
+    for _, group in pdf.groupby(pdf["key"].map(block), sort=False):
+        group = group.sort_values(["one", "two", "start"], kind="stable")
+        n = group["n"].to_numpy(np.int64)
+        hit = repeated(group["data"].tolist(), n, length, keep) & np.repeat(group["role"].to_numpy() != CONTEXT, n)
+        run = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + group["start"].to_numpy()[run]
+        run, at = run[hit], at[hit]
+        new = np.append(True, (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1))[: len(run)]
+        if not len(run):
+            continue
+        first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(run)) - 1
+        out.append(pd.DataFrame({"one": group["one"].to_numpy()[run[first]], "two": group["two"].to_numpy()[run[first]], "start": at[first], "stop": at[last] + length}))
+    return pd.concat(out).astype({"one": "int64", "two": "int32", "start": "int32", "stop": "int32"})
+
+
+class Hot:
+    """Windows of hot keys as a task meets them: the first copy, and any of smaller position, goes on; the others repeat it."""
+
+    def __init__(self, length: int, keep: str, shards: int):
+        self.length, self.keep, self.shards, self.seen = length, keep, shards, {}
+
+    def take(self, raw: bytes, run: dict, one: int, two: int) -> Iterator[tuple]:
+        """(shard, one, two, start, role, bytes) of the windows of a run that go on, without bytes of those that repeat."""
+        for start in range(run["start"], run["start"] + run["n"]):
+            window, position = raw[start : start + self.length], (one, two, start)
+            known = hashlib.blake2b(window, digest_size=16).digest()
+            held = self.seen.get(known)
+            told = lambda p: (p[0] % self.shards, *p, DIRECT, b"")
+            if held is not None and (self.keep != "first" or held < position):
+                yield told(position)
+                if self.keep != "first" and held:
+                    yield told(held)
+                    self.seen[known] = ()
+                continue
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            self.seen[known] = position
+            yield (int.from_bytes(known[:4], "big") % self.shards, *position, HOT, window)
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -215,26 +343,26 @@ def removed_spans(rows: DataFrame, length: int = LENGTH, keep: str = "none", tog
     """one, two, spans: byte spans to remove from each row (merged, in order)."""
     shards = max(12, -(-text_bytes(rows) // SHARD_BYTES))
     base = rows.select("one", "two", "text")
-    found = base.mapInArrow(lambda b: shard_runs(b, shards, length), "shard int, one binary, two binary, runs binary").groupBy("shard").applyInPandas(lambda p: meet(p, keep, together), "one long, two int, start int, n int, key long, role byte")
+    found = base.mapInArrow(lambda b: shard_runs(b, shards, length, keep), "shard int, one binary, two binary, runs binary, later binary").groupBy("shard").applyInPandas(lambda p: meet(p, keep, together), "one long, two int, start int, n int, key long, role byte")
     direct = found.where(F.col("role") == DIRECT).select("one", "two", "start", (F.col("start") + F.col("n") + length - 1).alias("stop"))
     wanted = found.where(F.col("role") > DIRECT).groupBy("one", "two").agg(F.collect_list(F.struct("key", "start", "n", "role")).alias("runs"))
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"shard": pa.int32(), "key": pa.int64(), "one": pa.int64(), "two": pa.int32(), "start": pa.int32(), "n": pa.int32(), "role": pa.int8(), "data": pa.binary()}
+        hot = Hot(length, keep, shards)
         for batch in batches:
             batch = batch.filter(batch.column("runs").is_valid())
             for part in slices(batch, "text"):
-                out: dict[str, list] = {k: [] for k in ("shard", "key", "one", "two", "start", "n", "role", "data")}
+                rows: list[tuple] = []
                 for one, two, text, asked in zip(*(part.column(k).to_pylist() for k in ("one", "two", "text", "runs")), strict=True):
                     raw = text.encode()
                     for r in asked:
-                        pieces = [(r["key"] % shards, r["start"], r["n"])]
-                        if r["role"] == HOT:  # one window at a time, dealt out by its bytes
-                            pieces = [(int.from_bytes(hashlib.blake2b(raw[s : s + length], digest_size=4).digest(), "big") % shards, s, 1) for s in range(r["start"], r["start"] + r["n"])]
-                        for shard, start, n in pieces:
-                            for k, v in (("shard", shard), ("key", r["key"]), ("one", one), ("two", two), ("start", start), ("n", n), ("role", r["role"]), ("data", raw[start : start + n + length - 1])):
-                                out[k].append(v)
-                kinds = {"shard": pa.int32(), "key": pa.int64(), "one": pa.int64(), "two": pa.int32(), "start": pa.int32(), "n": pa.int32(), "role": pa.int8(), "data": pa.binary()}
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
+                        if r["role"] == HOT:
+                            rows += [(shard, r["key"], a, b, start, 1, role, data) for shard, a, b, start, role, data in hot.take(raw, r, one, two)]
+                        else:
+                            rows.append((r["key"] % shards, r["key"], one, two, r["start"], r["n"], r["role"], raw[r["start"] : r["start"] + r["n"] + length - 1]))
+                cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_pydict({k: pa.array(c, t) for (k, t), c in zip(kinds.items(), cols, strict=True)})
 
     asked = base.join(wanted, ["one", "two"], "left").mapInArrow(bytes_of, "shard int, key long, one long, two int, start int, n int, role byte, data binary")
     compared = asked.groupBy("shard").applyInPandas(lambda p: compare_runs(p, length, keep), "one long, two int, start int, stop int")
