@@ -12,7 +12,7 @@ def brute(rows):
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
-    root = list(range(len(rows)))
+    root, links = list(range(len(rows))), [0] * len(rows)
 
     def find(i):
         while root[i] != i:
@@ -23,10 +23,12 @@ def brute(rows):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, (d, _) in enumerate(rows):
         least[find(i)] = min(d, least.get(find(i), d))
-    return sorted((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows))
+    return sorted((d, len(sets[i]), least[find(i)], links[i]) for i, (d, _) in enumerate(rows))
 
 
 def sample(seed):
@@ -54,6 +56,34 @@ def test_components_equal_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, ngram_join.near_duplicates(df).collect())) == want
     monkeypatch.setattr(ngram_join, "FAMILY_BYTES", 9000)  # large families are cut by size band
     assert sorted(map(tuple, ngram_join.near_duplicates(df).collect())) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(ngram_join, "FAMILY_DOCS", 6)
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    assert sorted(map(tuple, ngram_join.near_duplicates(df).collect())) == want
+
+
+def test_a_shingle_in_every_document(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(400):  # small documents around one passage, some near copies
+        w = [f"q{i // 3}x{k}" for k in range(r.randint(1, 9))]
+        rows.append((i, " ".join([*w, "this very line stands in all of them today"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngram_join.near_duplicates(df).collect())) == brute(rows)
+
+
+def test_ids_of_any_kind(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [("b", text), ("a", text + " x"), ("c", "other words here"), (None, text)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("b", 26, "a", 2), ("a", 27, "a", 2), ("c", 1, "c", 0), (None, 26, "a", 2)], key=str)
+
+
+def test_texts_of_one_id(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(30)) for p in "vw")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x")]
+    found = {tuple(sorted(map(tuple, ngram_join.near_duplicates(spark.createDataFrame(x, "doc_id long, text string").repartition(n)).collect()))) for x, n in ((rows, 1), (rows[::-1], 3), (rows, 4))}
+    assert len(found) == 1
 
 
 def test_lone_pairs_equal_brute_force(spark):

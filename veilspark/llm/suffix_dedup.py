@@ -39,7 +39,7 @@ SHARD_BYTES = 16 << 20
 #: Distinct runs of one key that are sorted together; above it the windows are dealt out by their hash.
 TOGETHER = 20_000
 #: Bytes of runs that are sorted at once, unless one key has more; windows of hot keys that a task remembers.
-SORTED_BYTES, REMEMBERED = 2_000_000, 200_000
+SORTED_BYTES, REMEMBERED = 1_000_000, 200_000
 DIRECT, ALONE, CONTEXT, HOT = 0, 1, 2, 3
 #: Marks of a run: its string is in it twice; other runs of its block equal it.
 AGAIN, MANY = 1, 2
@@ -197,8 +197,8 @@ def ranked(keys: np.ndarray) -> np.ndarray:
     """The rank of every value among the distinct ones."""
     order = np.argsort(keys)
     new = np.append(False, keys[order][1:] != keys[order][:-1])
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(new)
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
     return out
 
 
@@ -210,9 +210,9 @@ def prefix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
     width, packed = min(8, length), np.zeros(len(data), U)
     for k in range(width):
         packed = packed << U(8) | padded[k : k + len(data)]
-    out = [(1, data.astype(np.int64)), (width, ranked(packed))]
+    out = [(1, data.astype(np.int32)), (width, ranked(packed))]
     while width < length:
-        rank = np.append(out[-1][1] + 1, np.zeros(length, np.int64))
+        rank = np.append(out[-1][1].astype(np.int64) + 1, np.zeros(length, np.int64))
         longer = min(width * fit, length)
         packed = rank[: len(data)]
         for k in range(1, -(-longer // width)):
@@ -230,7 +230,7 @@ def common_prefixes(ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.nd
     rest = np.flatnonzero(out < longest)
     a, b, off = a[rest], b[rest], np.zeros(len(rest), np.int64)
     for width, rank in reversed(ranks[:-1]):
-        rank = np.append(rank, np.full(longest, -1))
+        rank = np.append(rank, np.full(longest, -1, np.int32))
         for _ in range(8):
             same = rank[a + off] == rank[b + off]
             if not same.any():
