@@ -118,22 +118,28 @@ def test_windows_and_offsets(spark):
     assert d[4].items_sha256 == hashlib.sha256(b"").hexdigest()
 
 
-def test_several_automata_equal_one(spark, odd):
-    bench = odd.select(F.col("doc_id").alias("item_id"), "text").where("doc_id between 20 and 30")
-    whole = decontaminate.digest(decontaminate.contamination(odd, bench)).collect()
-    parts = list(decontaminate.chunks_of_items(bench, limit=100))
-    assert len(parts) > 1
-    merged: dict = {}
-    for p in parts:
-        for k, v in p.items():
-            merged.setdefault(k, set()).update(v)
-    assert merged == {k: set(v) for k, v in next(decontaminate.chunks_of_items(bench)).items()}
-    assert len(whole) == odd.count()
+def test_rounds_equal_one_automaton(spark, odd):
+    bench = odd.select(F.col("doc_id").alias("item_id"), "text").where("doc_id between 20 and 30 or doc_id is null")
+    assert len(list(decontaminate.rounds(bench, limit=2000))) > 2
+    rows = lambda df: sorted(map(str, df.collect()))
+    for change in (lambda d: d, lambda d: d.limit(0)):
+        whole, parts = (decontaminate.contamination(change(odd), bench, limit=n) for n in (1 << 23, 2000))
+        assert rows(whole) == rows(parts) and whole.columns == parts.columns
+    assert decontaminate.contamination(odd, bench).count() == odd.count()
     kept = decontaminate.drop_contaminated(odd, bench)
     assert kept.columns == odd.columns and kept.where("doc_id between 20 and 30").count() == 0
+    assert rows(kept) == rows(decontaminate.drop_contaminated(odd, bench, limit=2000))
     assert decontaminate.drop_contaminated(odd, empty(bench)).count() == odd.count()
 
 
+def test_an_item_without_id_hits_unnamed(spark):
+    bench = spark.createDataFrame([(None, "alpha beta"), (5, "gamma")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "an alpha beta"), (2, "alpha beta gamma"), (3, "clean")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.digest(decontaminate.contamination(docs, bench)).collect()}
+    assert got == {1: (2, 0, True), 2: (3, 1, True), 3: (0, 0, False)}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [3]
+
+
 # Classifiers
 
 
@@ -149,6 +155,47 @@ def test_classifiers_on_odd_rows(odd, labels):
     assert kept.columns == odd.columns and kept.count() == odd.count()
 
 
+def test_attention_score_equals_brute_force():
+    import pyarrow as pa
+
+    r = random.Random(2)
+    texts = ["", "one", " ".join(f"w{r.randint(0, 50)}" for _ in range(200)), "x! " * 64 + "y"]
+    x, count = quality_classifier.passages(*common.flat(pa.array(texts)))
+    assert count.tolist() == [1, 1, 4, 2]
+    words = texts[2].split()
+    assert x[2:6, quality_classifier.N_RATIOS :].astype(bool).sum(1).tolist() <= [len(set(words[i : i + 64])) for i in range(0, 200, 64)]
+    assert np.allclose((x[1:, quality_classifier.N_RATIOS :] ** 2).sum(1), 1)
+    model = quality_classifier.Model(x.mean(0), x.std(0) + 1e-3, seed=3)
+    model.p["b"] += 0.1
+    p, want, at = model.p, [], 0
+    for n in count:
+        z = [np.tanh((np.clip((row - model.mean) / model.scale, -6, 6) * model.share) @ p["W"] + p["b"]) for row in x[at : at + n]]
+        e = [np.exp(float(((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"])[0])) for v in z]
+        m = sum(a / sum(e) * v for a, v in zip(e, z))
+        want.append(1 / (1 + np.exp(-float((m @ p["c"] + p["d"])[0]))))
+        at += n
+    assert model.forward(x, count)[0] == pytest.approx(want)
+
+
+def test_toxic_features_equal_brute_force():
+    lexicon = toxicity.Lexicon(["villain", "rogue", "bad"], [2.0, 1.0, 4.0], {"you": 0.5, "they": -1.0})
+    text = "you vilain and they said \"the rogue, he\" was bad; badd is fine"
+    found = []
+    words = text.lower().split()
+    for i, w in enumerate(words):
+        bare = w.strip("\",;.")
+        near = [(edits(bare, t), k) for k, t in enumerate(lexicon.terms) if edits(bare, t) <= toxicity.edits_allowed(t)]
+        if near:
+            found.append((i, *min(near)))
+    assert [(i, e) for i, e, _ in found] == [(1, 1), (6, 0), (9, 0)]
+    weights = [lexicon.weights[k] / (1 + e) for _, e, k in found]
+    around = [np.mean([lexicon.context.get(w, 0.0) for w in words[max(0, i - 6) : i + 7]]) for i, _, _ in found]
+    want = [1, np.log1p(weights[0] + weights[2]), np.log1p(weights[1]), np.log1p(1), 4.0, 30 / (len(words) + 10), np.mean(around)]
+    assert lexicon.features(text, lexicon.matcher()) == pytest.approx(want)
+    lexicon.coefficients = np.arange(7) / 10 - 0.3
+    assert lexicon.score(text, lexicon.matcher()) == pytest.approx(1 / (1 + np.exp(-float(lexicon.coefficients @ want))))
+
+
 def test_attention_gradient():
     r = np.random.default_rng(0)
     model = quality_classifier.Model(np.zeros(5), np.ones(5))

@@ -11,16 +11,17 @@ from .common import cut
 LEAST_HOT, MOST_HOT = 100, 2000
 
 
-def spread(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
+def spread(rows: DataFrame, per_key: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """``rows`` joined with ``per_key`` (key, n, more), where n rows have that key; n is dropped.
 
     Of ``total`` rows no more than ``MOST_HOT`` keys can have over ``total / MOST_HOT``
     each.  Those keys are broadcast, so that their rows stay where they are; the rest
     meets by key.
     """
+    key = [key] if isinstance(key, str) else key
     bound = max(LEAST_HOT, total // MOST_HOT)
     hot = F.broadcast(per_key.where(F.col("n") > bound).drop("n"))
-    rest = rows.join(hot.select(key), key, "left_anti").join(per_key.where(F.col("n") <= bound).drop("n"), key)
+    rest = rows.join(hot.select(*key), key, "left_anti").join(per_key.where(F.col("n") <= bound).drop("n"), key)
     return rows.join(hot, key).unionByName(rest)
 
 
@@ -44,10 +45,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200)
         # large star: every larger neighbour points to the least of the neighbourhood
         least = _least(both).select("u", F.least("u", "m").alias("m"), "n")
         large = spread(both, least, "u", 2 * n_edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: every smaller neighbour, and the node, point to the least of them
+        # small star: every smaller neighbour, and the node, point to the least of them; after the
+        # large star a node's smaller neighbours are the least ones of its neighbours, and few
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = _least(down)
-        small = spread(down, least, "u", 2 * n_edges).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.distinct())
         n_edges, digest = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n_edges, digest) == before:

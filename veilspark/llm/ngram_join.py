@@ -392,8 +392,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     families = cut(sized.select(F.col("node").alias("doc_id"), "one", F.col("component").alias("family"), "n", "weight"))
     links = linked(docs, families).withColumnRenamed("doc_id", "first")
     ours = nodes.join(links, "first").select("one", "two", "n_shingles", "root", "links")
-    named = classes.join(ours, ["one", "two", "n_shingles"], "left").select("one", "two", "n_shingles", F.coalesce("root", "first").alias("component_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return profile.join(named, ["one", "two", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = classes.join(ours, ["one", "two", "n_shingles"], "left").select("one", "two", "n_shingles", F.coalesce("root", "first").alias("component_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("weight").alias("n"))
+    found = spread(profile.where("n_shingles > 0"), cut(named), ["one", "two", "n_shingles"], profile.count())
+    alone = profile.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "n_links").unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality classifier: gated-attention multiple-instance learning over passages.
 
-A document is a bag of passages of 64 words.  Every passage becomes a vector of counts
-and ratios, an encoder maps it to a hidden vector, gated attention learned from the
+A document is a bag of passages of 64 words.  Every passage becomes a vector of its words,
+counted by hash, and of counts and ratios; an encoder maps it to a hidden vector, gated attention learned from the
 document labels weights the passages, and a logistic unit scores the weighted sum.
 Features and scores are computed in Spark tasks over every whole text; the weights are
 fitted on a bounded sample of labelled rows.
@@ -24,7 +24,10 @@ HIDDEN, GATE, EPOCHS, BATCH, RATE = 24, 12, 40, 256, 0.01
 
 _MARKS = b"#*$%&|<>!?.,;:()[]{}@/\\=+-_~^'\"`"
 _CLASSES = [np.isin(np.arange(256), list(m)) for m in (b"#*$%&", b"|<>", b"!", b"?", b".", b",", b"0123456789", bytes(range(65, 91)), bytes(range(128, 256)), _MARKS)]
-N_FEATURES = len(_CLASSES) + 10
+N_RATIOS = len(_CLASSES) + 10
+#: Places that the words of a passage are counted in, by hash; their share of a passage's vector, and the decay of their weights.
+BUCKETS, SHARE, DECAY = 128, 0.25, 0.05
+N_FEATURES = N_RATIOS + BUCKETS
 
 
 def passages(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +69,10 @@ def passages(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         line = white[w.start] - white[np.append(w.start[0], w.end[:-1])]
         for k, v in enumerate((length / 10, length > 14, length <= 2, capital, marked, same, again, tri, line)):
             out[full, len(_CLASSES) + k] = np.bincount(at, weights=v.astype(float), minlength=len(out))[full] / size[full]
-        out[:, -1] = size / PASSAGE
+        out[:, N_RATIOS - 1] = size / PASSAGE
+        bucket = (mix(h ^ U(0xA0761D6478BD642F)) % U(BUCKETS)).astype(np.int64)
+        counts = np.bincount(at * BUCKETS + bucket, minlength=len(out) * BUCKETS).reshape(-1, BUCKETS)
+        out[full, N_RATIOS:] = np.sqrt(counts[full] / size[full, None])
     return out, count
 
 
@@ -77,12 +83,13 @@ class Model:
         r = np.random.default_rng(seed)
         draw = lambda a, b: r.normal(0, a**-0.5, (a, b))
         self.mean, self.scale = mean, scale
+        self.share = np.where(np.arange(len(mean)) < N_RATIOS, 1.0, SHARE)
         self.p = {"W": draw(len(mean), HIDDEN), "b": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "w": draw(GATE, 1), "c": draw(HIDDEN, 1), "d": np.zeros(1)}
 
     def forward(self, x: np.ndarray, count: np.ndarray):
         p, first = self.p, np.append(0, np.cumsum(count))[:-1]
         bag = np.repeat(np.arange(len(count)), count)
-        x = np.clip((x - self.mean) / self.scale, -6, 6)
+        x = np.clip((x - self.mean) / self.scale, -6, 6) * self.share
         z = np.tanh(x @ p["W"] + p["b"])
         t, s = np.tanh(z @ p["V"]), 1 / (1 + np.exp(-(z @ p["U"])))
         e = np.exp(np.clip((t * s) @ p["w"], -30, 30))
@@ -104,8 +111,9 @@ class Model:
 
 
 def fit(x: np.ndarray, count: np.ndarray, target: np.ndarray, seed: int = 0) -> Model:
-    """Adam on shuffled batches of bags; the classes weigh as they come."""
+    """Adam on shuffled batches of bags; the classes weigh as they come, and weights of words start at none and decay."""
     model = Model(x.mean(0), x.std(0) + 1e-3, seed)
+    model.p["W"][N_RATIOS:] = 0
     first = np.append(0, np.cumsum(count))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     r, step = np.random.default_rng(seed), 0
@@ -119,6 +127,8 @@ def fit(x: np.ndarray, count: np.ndarray, target: np.ndarray, seed: int = 0) ->
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
+                if k == "W":
+                    model.p[k][N_RATIOS:] *= 1 - DECAY
                 model.p[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) + RATE * 1e-4 * model.p[k]
     return model
 
@@ -176,7 +186,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = SAMPLE) -> DataFrame:
-    """The documents that the classifier does not reject, all columns kept."""
+    """The documents that the classifier does not reject, all columns kept.
+
+    Null and empty texts are scored as bags of one empty passage; a repeated row fares as
+    its like; without a labelled row every document stays (its score is 0.5).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, bound))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .quality_classifier import held_out, sample_of
 
-#: Labelled rows that lexicon and weights are learned from, at most; terms of the lexicon, at most.
-SAMPLE, TERMS = 10_000, 512
+#: Labelled rows that lexicon, context and weights are learned from, at most; they alone bound both.
+SAMPLE = 10_000
 #: Words on each side of a match that are its context; words remembered by a worker.
 CONTEXT, CACHE = 6, 2_000_000
 #: Length from which a term may be misspelled, and by how many edits.
@@ -147,8 +147,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Lexicon:
     counts = words.groupBy("w").agg(F.sum("target").alias("t"), F.sum(1 - F.col("target")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     ranked = counts.where(F.col("t") >= max(3.0, 0.01 * toxic)).select("w", "t", "c", odds.alias("odds"))
-    terms = ranked.where("odds > 3").orderBy(F.desc("t"), "w").limit(TERMS).collect()
-    context = ranked.where("odds <= 3 AND abs(odds) > 0.3 AND t + c >= 50").orderBy(F.desc(F.abs("odds")), "w").limit(4 * TERMS).collect()
+    terms = ranked.where("odds > 3").orderBy(F.desc("t"), "w").collect()
+    context = ranked.where("odds <= 3 AND abs(odds) > 0.3 AND t + c >= 50").orderBy(F.desc(F.abs("odds")), "w").collect()
     lexicon = Lexicon([r.w for r in terms], [float(r.odds) for r in terms], {r.w: float(r.odds) for r in context})
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
