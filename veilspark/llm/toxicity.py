@@ -21,6 +21,8 @@ from .quality_classifier import held_out, sample_of
 
 #: Labelled rows that lexicon, context and weights are learned from, at most; they alone bound both.
 SAMPLE = 10_000
+#: Standard errors by which a term's log odds must exceed none, so that a small sample names no chance words.
+CERTAIN = 3.0
 #: Words on each side of a match that are its context; words remembered by a worker.
 CONTEXT, CACHE = 6, 2_000_000
 #: Length from which a term may be misspelled, and by how many edits.
@@ -77,18 +79,19 @@ class Lexicon:
         """Word -> (term, edits) or None, remembered.
 
         One edit leaves a term's first or second half whole, so a word that begins with
-        no first half and ends with no second half is refused before its automaton runs.
+        no first half and ends with no second half of a term about as long is refused
+        before its automaton runs.
         """
         trie, known = build_trie(self.terms), {t: (i, 0) for i, t in enumerate(self.terms)}
-        heads, tails = {t[: len(t) // 2] for t in self.terms}, {t[len(t) // 2 :] for t in self.terms}
-        head_sizes, tail_sizes = sorted({len(x) for x in heads}), sorted({len(x) for x in tails})
+        long = [t for t in self.terms if edits_allowed(t)]
+        heads, tails = {(len(t), t[: len(t) // 2]) for t in long}, {(len(t), t[len(t) // 2 :]) for t in long}
         terms = dict(known)
 
         def find(word: str) -> tuple[int, int] | None:
             bare = _EDGES.sub("", word)
             if bare in terms:
                 return terms[bare]
-            if len(bare) < MISSPELLED - EDITS or not (any(bare[:k] in heads for k in head_sizes) or any(bare[-k:] in tails for k in tail_sizes)):
+            if not any((n, bare[: n // 2]) in heads or (n, bare[n // 2 - n :]) in tails for n in range(len(bare) - EDITS, len(bare) + EDITS + 1)):
                 return None
             return intersect(bare, trie, self.terms)
 
@@ -147,7 +150,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Lexicon:
     counts = words.groupBy("w").agg(F.sum("target").alias("t"), F.sum(1 - F.col("target")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     ranked = counts.where(F.col("t") >= max(3.0, 0.01 * toxic)).select("w", "t", "c", odds.alias("odds"))
-    terms = ranked.where("odds > 3").orderBy(F.desc("t"), "w").collect()
+    sure = F.col("odds") > CERTAIN * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    terms = ranked.where((F.col("odds") > 3) & sure).orderBy(F.desc("t"), "w").collect()
     context = ranked.where("odds <= 3 AND abs(odds) > 0.3 AND t + c >= 50").orderBy(F.desc(F.abs("odds")), "w").collect()
     lexicon = Lexicon([r.w for r in terms], [float(r.odds) for r in terms], {r.w: float(r.odds) for r in context})
 
