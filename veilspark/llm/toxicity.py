@@ -21,8 +21,6 @@ from .quality_classifier import held_out, sample_of
 
 #: Labelled rows that lexicon, context and weights are learned from, at most; they alone bound both.
 SAMPLE = 10_000
-#: Standard errors by which a term's log odds must exceed none, so that a small sample names no chance words.
-CERTAIN = 3.0
 #: Words on each side of a match that are its context; words remembered by a worker.
 CONTEXT, CACHE = 6, 2_000_000
 #: Length from which a term may be misspelled, and by how many edits.
@@ -48,23 +46,34 @@ def build_trie(terms: list[str]) -> dict:
 def intersect(word: str, trie: dict, terms: list[str]) -> tuple[int, int] | None:
     """(term, edits) of the nearest lexicon term that the word's automaton accepts.
 
-    The automaton's state is the row of edit distances between the trie's path and
-    every prefix of the word; a path dies when its whole row exceeds the most edits.
+    The automaton's state is the row of edit distances between the trie's path and those
+    prefixes of the word that are about as long; a path dies when all exceed the most edits.
     """
     best: tuple[int, int] | None = None
-    stack = [(trie, list(range(len(word) + 1)))]
+    size, over = len(word), EDITS + 1
+    band = range(2 * EDITS + 1)  # at depth d, place b stands for the first d - EDITS + b characters
+    stack = [(trie, 0, [b - EDITS if b >= EDITS else over for b in band])]
     while stack:
-        node, row = stack.pop()
+        node, depth, row = stack.pop()
         i = node.get("")
-        if i is not None and row[-1] <= edits_allowed(terms[i]) and (best is None or (row[-1], i) < (best[1], best[0])):
-            best = (i, row[-1])
+        end = size - depth + EDITS
+        if i is not None and end in band and row[end] <= edits_allowed(terms[i]) and (best is None or (row[end], i) < (best[1], best[0])):
+            best = (i, row[end])
         for c, child in node.items():
             if c:
-                new = [row[0] + 1]
-                for k, w in enumerate(word):
-                    new.append(min(new[k] + 1, row[k + 1] + 1, row[k] + (w != c)))
+                new, left, at = [], over, depth - EDITS
+                for b in band:
+                    cost = left + 1
+                    if 0 <= at < size and row[b] + (word[at] != c) < cost:
+                        cost = row[b] + (word[at] != c)
+                    if b < 2 * EDITS and row[b + 1] + 1 < cost:
+                        cost = row[b + 1] + 1
+                    if not -1 <= at < size or cost > over:
+                        cost = over
+                    new.append(cost)
+                    left, at = cost, at + 1
                 if min(new) <= EDITS:
-                    stack.append((child, new))
+                    stack.append((child, depth + 1, new))
     return best
 
 
@@ -150,8 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Lexicon:
     counts = words.groupBy("w").agg(F.sum("target").alias("t"), F.sum(1 - F.col("target")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     ranked = counts.where(F.col("t") >= max(3.0, 0.01 * toxic)).select("w", "t", "c", odds.alias("odds"))
-    sure = F.col("odds") > CERTAIN * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    terms = ranked.where((F.col("odds") > 3) & sure).orderBy(F.desc("t"), "w").collect()
+    terms = ranked.where("odds > 3").orderBy(F.desc("t"), "w").collect()
     context = ranked.where("odds <= 3 AND abs(odds) > 0.3 AND t + c >= 50").orderBy(F.desc(F.abs("odds")), "w").collect()
     lexicon = Lexicon([r.w for r in terms], [float(r.odds) for r in terms], {r.w: float(r.odds) for r in context})
 
