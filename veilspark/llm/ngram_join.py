@@ -302,21 +302,22 @@ def link(ids: np.ndarray, sets: list[np.ndarray], weight: np.ndarray | None = No
 
 def linked(docs: DataFrame, families: DataFrame) -> DataFrame:
     """doc_id, root, links: components and weighed links inside every family (doc_id, one, family, n, weight)."""
-    total = families.agg(F.sum("n")).first()[0] or 0
+    total, docs_in_all = families.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shards = max(12, -(-8 * total // (FAMILY_BYTES // 3)))
     band = F.floor(F.log(F.col("n").cast("double")) / BAND)
-    sized = families.withColumn("band", band)
-    size = sized.groupBy("family").agg(F.sum("n").alias("size"), F.count("*").alias("docs"))
-    is_big = (8 * F.col("size") > FAMILY_BYTES) | (F.col("docs") > FAMILY_DOCS)
-    big = size.where(is_big)
-    n_big = big.count()
+    size = families.groupBy("family").agg(F.sum("n").alias("size"), F.count("*").alias("n"))
+    is_big = (8 * F.col("size") > FAMILY_BYTES) | (F.col("n") > FAMILY_DOCS)
+    size = cut(size.select("family", "n", is_big.alias("big")))
+    n_big = size.where("big").count()
     kept = ["doc_id", "one", "weight", "family"]
-    placed = sized.join(size.where(~is_big), "family").select(*kept, F.pmod(F.xxhash64("family"), F.lit(shards)).cast("string").alias("task"), F.lit("").alias("side"))
+    sized = spread(families.withColumn("band", band), size, "family", docs_in_all)
+    placed = sized.where("NOT big").select(*kept, F.pmod(F.xxhash64("family"), F.lit(shards)).cast("string").alias("task"), F.lit("").alias("side"))
     if n_big:
         parts = F.ceil(F.greatest(8 * F.sum("n") / (FAMILY_BYTES // 3), F.count("*") / (FAMILY_DOCS // 3))).cast("int")
-        bands = sized.join(big, "family", "left_semi").groupBy("family", "band").agg(parts.alias("parts"))
+        bands = cut(sized.where("big").groupBy("family", "band").agg(parts.alias("parts"), F.count("*").alias("n")))
         near = lambda d: bands.select("family", (F.col("band") - d).alias("band"), F.col("parts").alias(f"p{d}"))
-        split = sized.join(bands, ["family", "band"]).join(near(1), ["family", "band"], "left").join(near(-1), ["family", "band"], "left")
+        around = bands.join(near(1), ["family", "band"], "left").join(near(-1), ["family", "band"], "left")
+        split = spread(sized.where("big").select(*kept, "band"), around, ["family", "band"], docs_in_all)
         split = split.withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
         name = lambda *x: F.concat_ws(".", *[c.cast("string") for c in x])
         f, b, i = F.col("family"), F.col("band"), F.col("i")
