@@ -69,6 +69,13 @@ def leaks(texts: DataFrame, text: str, raw: DataFrame, value: str, shortest: int
     return texts.join(found, F.col(text) == F.col("__text"), "left_semi")
 
 
+def policy_coverage(resolved: DataFrame) -> DataFrame:
+    """No column without a tier, and no protected one that passes through; the detail counts the values of such columns."""
+    exposed = F.col("tier").isNull() | ((F.col("tier") != "non_sensitive") & (F.col("technique") == "passthrough"))
+    sums = resolved.where(exposed).agg(F.count("*").alias("n"), F.coalesce(F.sum("n_values"), F.lit(0)).alias("values"))
+    return gate(sums, "phi_pii_policy_coverage", F.col("n") == 0, F.col("values"))
+
+
 def mean_ratio(both: DataFrame, largest: float = 10.0, least: int = 5) -> DataFrame:
     """Means before and after within a factor of each other; few values pass."""
     a, b = F.abs("source_mean"), F.abs("masked_mean")

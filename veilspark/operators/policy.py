@@ -49,7 +49,7 @@ FIELD_RULES = [
     (r"zip", "address_replacement", "zip_code"),
     (r"\bmrn\b|medical_record", "format_preserving_synthetic", "identifier"),
     (r"group_number|account_number|policy_number", "format_preserving_synthetic", "generic"),
-    (r"_date$|^date_|dob|birth|_dt$", "date_shift", "date"),
+    (r"_date$|^date_|dob|birth|_dt$|fill_date|admit_date|discharge_date|collected_date|resulted_date|service_date|submitted_date|adjudicated_date|effective_date|term_date", "date_shift", "date"),
 ]
 # Fallback technique and scope by tier.
 FALLBACK = {
@@ -72,7 +72,7 @@ def infer_field_type(column: str) -> str:
 
 
 def linkage_scope(column: str) -> str | None:
-    return next((s for s, names in SCOPES.items() if column in names), None)
+    return next((s for s, names in SCOPES.items() if column.lower() in names), None)
 
 
 def resolve(tier: str | None, column: str) -> Rule:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keyed import hmac_sql, number_sql
@@ -148,6 +151,11 @@ TIERS = {
     "lab_partner_v2": {"lab_id": "non_sensitive", "member_id": "direct_identifier", "result": "non_sensitive"},
     "coverage": {"coverage_id": "quasi_identifier", "member_id": "direct_identifier", "plan_id": "non_sensitive", "status": "non_sensitive"},
     "provider": {"provider_id": "quasi_identifier", "provider_name": "sensitive_clinical_attribute", "nation": "non_sensitive"},
+    "member_demographics": {"member_id": "direct_identifier", "segment": "non_sensitive", "nation": "non_sensitive"},
+    "address": {"address_id": "quasi_identifier", "member_id": "direct_identifier", "zip": "quasi_identifier"},
+    "plan": {"plan_id": "non_sensitive", "plan_name": "non_sensitive", "region_id": "non_sensitive"},
+    "pharmacy": {"pharmacy_id": "non_sensitive", "pharmacy_name": "sensitive_clinical_attribute"},
+    "code": {"code": "non_sensitive", "description": "non_sensitive", "kind": "non_sensitive"},
 }
 
 
@@ -159,60 +167,32 @@ def masked(spark, sf_dir, name):
     return MASKER.table(entity(spark, sf_dir, name).select(*TIERS[name]), TIERS[name])
 
 
-MASKED_CLAIM_SQL = f"SELECT {token_sql('claim_id', 'claim-id-global')} AS claim_id, {token_sql('member_id', SCOPE)} AS member_id, {token_sql('provider_id', 'provider-id-global')} AS provider_id, status, '{M.BAD_DATE}' AS service_text, {numeric_sql('billed', hmac_sql('round(billed * 100)', 'x', KEY))} AS billed, batch FROM claim"
-
-
 @query("mask_table", f"{WITH} SELECT {token_sql('encounter_id', 'encounter-id-global')} AS encounter_id, {token_sql('member_id', SCOPE)} AS member_id, {token_sql('provider_id', 'provider-id-global')} AS provider_id, {shift_sql('discharge_date', hmac_sql('discharge_date', 'quasi-identifier-default', KEY))} AS discharge_date FROM encounter")
 def mask_table(spark, sf_dir):
     return masked(spark, sf_dir, "encounter")
 
 
-_ID_OF = {n: next(c for c in t if P.linkage_scope(c) == SCOPE) for n, t in TIERS.items() if any(P.linkage_scope(c) == SCOPE for c in t)}
-_LINKED = " UNION ALL ".join(f"SELECT '{n}' AS entity, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT {c}) AS BIGINT) AS n_tokens, min({token_sql(c, SCOPE)}) AS least FROM {n}" for n, c in _ID_OF.items())
+#: The column that names an entity's rows, in SQL as it is masked.
+ID_OF = {n: next((c for c in t if P.linkage_scope(c) == SCOPE), next(iter(t))) for n, t in TIERS.items()}
 
 
-@query("mask_estate", f"{WITH} {_LINKED}")
-def mask_estate(spark, sf_dir):
-    """Every entity masked, written and read back: rows, distinct member tokens, the least one."""
-    frames = {n: entity(spark, sf_dir, n).select(*TIERS[n]) for n in _ID_OF}
-    out = None
-    for n, df in MASKER.estate(frames, TIERS).items():
-        part = stash(df, f"masked-{n}").agg(F.count("*").alias("n_rows"), F.countDistinct(_ID_OF[n]).alias("n_tokens"), F.min(_ID_OF[n]).alias("least")).select(F.lit(n).alias("entity"), "n_rows", "n_tokens", "least")
-        out = part if out is None else out.unionByName(part)
-    return out
-
+def id_sql(name):
+    c = ID_OF[name]
+    return token_sql(c, P.linkage_scope(c)) if P.linkage_scope(c) and TIERS[name][c] != "non_sensitive" else f"CAST({c} AS VARCHAR)"
 
-@query("technique_counts", f"{WITH} SELECT entity, technique, CAST(sum(n) AS BIGINT) AS cells FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS entity, '{P.resolve(t, c).technique}' AS technique, count(*) AS n FROM {n}" for n, tiers in TIERS.items() for c, t in tiers.items()) + ") GROUP BY entity, technique")
-def technique_counts(spark, sf_dir):
-    """Rows of a table times its columns for each technique; no counter inside the masking."""
-    out = None
-    for n, tiers in TIERS.items():
-        by: dict[str, int] = {}
-        for c, t in tiers.items():
-            by[P.resolve(t, c).technique] = by.get(P.resolve(t, c).technique, 0) + 1
-        pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("technique"), F.lit(v).alias("times")) for k, v in by.items()))).alias("x")
-        part = entity(spark, sf_dir, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("entity"), "n", pairs).select("entity", "x.technique", (F.col("n") * F.col("x.times")).alias("cells"))
-        out = part if out is None else out.unionByName(part)
-    return out
 
+def ids_sql(names):
+    return " UNION ALL ".join(f"SELECT '{n}' AS entity, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT {ID_OF[n]}) AS BIGINT) AS n_tokens, min({id_sql(n)}) AS least FROM {n}" for n in names)
 
-_COLUMNS = [(n, c) for n, t in TIERS.items() for c in t]
 
+def ids(name, df):
+    """Rows, distinct masked ids and the least one of a masked entity."""
+    c = F.col(ID_OF[name]).cast("string")
+    return df.agg(F.count("*").alias("n_rows"), F.countDistinct(c).alias("n_tokens"), F.min(c).alias("least")).select(F.lit(name).alias("entity"), "n_rows", "n_tokens", "least")
 
-def _column_stats(spark, sf_dir, value, name):
-    """One row for each column: its metadata value and its non-null rows."""
-    out = None
-    for n, tiers in TIERS.items():
-        stats = entity(spark, sf_dir, n).agg(*(F.count(c).alias(c) for c in tiers))
-        part = stats.select(F.lit(n).alias("entity"), F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.lit(value(n, c)).alias("v"), F.col(c).alias("n")) for c in tiers))).alias("x")).select("entity", F.col("x.c").alias("column_name"), F.col("x.v").alias(name), F.col("x.n").alias("n_values"))
-        out = part if out is None else out.unionByName(part)
-    return out
 
-
-def _column_sql(value, name):
-    return f"{WITH} " + " UNION ALL ".join(f"SELECT '{n}' AS entity, '{c}' AS column_name, {value(n, c)!r} AS {name}, CAST(count({c}) AS BIGINT) AS n_values FROM {n}" for n, c in _COLUMNS)
-
-
-for _key, _value in {"infer_field_type": lambda n, c: P.infer_field_type(c), "linkage_scope": lambda n, c: P.linkage_scope(c) or "", "resolve_rule": lambda n, c: P.resolve(TIERS[n][c], c).technique, "catalog_lookup_join": lambda n, c: P.resolve(TIERS[n].get(c) if (len(c) % 3) else None, c).scope}.items():
-    QUERIES[_key] = lambda spark, sf_dir, v=_value, k=_key: _column_stats(spark, sf_dir, v, "resolved")
-    ORACLES[_key] = _column_sql(_value, "resolved")
+@query("mask_estate", f"{WITH} {ids_sql(TIERS)}")
+def mask_estate(spark, sf_dir):
+    """Every entity masked, written and read back."""
+    frames = {n: entity(spark, sf_dir, n).select(*t) for n, t in TIERS.items()}
+    return reduce(DataFrame.unionByName, [ids(n, stash(df, f"masked-{n}")) for n, df in MASKER.estate(frames, TIERS).items()])

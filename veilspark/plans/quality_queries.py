@@ -12,15 +12,17 @@ from ..operators import closure as C
 from ..operators import gates as G
 from ..operators import policy as P
 from ..operators import profile as D
+from ..sources import readers as R
+from ..sources import writers as W
 from ..sources.shared import folder, stash
 from .base import ESTATE, KEY, ORACLES, QUERIES, WITH, entity, estate, query, table
-from .masking_queries import _COLUMNS, MASKER, SCOPE, TIERS, _column_sql, _column_stats, masked, numeric_sql, token_sql
-from .registry_queries import REGISTRY
+from .masking_queries import MASKER, TIERS, masked, numeric_sql, token_sql
+from .metadata_queries import POLICY, RESOLVED, SOURCES, columns
+from ..operators import rules
 from .registry_queries import WITH as REGISTRY_WITH
 from .registry_queries import load as registry
-from .selection_queries import _COUNTS, _DANGLING, _EDGES, CLOSURE, HOP_OF, LOGICAL, SELECTED_COUNTS, closed, dangling_references
+from .selection_queries import _COUNTS, _DANGLING, _EDGES, CLOSURE, LOGICAL, SELECTED_COUNTS, closed, dangling_references
 
-SOURCES = {"enrollment": ["member", "member_demographics", "address", "coverage", "plan", "provider"], "claims": ["claim", "claim_line", "code"], "clinical": ["encounter", "lab_ehr"], "pbm": ["prescription", "pharmacy"], "partner": ["lab_partner_v1", "lab_partner_v2"]}
 _FLOATS = {"balance", "billed", "charge", "quantity", "result"}
 KEYS = {"claim_line": "claim_id * 10 + line_number"}
 
@@ -65,29 +67,6 @@ def column_samples(spark, sf_dir):
     return D.samples(entity(spark, sf_dir, "encounter"), "encounter_id", ["discharge_date", "member_id"])
 
 
-#: Schema rules and overrides of the columns at hand.
-RULES = {("member", "name"): "direct_identifier", ("member", "gender"): "quasi_identifier", ("claim", "status"): "non_sensitive", ("claim", "batch"): "non_sensitive", ("claim_line", "line_number"): "non_sensitive", ("coverage", "status"): "non_sensitive"}
-OVERRIDES = {("provider", "provider_name"): "sensitive", ("lab_ehr", "result"): "phi"}
-OWNER = {"enrollment": "Enrollment Data Engineering", "claims": "Claims Data Engineering", "clinical": "Clinical Data Engineering", "pbm": "Pharmacy Benefit Management Integration", "partner": "Partner Integrations"}
-SOURCE_OF = {e: s for s, es in SOURCES.items() for e in es}
-
-
-def _class(n, c):
-    return D.classify(n, c, rules=RULES, overrides=OVERRIDES)
-
-
-_METADATA = {
-    "schema_rules": lambda n, c: RULES.get((n, c), ""),
-    "manual_overrides": lambda n, c: OVERRIDES.get((n, c), ""),
-    "npi_entity_boost": lambda n, c: max([f"{x:.2f}" for _, _, x in D.detectors_of("npi" if c == "provider_id" else c, n)], default=""),
-    "classify_columns": lambda n, c: "{}:{}:{}".format(*_class(n, c)),
-    "tier_by_category": lambda n, c: D.TIER[_class(n, c)[0]],
-    "build_catalog": lambda n, c: "|".join([_class(n, c)[0], D.STRATEGY[D.TIER[_class(n, c)[0]]], OWNER[SOURCE_OF[n]], D.retention(n, _class(n, c)[0])]),
-}
-for _key, _value in _METADATA.items():
-    QUERIES[_key] = lambda spark, sf_dir, v=_value: _column_stats(spark, sf_dir, v, "resolved")
-    ORACLES[_key] = _column_sql(_value, "resolved")
-
 _TEXTS = {"conversations": ["role", "text"], "pages": ["url", "html"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"]}
 _VALUE = [(d, p) for d, _, _, _, p in D.DETECTORS if p]
 
@@ -153,12 +132,11 @@ def tally(spark, sf_dir):
     return C.verdict(dangling_references(spark, sf_dir))
 
 
-@query("gate_phi_pii_policy_coverage", f"{WITH} SELECT 'phi_pii_policy_coverage' AS gate, true AS passed, CAST((SELECT count(*) FROM member) * 0 AS VARCHAR) AS detail")
+@query("gate_phi_pii_policy_coverage", f"{POLICY}, asked AS (SELECT * REPLACE (CASE WHEN column_name = 'line_number' THEN NULL ELSE tier END AS tier) FROM cols), {RESOLVED} SELECT 'phi_pii_policy_coverage' AS gate, count(*) = 0 AS passed, CAST(coalesce(sum(n_values), 0) AS VARCHAR) AS detail FROM resolved WHERE tier IS NULL OR tier <> 'non_sensitive' AND technique = 'passthrough'")
 def gate_phi_pii_policy_coverage(spark, sf_dir):
-    """Cells of protected columns that the policy would pass through."""
-    exposed = [(n, c) for n, c in _COLUMNS if TIERS[n][c] != "non_sensitive" and P.resolve(TIERS[n][c], c).technique == "passthrough"]
-    cells = entity(spark, sf_dir, "member").agg((F.count("*") * len(exposed)).alias("n"))
-    return G.gate(cells, "phi_pii_policy_coverage", F.lit(not exposed), F.col("n"))
+    """Values of columns that no catalog entry covers, or that are protected and would pass through; one column is not covered."""
+    known = rules.resolve(columns(spark, sf_dir).withColumn("tier", F.when(F.col("column_name") != "line_number", F.col("tier"))))
+    return G.policy_coverage(known)
 
 
 @query("gate_masking_completion", f"{WITH} SELECT 'masking_completion' AS gate, count(*) > 0 AS passed, CAST(count(*) AS VARCHAR) AS detail FROM encounter")
@@ -280,17 +258,34 @@ def run_subsetting(spark, sf_dir):
     return D.union_all(parts).join(F.broadcast(verdict))
 
 
-@query("certification_pipeline", f"{CLOSURE}, {_TALLY} SELECT e.child AS entity, e.n AS n_rows, CASE WHEN bugs = 0 THEN 'certified' ELSE 'failed' END AS status FROM ({_EDGES}) e, tally WHERE e.child IN ('claim', 'encounter', 'coverage', 'provider')")
+@query("certification_pipeline", f"{CLOSURE}, {_TALLY} SELECT e.child AS entity, e.n AS n_rows, CASE WHEN bugs = 0 THEN 'certified' ELSE 'failed' END AS status, bugs = 0 AS published FROM ({_EDGES}) e, tally")
 def certification_pipeline(spark, sf_dir):
-    """Select and close, mask by policy, stage, check the staged tables, and publish only if certified."""
+    """Catalog, select and close, mask every entity by its catalogued tiers, stage, check the staged tables, and publish them all only if certified."""
     f, e = closed(spark, sf_dir)
-    entities = ["claim", "encounter", "coverage", "provider"]
-    staged = {n: stash(d, f"staged-{n}") for n, d in MASKER.estate({n: f[n].select(*TIERS[n]) for n in entities}, TIERS).items()}
-    counts = D.union_all([d.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("entity"), "n_rows") for n, d in staged.items()])
-    expected = D.union_all([f[n].agg(F.count("*").alias("expected")).select(F.lit(n).alias("entity"), "expected") for n in entities])
+    entities = {h.name: h.entity for h in C.HOPS}
+    staged = {n: stash(MASKER.table(f[n].select(*TIERS[e_]), TIERS[e_]), f"staged-{n}") for n, e_ in entities.items()}
+    count = lambda frames, c: D.union_all([d.agg(F.count("*").alias(c)).select(F.lit(n).alias("entity"), c) for n, d in frames.items()])
+    counts = stash(count(staged, "n_rows"), "staged-counts")
+    expected = count({n: f[n] for n in entities}, "expected")
     off = counts.join(expected, "entity", "full").where("NOT (n_rows <=> expected)").agg(F.count("*").alias("n"))
-    gates = D.union_all([G.gate(C.verdict(C.dangling(f, e)), "referential_integrity", F.col("engine_bug") == 0, F.col("engine_bug")), G.gate(off, "schema_validation", F.col("n") == 0, F.col("n"))])
-    return counts.join(F.broadcast(G.certify(gates).select("status")))
-
-
-assert HOP_OF and REGISTRY and SCOPE
+    found = stash(C.verdict(C.dangling(f, e)), "staged-verdict")
+    filled = counts.agg(F.sum("n_rows").alias("n"))
+    source = count({n: e[e_] for n, e_ in entities.items()}, "n").join(counts, "entity").where("n < n_rows").agg(F.count("*").alias("n"))
+    policy = rules.resolve(columns(spark, sf_dir))
+    gates = D.union_all([
+        G.policy_coverage(policy),
+        G.gate(filled, "masking_completion", F.col("n") > 0, F.col("n")),
+        G.gate(found, "referential_integrity", F.col("engine_bug") == 0, F.col("engine_bug")),
+        G.gate(off, "schema_validation", F.col("n") == 0, F.col("n")),
+        G.gate(filled, "data_quality_thresholds", F.col("n") >= 1, F.col("n")),
+        G.gate(source, "row_count_reconciliation", F.col("n") == 0, F.col("n")),
+        gate_distribution_shape(spark, sf_dir),
+        gate_policy_version_recorded(spark, sf_dir),
+        gate_masking_version_recorded(spark, sf_dir),
+    ])
+    status = G.certify(gates).first()["status"]
+    target, whole = folder(spark, "certified"), True
+    if status == "certified":
+        W.publish(spark, target, lambda path: [d.write.parquet(f"{path}/{n}") for n, d in staged.items()])
+        whole = all(R.exists(spark, f"{target}/{n}/_SUCCESS") for n in staged)
+    return counts.select("entity", "n_rows", F.lit(status).alias("status"), F.lit(status == "certified" and whole).alias("published"))

@@ -18,7 +18,7 @@ REGISTRY: dict[str, tuple[str, list[str], str | None]] = {
     "policy": ("nation", [f"{_ENV.format('n_nationkey')} AS environment", "CASE WHEN n_nationkey >= 5 THEN 'ds-' || CAST(n_nationkey AS VARCHAR(10)) END AS dataset_name", f"{_CADENCE.format('n_regionkey')} AS cadence", "CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 3 END AS interval_days"], None),
     "policy_version": ("part", ["p_partkey AS policy_version_id", "'policy-' || CAST(p_partkey % 7 AS VARCHAR(10)) AS policy_name", "p_size AS version", "CASE p_partkey % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'draft' WHEN 2 THEN 'superseded' ELSE 'rejected' END AS status"], None),
     "audit": ("events", ["event_id", "event_type", f"{_DS.format('user_id', 50)} AS subject", "'u' || CAST(user_id % 13 AS VARCHAR(10)) AS actor", "ts AS occurred_at"], None),
-    "command": ("events", ["user_id AS request_id", "event_id AS target"], "event_type = 'error' AND event_id < 1000000"),
+    "command": ("events", ["user_id AS request_id", "event_id AS target"], "event_type = 'error'"),
     "revocation": ("events", ["event_id * 2 AS version_id", "CASE WHEN event_id % 9 = 0 THEN ' ' ELSE 'audit finding' END AS reason"], "event_type = 'click'"),
     "report": ("events", ["'report-' || CAST(event_id * 3 AS VARCHAR(20)) AS report_id", f"{_DS.format('user_id', 60)} AS dataset_name", "ts AS created_at"], "event_type = 'signup'"),
     "consumer_request": ("events", ["event_id AS consumer_request_id", f"{_ENV.format('user_id')} AS environment", f"{_DS.format('event_id', 60)} AS dataset_name", "event_id % 3000 AS policy_version_id", f"{_CADENCE.format('event_id')} AS cadence"], "event_type = 'purchase'"),

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..sources import readers as R
 from ..sources import writers as W
 from ..sources.shared import folder
-from .base import KEY, ORACLES, QUERIES, WITH, entity, query
-from .masking_queries import MASKER, SCOPE, TIERS, token_sql
+from .base import ESTATE, ORACLES, QUERIES, WITH, entity, query
+from .masking_queries import MASKER, TIERS, ids, ids_sql
 from .registry_queries import WITH as REGISTRY_WITH
 from .registry_queries import load as registry
 
@@ -78,7 +78,17 @@ def sink_parquet_partitioned(spark, sf_dir):
     return spark.read.parquet(root)
 
 
-QUERIES["sink_claims_parquet"] = lambda spark, sf_dir: counted({"claim": R.read_batches(spark, claims_root(spark, sf_dir)), "claim_line": entity(spark, sf_dir, "claim_line"), "code": entity(spark, sf_dir, "code")})
+def claims_files(spark, sf_dir) -> dict[str, DataFrame]:
+    """Claims by batch, lines and codes, written and read back."""
+    read = {"claim": R.read_batches(spark, claims_root(spark, sf_dir))}
+    for n in ("claim_line", "code"):
+        root = folder(spark, n)
+        W.write_partitioned(entity(spark, sf_dir, n), root)
+        read[n] = spark.read.parquet(root)
+    return read
+
+
+QUERIES["sink_claims_parquet"] = lambda spark, sf_dir: counted(claims_files(spark, sf_dir))
 ORACLES["sink_claims_parquet"] = counts_sql(["claim", "claim_line", "code"])
 
 
@@ -112,12 +122,13 @@ def sink_csv(spark, sf_dir):
     return pbm(spark, sf_dir, "pharmacy", ["pharmacy_id", "pharmacy_name"])
 
 
-def partner(spark, sf_dir, token=False):
+def partner(spark, sf_dir):
     """The feed in both shapes, read back as (v1, v2)."""
+    return partner_feed(spark, entity(spark, sf_dir, "lab_partner_v1").select("lab_id", "pat_id", "result"), entity(spark, sf_dir, "lab_partner_v2").select("lab_id", "member_id", "result"))
+
+
+def partner_feed(spark, v1, v2):
     root = folder(spark, "partner")
-    v1, v2 = entity(spark, sf_dir, "lab_partner_v1").select("lab_id", "pat_id", "result"), entity(spark, sf_dir, "lab_partner_v2").select("lab_id", "member_id", "result")
-    if token:
-        v1, v2 = MASKER.table(v1, TIERS["lab_partner_v1"]), MASKER.table(v2, TIERS["lab_partner_v2"])
     W.write_partner_feed(v1, v2, root)
     one = spark.read.option("header", True).option("sep", "|").schema(", ".join(f"{c} string" for c in v1.columns)).csv(f"{root}/v1")
     one = one.select(*(F.col(c).cast(t).alias(c) for c, t in v1.dtypes), F.col("_metadata.file_name").alias("source_file"))
@@ -152,22 +163,50 @@ def partner_two_shape_sink(spark, sf_dir):
     return v1.select("lab_id", F.col("pat_id").cast("string").alias("member"), F.lit("v1").alias("shape")).unionByName(v2.select("lab_id", F.col("member_id").cast("string").alias("member"), F.lit("v2").alias("shape")))
 
 
-ESTATE_NAMES = ["member", "coverage", "claim_line", "encounter", "prescription", "lab_partner_v1", "lab_partner_v2"]
+def sink_whole(spark, sf_dir) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """All entities but the partner feed written in the shapes of their sources; all frames, and the folder of each."""
+    frames, roots = {n: entity(spark, sf_dir, n) for n in ESTATE}, {n: folder(spark, f"estate-{n}") for n in ESTATE}
+    for n in ENROLLMENT:
+        W.write_relational({n: frames[n]}, roots[n])
+    for n in ("claim", "claim_line", "code"):
+        W.write_partitioned(frames[n], roots[n])
+    for n in ("encounter", "lab_ehr"):
+        W.write_ndjson(frames[n], roots[n])
+    for n in ("prescription", "pharmacy"):
+        W.write_csv(frames[n], roots[n])
+    return frames, roots
 
 
-def whole_estate(spark, sf_dir):
-    root, _ = enrollment(spark, sf_dir)
-    one, two = partner(spark, sf_dir)
-    frames = {n: entity(spark, sf_dir, n) for n in ("member", "coverage")}
-    read = {n: R.read_relational(spark, root, n, df.schema) for n, df in frames.items()}
-    lines = folder(spark, "lines")
-    W.write_partitioned(entity(spark, sf_dir, "claim_line"), lines)
-    return read | {"claim_line": spark.read.parquet(lines), "encounter": scan_ndjson(spark, sf_dir), "prescription": scan_csv_all_string(spark, sf_dir), "lab_partner_v1": one, "lab_partner_v2": two}
+def read_whole(spark, frames: dict[str, DataFrame], roots: dict[str, str]) -> dict[str, DataFrame]:
+    """All fifteen entities read back; the partner feed is written in its two shapes and read at once."""
+    read = {n: R.read_relational(spark, roots[n], n, frames[n].schema) for n in ENROLLMENT}
+    read |= {n: spark.read.parquet(roots[n]) for n in ("claim", "claim_line", "code")}
+    read |= {n: R.read_ndjson(spark, roots[n], frames[n].schema).drop("_corrupt_record") for n in ("encounter", "lab_ehr")}
+    for n, df in zip(("lab_partner_v1", "lab_partner_v2"), partner_feed(spark, frames["lab_partner_v1"], frames["lab_partner_v2"]), strict=True):
+        read[n] = df.drop("source_file")
+    return read | {n: R.read_csv_strings(spark, roots[n], frames[n].columns) for n in ("prescription", "pharmacy")}
 
 
-for _key in ("load_estate", "sink_estate", "estate_sink_all"):
-    QUERIES[_key] = lambda spark, sf_dir: counted(whole_estate(spark, sf_dir))
-    ORACLES[_key] = counts_sql(ESTATE_NAMES)
+@query("load_estate", f"{WITH} " + " UNION ALL ".join(f"SELECT '{n}' AS entity, count(*) AS n_rows, CAST({len(c)} AS BIGINT) AS n_columns FROM {n}" for n, (_, c, _) in ESTATE.items()))
+def load_estate(spark, sf_dir):
+    """Every entity read from its source's shape: rows and columns."""
+    read = read_whole(spark, *sink_whole(spark, sf_dir))
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("entity"), "n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns")) for n, df in read.items()])
+
+
+@query("sink_estate", counts_sql(ESTATE))
+def sink_estate(spark, sf_dir):
+    return counted(read_whole(spark, *sink_whole(spark, sf_dir)))
+
+
+@query("estate_sink_all", f"{WITH} " + " UNION ALL ".join(f"SELECT '{n}' AS entity, count(*) AS n_rows, true AS complete FROM {n}" for n in ESTATE))
+def estate_sink_all(spark, sf_dir):
+    """The whole estate with a manifest of its row counts, held against what is read back."""
+    frames, roots = sink_whole(spark, sf_dir)
+    manifest = folder(spark, "estate-manifest")
+    W.write_ndjson(counted(frames), manifest)
+    told = spark.read.schema("entity string, n_rows long").json(manifest).withColumnRenamed("n_rows", "told")
+    return counted(read_whole(spark, frames, roots)).join(told, "entity", "left").select("entity", "n_rows", (F.col("n_rows") == F.col("told")).alias("complete"))
 
 
 @query("atomic_publish", f"{WITH} SELECT count(*) AS n_rows, false AS broken_visible FROM claim")
@@ -215,34 +254,44 @@ def manifest_scan(spark, sf_dir):
     return found.groupBy(F.regexp_extract("source_path", r"/runs/(\w+)/", 1).alias("kind")).agg(F.count("*").alias("n_manifests"), F.sum("total_rows").alias("n_rows"))
 
 
-def listed(spark, sf_dir):
-    root = folder(spark, "listed")
-    W.write_partitioned(entity(spark, sf_dir, "claim").select("claim_id", "batch"), f"{root}/claims")
-    W.write_csv(entity(spark, sf_dir, "pharmacy"), f"{root}/pbm")
-    return R.list_files(spark, root)
+#: A fixed-width copy of the pharmacies and claims, whose CSV bytes SQL can tell exactly.
+_PLAIN = f"{WITH}, plain AS (SELECT 'pharmacy' AS dataset, lpad(CAST(pharmacy_id AS VARCHAR), 12, '0') AS id, 0 AS part FROM pharmacy UNION ALL SELECT 'claim', lpad(CAST(claim_id AS VARCHAR), 12, '0'), claim_id % 3 FROM claim), sized AS (SELECT dataset, part, CAST(sum(length(id) + 1) AS BIGINT) AS bytes FROM plain GROUP BY dataset, part)"
 
 
+def plain_files(spark, sf_dir):
+    """path and length of the files of fixed-width rows: text by part for claims, CSV for pharmacies."""
+    root = folder(spark, "plain")
+    fixed = lambda e, c: entity(spark, sf_dir, e).select(F.lpad(F.col(c).cast("string"), 12, "0").alias("value"), (F.col(c) % 3).alias("part"))
+    fixed("claim", "claim_id").write.partitionBy("part").text(f"{root}/claim")
+    fixed("pharmacy", "pharmacy_id").select("value").write.csv(f"{root}/pharmacy")
+    return R.list_files(spark, root).where(~F.col("path").contains("/_"))
 
 
 def by_extension(files):
-    return files.groupBy(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1).alias("extension")).agg((F.count("*") > 0).alias("has_files"), (F.sum("length") > 0).alias("has_bytes"))
+    return files.groupBy(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1).alias("extension")).agg(F.sum("length").alias("n_bytes"))
 
 
-for _key in ("file_listing", "footprint_by_extension"):
-    QUERIES[_key] = lambda spark, sf_dir: by_extension(listed(spark, sf_dir).where(~F.col("path").contains("/_")))
-    ORACLES[_key] = "SELECT extension, true AS has_files, true AS has_bytes FROM (VALUES ('parquet'), ('csv')) t(extension), (SELECT count(*) AS n FROM orders) WHERE n > 0"
+@query("file_listing", f"{_PLAIN} SELECT dataset, CAST(sum(bytes) AS BIGINT) AS n_bytes FROM sized GROUP BY dataset")
+def file_listing(spark, sf_dir):
+    return plain_files(spark, sf_dir).groupBy(F.regexp_extract("path", r"/(claim|pharmacy)/", 1).alias("dataset")).agg(F.sum("length").alias("n_bytes"))
 
 
-@query("partition_summary", f"{WITH} SELECT 'batch' AS key, batch AS value, true AS has_files, true AS has_bytes FROM claim GROUP BY batch")
+@query("footprint_by_extension", f"{_PLAIN} SELECT CASE dataset WHEN 'claim' THEN 'txt' ELSE 'csv' END AS extension, CAST(sum(bytes) AS BIGINT) AS n_bytes FROM sized GROUP BY 1")
+def footprint_by_extension(spark, sf_dir):
+    return by_extension(plain_files(spark, sf_dir))
+
+
+@query("partition_summary", f"{_PLAIN} SELECT 'part' AS key, CAST(part AS VARCHAR) AS value, bytes AS n_bytes FROM sized WHERE dataset = 'claim'")
 def partition_summary(spark, sf_dir):
+    """Bytes of every partition; files outside partitions are left out."""
     part = lambda k: F.regexp_extract("path", r"/([A-Za-z0-9_]+)=([^/]+)/", k)
-    files = listed(spark, sf_dir).select(part(1).alias("key"), part(2).alias("value"), "length").where("key <> ''")
-    return files.groupBy("key", "value").agg((F.count("*") > 0).alias("has_files"), (F.sum("length") > 0).alias("has_bytes"))
+    files = plain_files(spark, sf_dir).select(part(1).alias("key"), part(2).alias("value"), "length").where("key <> ''")
+    return files.groupBy("key", "value").agg(F.sum("length").alias("n_bytes"))
 
 
-@query("storage_bytes", "SELECT true AS has_bytes FROM (SELECT count(*) FROM orders)")
+@query("storage_bytes", f"{_PLAIN} SELECT CAST(sum(bytes) AS BIGINT) AS n_bytes FROM sized")
 def storage_bytes(spark, sf_dir):
-    return listed(spark, sf_dir).agg((F.sum("length") > 0).alias("has_bytes"))
+    return plain_files(spark, sf_dir).agg(F.sum("length").alias("n_bytes"))
 
 
 @query("compression_ratio", "SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + length(o_orderstatus) + length(CAST(o_custkey AS VARCHAR)) + 3) AS BIGINT) AS csv_bytes, true AS has_ratio FROM orders")
@@ -260,54 +309,25 @@ def compression_ratio(spark, sf_dir):
 
 # Masking per source: read, mask, write in the same shape, read back
 
-def _masked(name, entities, read):
-    shown = " UNION ALL ".join(f"SELECT '{e}' AS entity, count(*) AS n_rows, count(DISTINCT {c}) AS n_tokens, min({token_sql(c, SCOPE)}) AS least FROM {e}" for e, c in entities.items())
-
-    @query(f"mask_source_{name}", f"{WITH} {shown}")
+def _masked(name, entities, write, read):
+    @query(f"mask_source_{name}", f"{WITH} {ids_sql(entities)}")
     def run(spark, sf_dir):
-        frames = read(spark, sf_dir)
-        return reduce(DataFrame.unionByName, [frames[e].agg(F.count("*").alias("n_rows"), F.countDistinct(c).alias("n_tokens"), F.min(c).alias("least")).select(F.lit(e).alias("entity"), "n_rows", "n_tokens", "least") for e, c in entities.items()])
-
-
-def masked_frame(spark, sf_dir, name):
-    return MASKER.table(entity(spark, sf_dir, name).select(*TIERS[name]), TIERS[name])
-
-
-def _enrollment(spark, sf_dir):
-    root, frames = folder(spark, "enrollment-masked"), {n: masked_frame(spark, sf_dir, n) for n in ("member", "coverage")}
-    W.write_relational(frames, root)
-    return {n: R.read_relational(spark, root, n, df.schema) for n, df in frames.items()}
-
-
-def _claims(spark, sf_dir):
-    root = folder(spark, "claims-masked")
-    W.write_partitioned(masked_frame(spark, sf_dir, "claim"), root)
-    return {"claim": R.read_batches(spark, root)}
-
-
-def _clinical(spark, sf_dir):
-    out = {}
-    for n in ("encounter", "lab_ehr"):
-        df, root = masked_frame(spark, sf_dir, n), folder(spark, f"{n}-masked")
-        W.write_ndjson(df, root)
-        out[n] = R.read_ndjson(spark, root, df.schema)
-    return out
-
-
-def _pbm(spark, sf_dir):
-    df, root = masked_frame(spark, sf_dir, "prescription"), folder(spark, "pbm-masked")
-    W.write_csv(df, root)
-    return {"prescription": R.read_csv_strings(spark, root, df.columns)}
-
+        out = []
+        for e in entities:
+            df, root = MASKER.table(entity(spark, sf_dir, e).select(*TIERS[e]), TIERS[e]), folder(spark, f"{e}-masked")
+            write(e, df, root)
+            out.append(ids(e, read(spark, e, df, root)))
+        return reduce(DataFrame.unionByName, out)
 
-def _partner(spark, sf_dir):
-    return dict(zip(("lab_partner_v1", "lab_partner_v2"), partner(spark, sf_dir, token=True), strict=True))
 
+_masked("postgres_enrollment", ENROLLMENT, lambda e, df, root: W.write_relational({e: df}, root), lambda spark, e, df, root: R.read_relational(spark, root, e, df.schema))
+_masked("claims_parquet", ["claim", "claim_line", "code"], lambda e, df, root: W.write_partitioned(df, root), lambda spark, e, df, root: spark.read.parquet(root))
+_masked("clinical_data_lake", ["encounter", "lab_ehr"], lambda e, df, root: W.write_ndjson(df, root), lambda spark, e, df, root: R.read_ndjson(spark, root, df.schema))
+_masked("pbm_extract", ["prescription", "pharmacy"], lambda e, df, root: W.write_csv(df, root), lambda spark, e, df, root: R.read_csv_strings(spark, root, df.columns))
 
-_masked("postgres_enrollment", {"member": "member_id", "coverage": "member_id"}, _enrollment)
-_masked("claims_parquet", {"claim": "member_id"}, _claims)
-_masked("clinical_data_lake", {"encounter": "member_id", "lab_ehr": "member_id"}, _clinical)
-_masked("pbm_extract", {"prescription": "member_id"}, _pbm)
-_masked("partner_lab_feed", {"lab_partner_v1": "pat_id", "lab_partner_v2": "member_id"}, _partner)
 
-assert KEY
+@query("mask_source_partner_lab_feed", f"{WITH} {ids_sql(['lab_partner_v1', 'lab_partner_v2'])}")
+def mask_source_partner_lab_feed(spark, sf_dir):
+    names = ("lab_partner_v1", "lab_partner_v2")
+    read = partner_feed(spark, *(MASKER.table(entity(spark, sf_dir, n).select(*TIERS[n]), TIERS[n]) for n in names))
+    return ids(names[0], read[0]).unionByName(ids(names[1], read[1]))
