@@ -167,3 +167,59 @@ def test_a_failed_publication_leaves_nothing(spark, tmp_path):
 def test_late_rows_stay(spark):
     df = spark.sql("SELECT DATE '2024-06-01' AS d, DATE '2024-01-01' AS h UNION ALL SELECT DATE '2024-01-02', DATE '2024-01-01' UNION ALL SELECT NULL, DATE '2024-01-01'")
     assert sorted(r.late for r in streams.mark_late(df, "d", "h").collect()) == [False, False, True]
+
+
+def test_rules_as_joins_equal_those_of_a_single_column(spark):
+    from veilspark.operators import policy, rules
+
+    names = ["MEMBER_ID", "pat_id", "ssn", "home_ssn_no", "e_mail", "Fax", "first_name", "patient_name", "addr_line1", "city", "zip5", "mrn", "group_number", "service_date_raw", "birth", "amount", "note", "provider_name", "npi", "quantity", "line_number", "result", None]
+    tiers = [*policy.FALLBACK, None]
+    rows = [(f"e{i % 3}", n, t) for n in names for i, t in enumerate(tiers)]
+    rows = [(f"{e}.{i}", n, t) for i, (e, n, t) in enumerate(rows)]
+    got = rules.resolve(spark.createDataFrame(rows, "entity string, column_name string, tier string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.column_name is not None:
+            want = policy.resolve(r.tier, r.column_name)
+            assert (r.technique, r.field_type, r.scope) == (want.technique, want.field_type, want.scope), r
+    assert {r.scope for r in got if r.column_name == "MEMBER_ID" and r.tier == "direct_identifier"} == {"member-id-global"}
+    assert {r.technique for r in got if r.column_name == "service_date_raw" and r.tier == "direct_identifier"} == {"date_shift"}
+
+
+def test_classification_by_joins(spark):
+    from veilspark.operators import profile, rules
+
+    names = ["member_id", "ssn", "npi", "dob", "claim_id", "note", "paid", "zip", "delivered_at", "status"]
+    rows = [(e, n) for e in ("provider", "claim", "Pharmacy ") for n in names]
+    columns = spark.createDataFrame(rows, "entity string, column_name string")
+    ruled, over = {("claim", "status"): "non_sensitive", ("claim", "ssn"): "pii"}, {("claim", "ssn"): "phi"}
+    frame = lambda d: spark.createDataFrame([(*k, v) for k, v in d.items()], "entity string, column_name string, category string")
+    got = {(r.entity, r.column_name): (r.category, r.confidence, r.layer) for r in rules.classify(columns, frame(ruled), frame(over)).collect()}
+    assert got == {(e, n): profile.classify(e, n, rules=ruled, overrides=over) for e, n in rows}
+    assert got["claim", "ssn"] == ("phi", 1.0, "override") and got["Pharmacy ", "npi"][1] == 0.95
+
+
+def test_gates_fail_where_they_should(spark):
+    from veilspark.operators import gates
+
+    known = "entity string, column_name string, tier string, technique string, n_values long"
+    passed = lambda *rows: gates.policy_coverage(spark.createDataFrame(list(rows), known)).first()
+    good = ("claim", "status", "non_sensitive", "passthrough", 9)
+    assert passed(good).passed and passed().passed
+    assert (passed(good, ("claim", "x", None, "hmac_pseudonymization", 5)).passed, passed(good, ("claim", "x", None, "h", 5)).detail) == (False, "5")
+    assert not passed(("member", "ssn", "direct_identifier", "passthrough", 3)).passed
+    shape = "source_n long, source_mean double, source_nonzero long, masked_n long, masked_mean double, masked_nonzero long"
+    ratio = lambda *row: gates.mean_ratio(spark.createDataFrame([row], shape)).first().passed
+    assert ratio(9, 10.0, 9, 9, 40.0, 9) and not ratio(9, 10.0, 9, 9, 400.0, 9) and not ratio(9, 10.0, 9, 9, 0.0, 0) and ratio(3, 1.0, 3, 3, 999.0, 3)
+
+
+def test_leaks_of_any_shape_on_both_sides_of_the_size(spark, monkeypatch):
+    from veilspark.operators import gates
+
+    raw = spark.createDataFrame([("Mary Ann",), ("12-34-5678",), ("Johnson",), ("abc",), (None,), ("é@x.org",)], "v string")
+    texts = spark.createDataFrame([(1, "to Mary Ann, sir"), (2, "n 12-34-5678."), (3, "xxJohnsonyy"), (4, "abc"), (5, None), (6, "Mary  Ann"), (7, "q" * 700 + "é@x.org")], "i int, t string")
+    found = []
+    for limit in (gates.LEAK_BYTES, 0):
+        monkeypatch.setattr(gates, "LEAK_BYTES", limit)
+        found.append(sorted(r.i for r in gates.leaks(texts, "t", raw, "v").collect()))
+    assert found == [[1, 2, 3, 7], [1, 2, 3, 7]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -62,16 +63,21 @@ def key_union(frames: dict[str, DataFrame], sources: tuple[tuple[str, str], ...]
     return reduce(DataFrame.unionByName, [keys_of(frames[s], c, name) for s, c in sources]).distinct()
 
 
-def closure(estate: dict[str, DataFrame], anchors: DataFrame, only: str | None = None) -> dict[str, DataFrame]:
-    """Entity -> selected rows, in hop order, without an action.
+#: Hops whose rows later hops or several checks read.
+PARENTS = {s for h in HOPS for s, _ in h.sources}
 
-    Semi joins keep repeated rows as they are.  The anchors should be persisted, as
-    every hop on members reads them.
+
+def closure(estate: dict[str, DataFrame], anchors: DataFrame, only: str | None = None, write: Callable[[DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Entity -> selected rows, in hop order.
+
+    Semi joins keep repeated rows as they are.  With ``write`` the rows of a hop that
+    others build on are written once and read from there; without it nothing runs.
     """
     frames = {"anchor": anchors}
     for hop in HOPS:
         keys = key_union(frames, hop.sources, hop.key)
-        frames[hop.name] = frames[hop.entity] = estate[hop.entity].join(keys, hop.key, "left_semi")
+        rows = estate[hop.entity].join(keys, hop.key, "left_semi")
+        frames[hop.name] = frames[hop.entity] = write(rows, hop.name) if write and hop.name in PARENTS else rows
         if hop.name == only:
             break
     return frames

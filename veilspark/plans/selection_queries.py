@@ -9,6 +9,7 @@ from ..functions.keyed import hmac_sql, pick_order, pick_order_sql
 from ..operators import closure as C
 from ..operators import masking as M
 from ..operators import selection as S
+from ..sources.shared import stash
 from .base import ESTATE, KEY, ORACLES, QUERIES, SEED, WITH, entity, estate, query
 
 ORDER = pick_order_sql(SEED, "member_id")
@@ -26,7 +27,9 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def closed(spark: SparkSession, sf_dir: str, only: str | None = None) -> tuple[dict, dict]:
     e = estate(spark, sf_dir)
-    return C.closure(e, anchors(spark, sf_dir).persist(), only), e
+    if only:
+        return C.closure(e, anchors(spark, sf_dir), only), e
+    return C.closure(e, stash(anchors(spark, sf_dir), "anchors"), write=lambda df, name: stash(df, f"closed-{name}")), e
 
 
 def _register_hop(hop: C.Hop) -> None:
