@@ -314,7 +314,7 @@ class Model:
         return np.log10(np.maximum(p, 1e-300)), table[w, 5]
 
 
-@functools.lru_cache(maxsize=4096)
+@functools.lru_cache(maxsize=16384)
 def mapped(folder: str, name: str, kind: str) -> np.ndarray:
     """A file of the model mapped into memory: in place where the folder is mounted, else the copy that Spark ships."""
     parts = urllib.parse.urlparse(folder)
@@ -330,13 +330,12 @@ def mapped(folder: str, name: str, kind: str) -> np.ndarray:
 
 
 def lookup(model: Model, table: str, keys: np.ndarray, width: int, of: np.ndarray | None = None) -> np.ndarray:
-    """Rows of sorted keys (of those in each shard ``of``), zeros where the table has none."""
+    """Rows of sorted keys (of those in each shard ``of``), zeros where the table has none; only shards of some key are opened."""
     out = np.zeros((len(keys), width), U)
-    bounds = np.searchsorted(shard_of(keys, model.shards) if of is None else of, np.arange(model.shards + 1))
-    for s in range(model.shards):
-        a, b = bounds[s], bounds[s + 1]
+    touched, first = np.unique(shard_of(keys, model.shards) if of is None else of, return_index=True)
+    for s, a, b in zip(touched.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
         own = mapped(model.folder, f"{table}-{s}.key", "uint64")
-        if a == b or not len(own):
+        if not len(own):
             continue
         at = np.searchsorted(own, keys[a:b])
         hit = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == keys[a:b])
