@@ -17,27 +17,40 @@ from veilspark.llm.common import documents, ensure_checkpoint_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the passage-attention classifier rejects go."""
+    """Documents that the passage-attention classifier rejects go.
+
+    Null and empty texts are scored as one empty passage; repeated rows fare alike; ids
+    may be null; all columns stay.  Without labelled rows every document stays.
+    """
     return quality_classifier.keep_good(docs, documents(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component of the n-gram Jaccard join stays."""
+    """One document of every component of the n-gram Jaccard join stays: the one whose id names it.
+
+    Null and empty texts and rows of a null id stay; of repeated rows of one id one stays.
+    """
     return ngram_join.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of passages of 200 bytes are cut; the first stays."""
+    """Later copies of passages of 200 bytes are cut; the first, by id and position, stays.
+
+    Null and short texts pass unchanged; rows of one id and text count as one document.
+    """
     return suffix_dedup.deduplicate(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item go."""
+    """Documents that hold ten consecutive words of a benchmark item, or all words of a shorter one, go whole.
+
+    An item of one word takes every document with that word.  Null and empty texts stay.
+    """
     return decontaminate.drop_contaminated(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids: the pieces of every remaining text, which decode without loss."""
+    """doc_id, n_pieces, ids: the pieces of every remaining text, which decode without loss; none for a null text."""
     import public_tokenizers
 
     encoded = merge_dropout.encode(docs, str(public_tokenizers.path("piece_bpe_32k.model")), seed=7)
