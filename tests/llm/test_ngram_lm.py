@@ -101,3 +101,39 @@ def test_order_three_equals_dictionaries(spark):
     got = ngram_lm.evaluate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order=3).collect()
     assert {x.doc_id: x.score for x in got} == pytest.approx(brute_three(rows), rel=1e-9)
     assert ngram_lm.evaluate(spark.createDataFrame([], "doc_id long, text string"), order=3).collect() == []
+
+
+def test_dealt_words_and_few_mapped_bytes_change_no_score(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{k}" for k in r.zipf(1.3, r.integers(0, 80)) % 90)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(ngram_lm, "SAMPLE", 1.0)
+    layout = ngram_lm.layout_of(docs.select("text"), 12, 3)
+    assert 1 < len(layout.dealt) <= 13 and layout.parts.max() > 1
+    dealt = {x.doc_id: x.score for x in ngram_lm.evaluate(docs, order=3).collect()}
+    start = ngram_lm.Layout(12, np.array([ngram_lm.START]), np.array([1], np.uint64))
+    monkeypatch.setattr(ngram_lm, "layout_of", lambda *_: start)
+    plain = {x.doc_id: x.score for x in ngram_lm.evaluate(docs, order=3).collect()}
+    assert dealt == pytest.approx(brute_three(rows), rel=1e-9) and plain == pytest.approx(dealt, rel=1e-12)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+def test_table_gives_back_its_rows(tmp_path, n):
+    r = np.random.default_rng(n)
+    key = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+    values = r.choice(np.array([0, 1, 1, 1, 7, 300, 2**40], np.uint64), (len(key), 4))
+    values[: n // 2] = ngram_lm.USUAL["context"]
+    values[values.sum(axis=1) == 0, 0] = 2
+    ngram_lm.write_table(str(tmp_path), "context", 3, key[::-1], values[::-1])
+    table = ngram_lm.Table(str(tmp_path / "context-3"), 4)
+    asked = np.concatenate([key, r.integers(0, 2**64, 50, dtype=np.uint64)])
+    got = table.rows(asked, ngram_lm.USUAL["context"])
+    assert (got[: len(key)] == values).all() and not got[len(key) :].any()
+
+
+def test_many_types_are_sorted_like_few():
+    r = np.random.default_rng(5)
+    rows = r.integers(0, 20, (3, 2000)).astype(np.uint64)
+    n = np.ones(2000, np.uint64)
+    for a, b in zip(ngram_lm.sorted_triples(*rows, n, 20), ngram_lm.sorted_triples(*rows, n, 1 << 22), strict=True):
+        assert (a == b).all()

@@ -26,7 +26,6 @@ thousand million look-ups, at every size.
 
 from __future__ import annotations
 
-import functools
 import os
 import urllib.parse
 import uuid
@@ -42,7 +41,9 @@ from pyspark.sql import functions as F
 from .common import SPACE, U, Words, ensure_checkpoint_dir, flat, mix, pack, slices, text_bytes, unpack
 
 #: Bytes of text for each shard of the model and for each slice scored at once; tokens counted at once.
-SHARD_BYTES, SLICE_BYTES, BLOCK_TOKENS = 24 << 20, 4 << 20, 1 << 22
+SHARD_BYTES, SLICE_BYTES, BLOCK_TOKENS = 16 << 20, 2 << 20, 1 << 21
+#: Bytes of the model that a worker keeps mapped; beyond them it maps anew.
+MAPPED_BYTES = 128 << 20
 #: Share of the rows whose words tell which words are dealt out; it decides where counts lie and no result.
 SAMPLE = 1 / 16
 _BITS, _ID = U(8), 21
@@ -292,17 +293,40 @@ class Table:
         return out
 
 
-@functools.lru_cache(maxsize=16384)
-def mapped(folder: str, table: str, shard: int) -> Table | None:
-    """A file of the model: in place where the folder is mounted, else the copy that Spark ships."""
+class Mapped:
+    """Files of the model that this worker has open, up to a bound of bytes."""
+
+    def __init__(self) -> None:
+        self.tables: dict[tuple[str, str, int], Table | None] = {}
+        self.size = 0
+
+    def clear(self) -> None:
+        self.tables.clear()
+        self.size = 0
+
+    def get(self, folder: str, table: str, shard: int) -> Table | None:
+        """A file in place where the folder is mounted, else the copy that Spark ships; none where nothing was written."""
+        name = (folder, table, shard)
+        if name not in self.tables:
+            path = local_path(folder, f"{table}-{shard}")
+            size = os.path.getsize(path) if os.path.exists(path) else 0
+            if self.size + size > MAPPED_BYTES:
+                self.clear()
+            self.size += size
+            self.tables[name] = Table(path, len(USUAL[table])) if size else None
+        return self.tables[name]
+
+
+MAPPED = Mapped()
+
+
+def local_path(folder: str, name: str) -> str:
     parts = urllib.parse.urlparse(folder)
     if parts.scheme in ("", "file"):
-        path = f"{parts.path}/{table}-{shard}"
-    else:
-        from pyspark import SparkFiles
+        return f"{parts.path}/{name}"
+    from pyspark import SparkFiles
 
-        path = os.path.join(SparkFiles.get(os.path.basename(parts.path)), f"{table}-{shard}")
-    return Table(path, len(USUAL[table])) if os.path.exists(path) else None
+    return os.path.join(SparkFiles.get(os.path.basename(parts.path)), name)
 
 
 def count_of_counts(n: np.ndarray) -> list[int]:
@@ -442,7 +466,7 @@ class Model:
         """Rows of the keys, each looked for in its shard; only shards of some key are opened."""
         out = np.zeros((len(key), len(USUAL[table])), U)
         for s, rows in by_shard(of, self.layout.shards):
-            own = mapped(self.folder, table, s)
+            own = MAPPED.get(self.folder, table, s)
             if own is not None:
                 out[rows] = own.rows(key[rows], USUAL[table])
         return out
@@ -548,6 +572,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 known = np.add.reduceat((c > 0).astype(np.int64), first)
                 n = part.num_rows
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_tokens": pa.array(count.astype(np.int64)), "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, model.tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(np.add.reduceat(logp, first))})
+        MAPPED.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
