@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, U, Words, ensure_checkpoint_dir, flat, mix, pack, slices, text_bytes, unpack
 
 #: Bytes of text for each shard of the model and for each slice scored at once; tokens counted at once.
-SHARD_BYTES, SLICE_BYTES, BLOCK_TOKENS = 16 << 20, 2 << 20, 1 << 21
+SHARD_BYTES, SLICE_BYTES, BLOCK_TOKENS = 12 << 20, 2 << 20, 1 << 21
 #: Bytes of the model that a worker keeps mapped; beyond them it maps anew.
 MAPPED_BYTES = 128 << 20
 #: Share of the rows whose words tell which words are dealt out; it decides where counts lie and no result.
@@ -247,7 +247,7 @@ class Table:
     """A written table mapped into memory."""
 
     def __init__(self, path: str, width: int):
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))
         n_large, bits, n_one, more, n_more = (int(x) for x in raw[:64].view(U)[:5])
         at = 64
 
@@ -534,12 +534,13 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
     layout = layout_of(rows, max(12, -(-text_bytes(rows) // SHARD_BYTES)), order)
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ngram-lm-{uuid.uuid4().hex}"
     above, pairs = [f"t{i}" for i in range(1, 5)], [f"n{i}" for i in range(1, 5)]
+    tasks = min(layout.shards, 2000 + layout.shards // 4)
     longs = lambda names: "".join(f", {k} long" for k in names)
     cells = rows.mapInArrow(lambda b: count_blocks(b, layout, order), "shard int, names binary, cells binary, endings binary")
-    endings = cells.groupBy("shard").applyInPandas(lambda p: merge_cells(p, folder, layout, order), "shard int, words binary, endings binary" + longs(above + pairs))
-    words = endings.groupBy("shard").applyInPandas(lambda p: merge_endings(p, folder, layout), "shard int, words binary" + longs(above + pairs))
+    endings = cells.repartition(tasks, "shard").groupBy("shard").applyInPandas(lambda p: merge_cells(p, folder, layout, order), "shard int, words binary, endings binary" + longs(above + pairs))
+    words = endings.repartition(tasks, "shard").groupBy("shard").applyInPandas(lambda p: merge_endings(p, folder, layout), "shard int, words binary" + longs(above + pairs))
     names = [*above, *pairs, *(f"l{i}" for i in range(1, 6)), "tokens", "types", "pairs"]
-    sums = words.groupBy("shard").applyInPandas(lambda p: merge_words(p, folder), longs(names)[2:])
+    sums = words.repartition(tasks, "shard").groupBy("shard").applyInPandas(lambda p: merge_words(p, folder), longs(names)[2:])
     s = sums.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in names)).first()
     if urllib.parse.urlparse(folder).scheme not in ("", "file") and s.tokens:
         spark.sparkContext.addFile(folder, recursive=True)
