@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, merge_dropout, ngram_join, ngram_lm, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, toxicity
+from . import byte_bpe, decontaminate, fill_middle, merge_dropout, merkle, ngram_join, ngram_lm, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, toxicity
 from .common import documents
 
 
@@ -56,7 +56,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_quality_rules, op4_decontaminate, op5_quality_classifier, op6_toxicity, op7_sentencepiece, op8_ngram_lm, op9_token_counts, op10_suffix_dedup)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(documents(spark, sf_dir), seed=42)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digest(documents(spark, sf_dir), str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_quality_rules, op4_decontaminate, op5_quality_classifier, op6_toxicity, op7_sentencepiece, op8_ngram_lm, op9_token_counts, op10_suffix_dedup, op11_fill_in_middle, op12_byte_bpe, op13_merkle_manifest)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -85,4 +99,6 @@ it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) A
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw ON hw.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """,
+    "op11_fill_in_middle": fill_middle.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
