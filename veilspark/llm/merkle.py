@@ -74,7 +74,7 @@ def above(level: Column, alone: Column) -> Column:
 
 
 def blocks(placed: DataFrame, tree: list[str]) -> DataFrame:
-    """One row for each block: its tree, block, alone, members (by place, with what they carry), levels l0 to l3, of which l3 is its root.
+    """One row for each block: its tree, block, alone, members (by place, with what they carry), and its levels l0, l1, ..., of which the last is its root.
 
     ``placed``: the tree's columns, at, n, node, carried.
     """
@@ -86,19 +86,18 @@ def blocks(placed: DataFrame, tree: list[str]) -> DataFrame:
     return out
 
 
-def flanks(within: Column) -> Column:
-    """The siblings to the left and right of a member's ancestors in its block, from the lowest level."""
+def flanks(run: Column) -> Column:
+    """The siblings left and right of a run's ancestors in its block, from the level above the leaves."""
     steps = []
-    for k in range(LEVELS):
+    for k in range(1, LEVELS):
         level = F.col(f"l{k}")
-        at = F.floor(within / FAN**k).cast("int")
-        first = F.floor(within / FAN ** (k + 1)).cast("int") * FAN
-        end = F.least(first + FAN, nodes(level))
+        at = F.floor(run / FAN ** (k - 1)).cast("int")
+        first = F.floor(run / FAN**k).cast("int") * FAN
         left = F.substring(level, first * HEX + 1, (at - first) * HEX)
-        right = F.substring(level, (at + 1) * HEX + 1, (end - at - 1) * HEX)
+        right = F.substring(level, (at + 1) * HEX + 1, (first + FAN - at - 1) * HEX)
         topped = F.col("alone") & (nodes(level) == 1)  # the tree ends below
         steps.append(F.when(~topped, F.struct(left.alias("left"), right.alias("right"))))
-    return F.filter(F.array(*steps), lambda x: x.isNotNull())
+    return F.filter(F.array(*steps), lambda x: x.isNotNull()) if steps else F.array().cast(PATH)
 
 
 def matches(tree: list[str]) -> Column:
@@ -114,9 +113,15 @@ def other(rows: DataFrame, tree: list[str], *columns: str) -> DataFrame:
 def members(stack: DataFrame, paths: DataFrame, tree: list[str]) -> DataFrame:
     """Every member of the blocks: carried, at, node, top and path, whose siblings in the block come before ``paths`` of the block."""
     met = stack.join(other(paths, tree, "block", "top", "path"), matches([*tree, "block"]))
-    met = met.select(*tree, "block", "alone", *[f"l{k}" for k in range(LEVELS)], "_top", "_path", F.posexplode("members").alias("within", "carried"))
-    node = F.substring("l0", F.col("within") * HEX + 1, F.lit(HEX)).cast("string")
-    return met.select(*tree, "carried", (F.col("block") * BLOCK + F.col("within")).alias("at"), node.alias("node"), F.col("_top").alias("top"), F.concat(flanks(F.col("within")), "_path").alias("path"))
+    run = lambda k: F.struct(k.alias("run"), F.substring("l0", k * (FAN * HEX) + 1, F.lit(FAN * HEX)).alias("nodes"), F.slice("members", k * FAN + 1, FAN).alias("carried"), flanks(k).alias("flanks"))
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(nodes(F.col("l0")) / FAN).cast("int") - 1), run)
+    single = F.col("alone") & (nodes(F.col("l0")) == 1)
+    met = met.select(*tree, "block", single.alias("single"), "_top", "_path", F.explode(runs).alias("r"))  # a run's row has its own digests only, not the block's
+    met = met.select(*tree, "block", "single", "_top", "_path", F.col("r.run").alias("run"), F.col("r.nodes").alias("nodes"), F.col("r.flanks").alias("flanks"), F.posexplode("r.carried").alias("place", "carried"))
+    left, right = F.substring("nodes", F.lit(1), F.col("place") * HEX), F.substring("nodes", (F.col("place") + 1) * HEX + 1, F.lit(FAN * HEX))
+    own = F.when(F.col("single"), F.array().cast(PATH)).otherwise(F.array(F.struct(left.alias("left"), right.alias("right"))))
+    node = F.substring("nodes", F.col("place") * HEX + 1, F.lit(HEX)).cast("string")
+    return met.select(*tree, "carried", (F.col("block") * BLOCK + F.col("run") * FAN + F.col("place")).alias("at"), node.alias("node"), F.col("_top").alias("top"), F.concat(own, "flanks", "_path").alias("path"))
 
 
 def climb(placed: DataFrame, tree: list[str], most: int) -> tuple[list[DataFrame], DataFrame]:
@@ -125,12 +130,12 @@ def climb(placed: DataFrame, tree: list[str], most: int) -> tuple[list[DataFrame
     while True:
         stack = cut(blocks(placed, tree))
         stacks.append(stack)
-        done = stack.where("alone").select(*tree, F.col("l3").cast("string").alias("root"))
+        done = stack.where("alone").select(*tree, F.col(f"l{LEVELS}").cast("string").alias("root"))
         roots = done if roots is None else roots.unionByName(done)
         most = -(-most // BLOCK)
         if most <= 1:
             return stacks, roots
-        parts = stack.where("not alone").select(*tree, F.col("block").alias("at"), F.col("l3").cast("string").alias("node"), F.lit(None).cast("int").alias("carried"))
+        parts = stack.where("not alone").select(*tree, F.col("block").alias("at"), F.col(f"l{LEVELS}").cast("string").alias("node"), F.lit(None).cast("int").alias("carried"))
         sizes = parts.groupBy(*tree).agg(F.count("*").alias("n"))
         placed = parts.join(other(sizes, tree, "n").withColumnRenamed("_n", "n"), matches(tree)).drop(*[f"_{t}" for t in tree])
 
