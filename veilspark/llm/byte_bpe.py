@@ -80,13 +80,35 @@ def classes() -> np.ndarray:
     return out
 
 
-class Encoder:
+class Decoder:
+    """The bytes of every token, one after another by id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        size = max(ranks.values()) + 1
+        self.length = np.full(size, -1, np.int64)
+        in_order = sorted(ranks, key=ranks.get)
+        ids, sizes = [ranks[t] for t in in_order], np.array([len(t) for t in in_order], np.int64)
+        self.length[ids] = sizes
+        self.begin = np.zeros(size, np.int64)
+        self.begin[ids] = np.cumsum(sizes) - sizes
+        self.blob = np.frombuffer(b"".join(in_order), np.uint8)
+
+    def decode_all(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids one after another."""
+        ids = ids.astype(np.int64)
+        if len(ids) and (ids.max() >= len(self.length) or ids.min() < 0 or (self.length[ids] < 0).any()):
+            raise ValueError("an id that the vocabulary does not have")
+        return spread(self.blob, self.begin[ids], self.length[ids])
+
+
+class Encoder(Decoder):
     """A vocabulary as an automaton, with what has been learnt of pairs and pieces."""
 
     def __init__(self, path: str):
         import ahocorasick
 
         self.ranks = read_ranks(path)
+        super().__init__(self.ranks)
         if missing := [i for i in range(256) if bytes([i]) not in self.ranks]:
             raise ValueError(f"the vocabulary lacks single bytes: {missing[:5]}")
         self.token = {i: t for t, i in self.ranks.items()}
@@ -100,8 +122,7 @@ class Encoder:
                 self.parts[t] = i
                 self.firsts[i] = [*((rank, first) for rank, first, _ in history), (NONE, t)]
                 self.lasts[i] = [*((rank, last) for rank, _, last in history), (NONE, t)]
-        size = max(self.token) + 1
-        self.shorter = np.full(size, -1, np.int32)
+        self.shorter = np.full(len(self.length), -1, np.int32)
         self.automaton = ahocorasick.Automaton()
         for t, i in self.parts.items():
             if len(t) > 1:  # a single byte is a token everywhere
@@ -112,12 +133,6 @@ class Encoder:
         self.pair_key, self.pair_fits = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         self.piece_key, self.piece_begin, self.piece_size = np.zeros(PIECES, U), np.zeros(PIECES, np.int64), np.zeros(PIECES, np.int32)
         self.arena, self.used = np.zeros(ARENA, np.uint32), 0
-        self.length = np.full(size, -1, np.int64)
-        self.length[list(self.token)] = [len(t) for t in self.token.values()]
-        self.begin = np.zeros(size, np.int64)
-        in_order = sorted(self.token)
-        self.begin[in_order] = np.append(0, np.cumsum(self.length[in_order]))[:-1]
-        self.blob = np.frombuffer(b"".join(self.token[i] for i in in_order), np.uint8)
 
     def apart(self, left: int, right: int) -> bool:
         """Whether no merge across the border comes before both tokens are whole."""
@@ -272,13 +287,6 @@ class Encoder:
     def forget(self) -> None:
         self.piece_key[:], self.used = 0, 0
 
-    def decode_all(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of all ids one after another."""
-        ids = ids.astype(np.int64)
-        if len(ids) and (ids.max() >= len(self.length) or (self.length[ids] < 0).any()):
-            raise ValueError("an id that the vocabulary does not have")
-        return spread(self.blob, self.begin[ids], self.length[ids])
-
 
 def spread(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The runs values[start:start + n] one after another."""
@@ -291,6 +299,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@functools.lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
+
+
 def _blobs(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
@@ -327,7 +340,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     packed = encoded.schema["ids"].dataType.simpleString() == "binary"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = decoder(path)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
