@@ -409,3 +409,25 @@ def test_every_occurrence_draws_its_own_merges():
     assert len(found) == n and len(set(found)) > 20
     assert found[:-4] != found[4:]
     assert c.decode(ids) == text.encode()
+
+
+def test_passages_of_a_text_do_not_depend_on_its_neighbours():
+    def features(texts):
+        return quality_classifier.passages(*common.flat(pa.array(texts)))
+
+    texts = ["a b\n\n\n\n", "c d", "\n\ne f\n", "", "g\nh"]
+    together, count = features(texts)
+    bounds = np.append(0, np.cumsum(count))
+    for k, text in enumerate(texts):
+        alone, n = features([text])
+        assert n[0] == count[k] and np.allclose(alone, together[bounds[k] : bounds[k + 1]])
+
+
+def test_learning_takes_one_text_and_one_label_an_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c"), (3, None)] + [(4, "d")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (4, 0), (None, 1)], "doc_id long, quality int")
+    kept = [i for i in (1, 2, 3, 4) if zlib.crc32(str(i).encode()) % 5]
+    want = {1: ("a", 1.0), 2: ("c", 0.0), 3: (None, 1.0), 4: ("d", 0.0)}
+    got = quality_classifier.sample_of(docs, labels, "quality", 10).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted((want[i] for i in kept), key=repr)
+    assert quality_classifier.sample_of(docs, labels, "quality", 1).count() == 1

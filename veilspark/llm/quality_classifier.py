@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, U, Words, flat, mix, slices, windows
+from .common import SPACE, U, Words, flat, map_whole, mix, slices, windows
 
 #: Words of a passage; labelled rows that the weights are fitted on, at most.
 PASSAGE, SAMPLE = 64, 6000
+#: Passages of one labelled text that the weights are fitted on, at most, evenly spaced; scores take all passages.
+PASSAGES_TO_FIT = 1024
 HIDDEN, GATE, EPOCHS, BATCH, RATE = 24, 12, 40, 256, 0.01
 
 _MARKS = b"#*$%&|<>!?.,;:()[]{}@/\\=+-_~^'\"`"
@@ -66,7 +68,7 @@ def passages(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             _, which, times = np.unique(h3, return_inverse=True, return_counts=True)
             tri[:-2] = inside & (times[which] > 1)
         white = np.append(0, np.cumsum(data == 10))
-        line = white[w.start] - white[np.append(w.start[0], w.end[:-1])]
+        line = white[w.start] - white[np.maximum(np.append(0, w.end[:-1]), off[doc])]  # since the word before in the same text
         for k, v in enumerate((length / 10, length > 14, length <= 2, capital, marked, same, again, tri, line)):
             out[full, len(_CLASSES) + k] = np.bincount(at, weights=v.astype(float), minlength=len(out))[full] / size[full]
         out[:, N_RATIOS - 1] = size / PASSAGE
@@ -139,21 +141,26 @@ def held_out() -> Column:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """text and label of at most ``bound`` labelled rows outside the held-out part, in hash order."""
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("double").alias("target")).dropDuplicates(["doc_id"])
+    """text and label of at most ``bound`` labelled rows outside the held-out part, in hash order.
+
+    An id that is labelled several times has its largest label; of several texts of one
+    id the first by UTF-8 order is taken, null texts last.
+    """
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("target"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "target")  # at most ``bound`` rows
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``bound`` ids
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("target").alias("target")).select("text", "target")
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model | None:
-    """The model fitted on the sample; None where there is no labelled row."""
+    """The model fitted on the sample, of at most ``bound`` texts and PASSAGES_TO_FIT passages each; None where there is no labelled row."""
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 x, count = passages(*flat(part.column("text")))
                 bounds = np.append(0, np.cumsum(count))
-                yield pa.RecordBatch.from_pydict({"x": pa.array([x[a:b].astype(np.float32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), "target": part.column("target")})
+                yield pa.RecordBatch.from_pydict({"x": pa.array([x[a : b : -(-(b - a) // PASSAGES_TO_FIT)].astype(np.float32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), "target": part.column("target")})
 
     rows = sample_of(docs, labels, "quality", bound).mapInArrow(featurise, "x binary, target double").collect()
     if not rows:
@@ -198,4 +205,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound:
             for part in slices(batch, "text"):
                 yield part.filter(pa.array(scores(part, shared.value) >= threshold))
 
-    return docs.mapInArrow(apply, docs.schema)
+    return map_whole(docs, apply, docs.columns)
