@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from veilspark.llm import ngram_lm
+from veilspark.llm import common, ngram_lm
 
 
 def brute(rows):
@@ -124,7 +124,7 @@ def test_table_gives_back_its_rows(tmp_path, n):
     values = r.choice(np.array([0, 1, 1, 1, 7, 300, 2**40], np.uint64), (len(key), 4))
     values[: n // 2] = ngram_lm.USUAL["context"]
     values[values.sum(axis=1) == 0, 0] = 2
-    ngram_lm.write_table(str(tmp_path), "context", 3, key[::-1], values[::-1])
+    ngram_lm.write_table(f"file://{tmp_path}", "context", 3, key[::-1], values[::-1])
     table = ngram_lm.Table(str(tmp_path / "context-3"), 4)
     asked = np.concatenate([key, r.integers(0, 2**64, 50, dtype=np.uint64)])
     got = table.rows(asked, ngram_lm.USUAL["context"])
@@ -137,3 +137,42 @@ def test_many_types_are_sorted_like_few():
     n = np.ones(2000, np.uint64)
     for a, b in zip(ngram_lm.sorted_triples(*rows, n, 20), ngram_lm.sorted_triples(*rows, n, 1 << 22), strict=True):
         assert (a == b).all()
+
+
+def test_merged_counts_above_32_bits_stay_whole():
+    n = np.array([2**33 + 5, 7], np.uint64)
+    word, before = np.array([1 << 20, 5 << 20], np.uint64), np.full(2, 9 << 20, np.uint64)
+    (_, blob), = ngram_lm.pack_endings(before, word, n, n * np.uint64(3), 1)
+    got = common.unpack(blob, **ngram_lm.ENDING)
+    assert sorted(got["n"].tolist()) == sorted(n.tolist()) and sorted(got["tokens"].tolist()) == sorted((3 * n).tolist())
+    words = ngram_lm.about_words(before, word, n, n * np.uint64(3))
+    back = ngram_lm.merged_words([b for _, b in ngram_lm.send_words(words, 1)])
+    assert back["total"].max() == 2**33 + 12 and back["count"].max() == 3 * (2**33 + 5)
+
+
+def test_a_lost_file_is_an_error(spark):
+    import glob
+    import os
+
+    docs = spark.createDataFrame([(i, f"one two three w{i}") for i in range(40)], "doc_id long, text string")
+    model = ngram_lm.fit(docs, 3)
+    assert model.folder.startswith("file:///")
+    found = sorted(os.path.basename(f) for f in glob.glob(f"{model.folder.removeprefix('file://')}/*"))
+    assert found == sorted(f"{t}-{s}" for t in ngram_lm.USUAL for s in range(model.layout.shards))
+    want = ngram_lm.score(docs, model).count()
+    assert want == 40
+    for name in found:
+        if name.startswith("word-"):
+            os.rename(f"{model.folder.removeprefix('file://')}/{name}", f"{model.folder.removeprefix('file://')}/gone-{name}")
+    with pytest.raises(Exception, match="No such file"):
+        ngram_lm.score(docs, model).collect()
+
+
+def test_odd_rows_of_the_language_model(spark):
+    rows = [(1, "a b a", 1, "x"), (1, "a b a", 1, "x"), (None, "b c", None, None), (None, None, 2, "y"), (4, "", 3, None), (5, "zz " * 5000, 4, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, `score.of` string")
+    got = ngram_lm.evaluate(docs, order=3).collect()
+    assert len(got) == 6
+    plain = {(x.doc_id, x.n_tokens): round(x.score, 9) for x in ngram_lm.evaluate(docs.select("doc_id", "text"), order=3).collect()}
+    assert {(x.doc_id, x.n_tokens): round(x.score, 9) for x in got} == plain
+    assert sum(x.doc_id == 1 for x in got) == 2 and {x.n_tokens for x in got if x.doc_id is None} == {3, 1}

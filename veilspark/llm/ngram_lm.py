@@ -35,7 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, U, Words, ensure_checkpoint_dir, flat, mix, pack, slices, text_bytes, unpack
@@ -52,9 +52,9 @@ SHORT = {"key": "uint64"}
 #: Of a trigram: local numbers of the middle word, the one before, the one after; its count.
 CELL = {"key": "uint32", "before": "uint32", "after": "uint32", "n": "uint32"}
 #: Of a bigram: its words; different words before it (its count in order two and at the start); its tokens.
-ENDING = {"key": "uint64", "word": "uint64", "n": "uint32", "tokens": "uint32"}
+ENDING = {"key": "uint64", "word": "uint64", "n": "uint64", "tokens": "uint64"}
 #: Of a word: the sum over its followers; followers seen once, twice, more often; different words before it; tokens that it is.
-WORD = {"key": "uint64", "total": "uint64", "n1": "uint32", "n2": "uint32", "n3": "uint32", "left": "uint32", "count": "uint64"}
+WORD = dict.fromkeys(("key", "total", "n1", "n2", "n3", "left", "count"), "uint64")
 #: Values that most rows of a table have; such rows are kept as keys alone.
 USUAL = {"triple": (1,), "context": (1, 1, 0, 0), "ending": (1,), "late": (1,), "word": (1, 1, 0, 0, 1, 1)}
 
@@ -179,7 +179,7 @@ def block(token: np.ndarray, first: np.ndarray, layout: Layout, order: int) -> p
         ids = np.argsort(np.argsort(names[used])).astype(np.uint32)  # the start's hash stands among the others
         a, b, c = ids[a], ids[b], ids[c]
         rank = np.argsort(a, kind="stable")
-        cells = pack(key=a[rank], before=b[rank], after=c[rank], n=np.minimum(n[rows], U(2**32 - 1)).astype(np.uint32)[rank])
+        cells = pack(key=a[rank], before=b[rank], after=c[rank], n=n[rows].astype(np.uint32)[rank])
         found[s] = [pack(key=np.sort(names[used]) >> _BITS), cells, None]
     word, (n,) = add_up((token[first],), np.ones(len(first), U))
     for s, blob in pack_endings(np.full(len(n), START), word[0], n, n, layout.shards):
@@ -192,7 +192,7 @@ def block(token: np.ndarray, first: np.ndarray, layout: Layout, order: int) -> p
 def pack_endings(before: np.ndarray, word: np.ndarray, n: np.ndarray, count: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
     for s, rows in by_shard(shard_of(bigram(before, word), shards), shards):
         rows = rows[np.argsort(before[rows], kind="stable")]
-        yield s, pack(key=before[rows] >> _BITS, word=word[rows] >> _BITS, n=n[rows].astype(np.uint32), tokens=np.minimum(count[rows], U(2**32 - 1)).astype(np.uint32))
+        yield s, pack(key=before[rows] >> _BITS, word=word[rows] >> _BITS, n=n[rows].astype(U), tokens=count[rows].astype(U))
 
 
 def count_blocks(batches: Iterator[pa.RecordBatch], layout: Layout, order: int) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,7 @@ def write_table(folder: str, table: str, shard: int, key: np.ndarray, values: np
     large = np.flatnonzero((values > 255).any(axis=1))
     head = np.array([len(large), one[0], int(usual.sum()), more[0], len(values), 0, 0, 0], U)
     arrays = [head, values[large], large.astype(np.uint32), *one[1:], *more[1:], np.minimum(values, U(255)).astype(np.uint8)]
-    store, path = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+    store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
     temporary = f"{path}/.{table}-{shard}.{uuid.uuid4().hex}"
     with store.open_output_stream(temporary) as out:
@@ -297,23 +297,23 @@ class Mapped:
     """Files of the model that this worker has open, up to a bound of bytes."""
 
     def __init__(self) -> None:
-        self.tables: dict[tuple[str, str, int], Table | None] = {}
+        self.tables: dict[tuple[str, str, int], Table] = {}
         self.size = 0
 
     def clear(self) -> None:
         self.tables.clear()
         self.size = 0
 
-    def get(self, folder: str, table: str, shard: int) -> Table | None:
-        """A file in place where the folder is mounted, else the copy that Spark ships; none where nothing was written."""
+    def get(self, folder: str, table: str, shard: int) -> Table:
+        """A file in place where the folder is mounted, else the copy that Spark ships; every shard has every table, so one that is absent is an error."""
         name = (folder, table, shard)
         if name not in self.tables:
             path = local_path(folder, f"{table}-{shard}")
-            size = os.path.getsize(path) if os.path.exists(path) else 0
+            size = os.path.getsize(path)
             if self.size + size > MAPPED_BYTES:
                 self.clear()
             self.size += size
-            self.tables[name] = Table(path, len(USUAL[table])) if size else None
+            self.tables[name] = Table(path, len(USUAL[table]))
         return self.tables[name]
 
 
@@ -349,7 +349,7 @@ def about_words(before: np.ndarray, word: np.ndarray, n: np.ndarray, count: np.n
     for k, x in zip(("total", "n1", "n2", "n3"), followers(first, n), strict=True):
         cols[k][at] = x.astype(WORD[k])
     at = np.searchsorted(keys, ends)
-    cols["left"][at], cols["count"][at] = left.astype(np.uint32), count
+    cols["left"][at], cols["count"][at] = left, count
     return cols
 
 
@@ -396,12 +396,20 @@ def merge_cells(pdf: pd.DataFrame, folder: str, layout: Layout, order: int) -> p
         write_table(folder, "ending", shard, bigram(v, w), n[:, None])
         twos = count_of_counts(n)
         sent += [(s, b, None) for s, b in send_words(about_words(v, w, n, count), layout.shards)]
+    else:
+        write_empty(folder, shard, *(("context", "triple") if order == 3 else ()), "ending")
     return table_of(shard, sent, {f"t{i + 1}": ones[i] for i in range(4)} | {f"n{i + 1}": twos[i] for i in range(4)})
 
 
+def write_empty(folder: str, shard: int, *tables: str) -> None:
+    """Tables without rows are files too, so that a file which is not there is one that was lost."""
+    for table in tables:
+        write_table(folder, table, shard, np.zeros(0, U), np.zeros((0, len(USUAL[table])), U))
+
+
 def table_of(shard: int, sent: list, sums: dict[str, int]) -> pd.DataFrame:
-    """What is sent to shards, the sums in the first row only."""
-    sent = sent or [(shard, None, None)]
+    """What is sent to shards, and a row for the shard itself, which has the sums."""
+    sent = [(shard, None, None), *sent]
     out = pd.DataFrame({"shard": [x[0] for x in sent], "words": [x[1] for x in sent], "endings": [x[2] for x in sent]}, dtype=object).astype({"shard": "int32"})
     for k, x in sums.items():
         out[k] = [int(x)] + [0] * (len(out) - 1)
@@ -424,6 +432,8 @@ def merge_endings(pdf: pd.DataFrame, folder: str, layout: Layout) -> pd.DataFram
         for i, x in enumerate(count_of_counts(n)):
             sums[f"n{i + 1}"] += x
         sent += send_words(about_words(before, word, n, count), layout.shards)
+    else:
+        write_empty(folder, shard, "late")
     return table_of(shard, [(*x, None) for x in sent], sums).drop(columns="endings")
 
 
@@ -437,6 +447,8 @@ def merge_words(pdf: pd.DataFrame, folder: str) -> pd.DataFrame:
         c = merged_words(blobs)
         left, count = c["left"].astype(U), c["count"]
         write_table(folder, "word", shard, c["key"], np.stack([c[k].astype(U) for k in WORD if k != "key"], axis=1))
+    else:
+        write_empty(folder, shard, "word")
     out |= {f"l{i + 1}": [x] for i, x in enumerate(count_of_counts(left[left > 0]))}
     return pd.DataFrame(out | {"l5": [int((left > 2).sum())], "tokens": [int(count.sum())], "types": [int((count > 0).sum())], "pairs": [int(left.sum())]})
 
@@ -466,9 +478,7 @@ class Model:
         """Rows of the keys, each looked for in its shard; only shards of some key are opened."""
         out = np.zeros((len(key), len(USUAL[table])), U)
         for s, rows in by_shard(of, self.layout.shards):
-            own = MAPPED.get(self.folder, table, s)
-            if own is not None:
-                out[rows] = own.rows(key[rows], USUAL[table])
+            out[rows] = MAPPED.get(self.folder, table, s).rows(key[rows], USUAL[table])
         return out
 
     @staticmethod
@@ -525,6 +535,13 @@ def layout_of(rows: DataFrame, shards: int, order: int) -> Layout:
     return Layout(shards, np.array(dealt, U), np.array([parts[x] for x in dealt], U))
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and host that Spark takes it by, so that every machine writes to the same place."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def fit(docs: DataFrame, order: int = 2) -> Model:
     """Count all texts of ``docs`` (a null one is empty) and write the model's arrays."""
     if order not in (2, 3):
@@ -532,11 +549,13 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
     spark = docs.sparkSession
     rows = docs.select("text")
     layout = layout_of(rows, max(12, -(-text_bytes(rows) // SHARD_BYTES)), order)
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ngram-lm-{uuid.uuid4().hex}"
+    folder = qualified(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/ngram-lm-{uuid.uuid4().hex}")
     above, pairs = [f"t{i}" for i in range(1, 5)], [f"n{i}" for i in range(1, 5)]
     tasks = min(layout.shards, 2000 + layout.shards // 4)
     longs = lambda names: "".join(f", {k} long" for k in names)
     cells = rows.mapInArrow(lambda b: count_blocks(b, layout, order), "shard int, names binary, cells binary, endings binary")
+    none = F.lit(None).cast("binary")
+    cells = cells.unionByName(spark.range(layout.shards).select(F.col("id").cast("int").alias("shard"), none.alias("names"), none.alias("cells"), none.alias("endings")))
     endings = cells.repartition(tasks, "shard").groupBy("shard").applyInPandas(lambda p: merge_cells(p, folder, layout, order), "shard int, words binary, endings binary" + longs(above + pairs))
     words = endings.repartition(tasks, "shard").groupBy("shard").applyInPandas(lambda p: merge_endings(p, folder, layout), "shard int, words binary" + longs(above + pairs))
     names = [*above, *pairs, *(f"l{i}" for i in range(1, 6)), "tokens", "types", "pairs"]
