@@ -60,3 +60,29 @@ def test_every_stage_takes_effect(spark, tables):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
     codec = merge_dropout.Codec(str(public_tokenizers.path("piece_bpe_32k.model")))
     assert {i: codec.decode(np.array(r.ids, np.int64)).decode() for i, r in out.items()} == {i: r.text or "" for i, r in kept["benchmark_leaks"].items()}
+
+
+def test_stages_take_odd_tables(spark, tables, tmp_path):
+    """Null ids and texts, repeated rows, extra columns with clashing and dotted names, and no rows at all."""
+    folder = tables[0]
+    odd = DOCUMENTS + ", family string, spans int, `extra.of` string, one int"
+    long = " ".join(f"word{i % 97}x{i}" for i in range(300))
+    rows = [(i, t, "en", "s", None if t is None else len(t), "f", 1, "e", 2) for i, t in enumerate([None, "", "a short text", long, long + " end", long])]
+    rows += [rows[3], rows[2], rows[0], (None, long, None, None, None, None, None, None, None), (None,) * 9]
+    for docs in (spark.createDataFrame(rows, odd), spark.createDataFrame([], odd)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder).cache()
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "family", "spans", "extra.of", "one"]
+            docs.count()
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+        assert len(out) == docs.count()
+
+
+def test_run_on_an_empty_and_a_repeated_table(spark, tables):
+    folder, texts, _ = tables
+    for name, rows in (("none", []), ("twice", [(i, t, "en", "s", len(t or "")) for i, t in list(texts.items())[:20]] * 2)):
+        spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{folder}/{name}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{folder}/{other}.parquet").write.parquet(f"{folder}/{name}/{other}.parquet")
+        out = corpus_pipeline.run(spark, f"{folder}/{name}").collect()
+        assert sorted(r.doc_id for r in out) == sorted({r[0] for r in rows})

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 U = np.uint64
 #: Separators of ``[^\x20\x09-\x0D]+``.
@@ -219,6 +220,19 @@ class Table:
         return out
 
 
+def map_whole(df: DataFrame, apply: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kept: list[str]) -> DataFrame:
+    """``mapInArrow`` whose result has the columns ``kept`` of ``df``, whatever their names are, dots included."""
+    named, plain = df.columns, [f"c{i}" for i in range(len(df.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in apply(pa.RecordBatch.from_arrays(b.columns, names=named) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, names=plain[: len(kept)])
+
+    fields = [df.schema[c] for c in kept]
+    schema = StructType([StructField(p, f.dataType) for p, f in zip(plain, fields, strict=False)])
+    return df.toDF(*plain).mapInArrow(run, schema).toDF(*kept)
+
+
 def text_bytes(docs: DataFrame) -> int:
     from pyspark.sql import functions as F
 

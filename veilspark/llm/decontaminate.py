@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_ALNUM, cut, ensure_checkpoint_dir
+from .common import LOWER, NON_ALNUM, cut, ensure_checkpoint_dir, map_whole
 
 #: Words of a window.
 WINDOW = 10
@@ -211,7 +211,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = AUTOMA
     pass unchanged, those with null or empty text too; a repeated row fares as its like.
     In rounds, each takes what the one before it kept.
     """
-    at, schema = docs.columns.index("text"), docs.schema
+    at, columns = docs.columns.index("text"), docs.columns
     for k, round_ in enumerate(rounds(benchmark, limit=limit)):
         shared = docs.sparkSession.sparkContext.broadcast(round_)
 
@@ -221,5 +221,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = AUTOMA
                 lines = [b"".join((b" ", b" ".join(normalise(t)), b" ")).decode("latin-1") for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array([not (len(built) and next(built.iter(x), None)) for x in lines], pa.bool_()))
 
-        docs = (cut(docs) if k else docs).mapInArrow(keep, schema)
+        docs = map_whole(cut(docs) if k else docs, keep, columns)
     return docs

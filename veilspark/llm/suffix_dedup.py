@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import U, flat, mix, pack, powers, prefix_sums, slices, span_hash, text_bytes, unpack_all
+from .common import U, flat, map_whole, mix, pack, powers, prefix_sums, slices, span_hash, text_bytes, unpack_all
 
 #: Bytes of a window, and of the strings whose least hash makes the key.
 LENGTH, SEED = 200, 64
@@ -444,5 +444,5 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> D
 
     spans = removed_spans(rows, length, keep).select(F.col("one").alias("__one"), F.col("two").alias("__two"), F.col("spans").alias("__spans"))
     keyed = docs.withColumns(dict(zip(("__k1", "__k2"), identity(docs), strict=True)))
-    joined = keyed.join(spans, (F.col("__k1") == F.col("__one")) & (F.col("__k2") == F.col("__two")), "left").select(*columns, "__spans")
-    return joined.mapInArrow(strip, docs.schema)
+    joined = keyed.join(spans, (F.col("__k1") == F.col("__one")) & (F.col("__k2") == F.col("__two")), "left").select(*(F.col(f"`{c}`") for c in columns), "__spans")
+    return map_whole(joined, strip, columns)
