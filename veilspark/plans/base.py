@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,11 @@ ESTATE: dict[str, tuple[str, list[str], str | None]] = {
 }
 
 
+def names(e: str) -> list[str]:
+    """The columns of an entity."""
+    return [re.split(r"\s+AS\s+", c)[-1] for c in ESTATE[e][1]]
+
+
 def entity(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, columns, where = ESTATE[name]
     df = table(spark, sf_dir, source)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rules as R
 from ..sources.shared import stash
-from .base import WITH, entity, query
+from .base import ESTATE, WITH, entity, names, query
 from .masking_queries import TIERS
 
 SOURCES = {"enrollment": ["member", "member_demographics", "address", "coverage", "plan", "provider"], "claims": ["claim", "claim_line", "code"], "clinical": ["encounter", "lab_ehr"], "pbm": ["prescription", "pharmacy"], "partner": ["lab_partner_v1", "lab_partner_v2"]}
@@ -42,7 +42,16 @@ def shown(df: DataFrame, resolved) -> DataFrame:
     return df.select("entity", "column_name", resolved.alias("resolved"), "n_values")
 
 
-_COLS = "cols AS (" + " UNION ALL ".join(f"SELECT '{e}' AS entity, '{SOURCE_OF[e]}' AS source, '{c}' AS column_name, '{t}' AS tier, (SELECT count(*) FROM {e}) AS n_rows, (SELECT count({c}) FROM {e}) AS n_values" for e, ts in TIERS.items() for c, t in ts.items()) + ")"
+def _cols_of(e: str, tiers: dict[str, str]) -> str:
+    """All columns of one entity with their counts, in SQL that reads the entity once."""
+    structs = ", ".join(f"{{'column_name': '{c}', 'tier': '{t}', 'n_values': count({c})}}" for c, t in tiers.items())
+    return f"SELECT '{e}' AS entity, '{SOURCE_OF[e]}' AS source, x.column_name, x.tier, n_rows, x.n_values FROM (SELECT n_rows, unnest(xs) AS x FROM (SELECT count(*) AS n_rows, [{structs}] AS xs FROM {e}))"
+
+
+_COLS = "cols AS MATERIALIZED (" + " UNION ALL ".join(_cols_of(e, ts) for e, ts in TIERS.items()) + ")"
+#: The same for all columns of the estate, without tiers.
+ALL_COLS = "cols AS MATERIALIZED (" + " UNION ALL ".join(_cols_of(e, dict.fromkeys(names(e), "")) for e in ESTATE) + ")"
+# The rules of operators/policy.py as a check in another engine states them.
 _RULES_SQL = r"""
 kinds(number, kind, pattern) AS (VALUES
  (1, 'ssn', '(^|_)ssn(_|$)|social_security'), (2, 'email', 'e[-_]?mail'), (3, 'phone', 'phone|fax|mobile|telephone'),
@@ -70,6 +79,7 @@ matched AS (SELECT a.*, s.scope AS linked, f.technique AS usual, f.scope AS wide
  LEFT JOIN (SELECT entity, column_name, arg_min(technique, number) AS technique FROM asked JOIN field_rules ON regexp_matches(column_name, pattern, 'i') GROUP BY entity, column_name) r ON r.entity = a.entity AND r.column_name = a.column_name),
 resolved AS (SELECT *, CASE WHEN tier IS NULL THEN 'hmac_pseudonymization' WHEN usual = 'passthrough' THEN usual WHEN linked IS NOT NULL THEN 'tokenization' ELSE coalesce(ruled, usual) END AS technique,
  CASE WHEN tier IS NULL THEN 'unclassified:' || column_name WHEN usual = 'passthrough' OR linked IS NULL THEN wide ELSE linked END AS scope FROM matched)"""
+# The detectors and tiers of operators/profile.py, stated again.
 _DETECTORS_SQL = r"""
 detectors(number, detector, category, confidence, pattern) AS (VALUES
  (1, 'ssn', 'direct_identifier', 0.95, '(^|_)ssn(_|$)|social_security'), (2, 'email', 'direct_identifier', 0.95, 'e[-_]?mail'), (3, 'phone', 'direct_identifier', 0.85, 'phone|fax|mobile|telephone'),
@@ -82,7 +92,7 @@ detectors(number, detector, category, confidence, pattern) AS (VALUES
 ruled(entity, column_name, category) AS (VALUES ('member', 'name', 'direct_identifier'), ('member', 'gender', 'quasi_identifier'), ('claim', 'status', 'non_sensitive'), ('claim', 'batch', 'non_sensitive'), ('claim_line', 'line_number', 'non_sensitive'), ('coverage', 'status', 'non_sensitive')),
 overridden(entity, column_name, category) AS (VALUES ('provider', 'provider_name', 'sensitive'), ('lab_ehr', 'result', 'phi')),
 surest AS (SELECT entity, column_name, arg_min(category, -confidence * 1000 + number) AS category, max(confidence) AS confidence FROM cols JOIN detectors ON regexp_matches(column_name, pattern, 'i') GROUP BY entity, column_name),
-classified AS (SELECT c.*, coalesce(o.category, r.category, s.category, 'sensitive') AS category,
+classified AS MATERIALIZED (SELECT c.*, coalesce(o.category, r.category, s.category, 'sensitive') AS category,
  CASE WHEN coalesce(o.category, r.category) IS NOT NULL THEN 1.0 ELSE coalesce(s.confidence, 0.3) END AS confidence,
  CASE WHEN o.category IS NOT NULL THEN 'override' WHEN r.category IS NOT NULL THEN 'schema' WHEN s.category IS NOT NULL THEN 'pattern' ELSE 'default' END AS layer
  FROM cols c LEFT JOIN surest s ON s.entity = c.entity AND s.column_name = c.column_name LEFT JOIN ruled r ON r.entity = c.entity AND r.column_name = c.column_name LEFT JOIN overridden o ON o.entity = c.entity AND o.column_name = c.column_name),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from ..operators import profile as D
 from ..sources import readers as R
 from ..sources import writers as W
 from ..sources.shared import folder, stash
-from .base import ESTATE, KEY, ORACLES, QUERIES, WITH, entity, estate, query, table
+from .base import KEY, ORACLES, QUERIES, WITH, entity, estate, names, query, table
 from .masking_queries import MASKER, TIERS, masked, numeric_sql, token_sql
 from .metadata_queries import POLICY, RESOLVED, SOURCES, columns
 from ..operators import rules
@@ -27,10 +25,6 @@ _FLOATS = {"balance", "billed", "charge", "quantity", "result"}
 KEYS = {"claim_line": "claim_id * 10 + line_number"}
 
 
-def names(e: str) -> list[str]:
-    return [re.split(r"\s+AS\s+", c)[-1] for c in ESTATE[e][1]]
-
-
 def sort_key(e: str) -> str:
     return KEYS.get(e, names(e)[0])
 
@@ -220,18 +214,6 @@ def gate_masking_version_recorded(spark, sf_dir):
     return G.gate(sums, "masking_version_recorded", F.col("blank") == 0, F.col("n"))
 
 
-#: Gates that need no selection, and gates that share one.
-GATES = [gate_of_covered_columns, gate_masking_completion, gate_distribution_shape, gate_policy_version_recorded, gate_masking_version_recorded]
-GATES_OF_SELECTION = [gate_referential_integrity, gate_orphan_detection, gate_schema_validation, gate_data_quality_thresholds, gate_row_count_reconciliation]
-
-
-@query("certify_verdict", f"{CLOSURE}, {_TALLY} SELECT CAST({len(GATES + GATES_OF_SELECTION)} AS BIGINT) AS n_gates, CAST({len(GATES + GATES_OF_SELECTION) - 1} + (CASE WHEN orphans <= 5 THEN 1 ELSE 0 END) AS BIGINT) AS n_passed, CASE WHEN orphans <= 5 THEN 'certified' ELSE 'failed' END AS status FROM tally")
-def certify_verdict(spark, sf_dir):
-    """All gates over one selection."""
-    both = closed(spark, sf_dir)
-    return G.certify(D.union_all([g(spark, sf_dir) for g in GATES] + [g(spark, sf_dir, both) for g in GATES_OF_SELECTION]))
-
-
 # Manifests
 
 _FP = "concat_ws('|', coalesce(CAST(claim_id AS VARCHAR), '~'), coalesce(CAST(member_id AS VARCHAR), '~'), coalesce(status, '~'))"
@@ -264,36 +246,3 @@ def run_subsetting(spark, sf_dir):
     verdict = C.verdict(C.dangling(f, e)).select("verdict")
     parts = [stash(f[h.name], f"subset-{h.name}").agg(F.count("*").alias("n_written")).select(F.lit(h.name).alias("entity"), "n_written") for h in C.HOPS]
     return D.union_all(parts).join(F.broadcast(verdict))
-
-
-@query("certification_pipeline", f"{CLOSURE}, {_TALLY} SELECT e.child AS entity, e.n AS n_rows, CASE WHEN bugs = 0 THEN 'certified' ELSE 'failed' END AS status, bugs = 0 AS published FROM ({_EDGES}) e, tally")
-def certification_pipeline(spark, sf_dir):
-    """Catalog, select and close, mask every entity by its catalogued tiers, stage, check the staged tables, and publish them all only if certified."""
-    f, e = closed(spark, sf_dir)
-    entities = {h.name: h.entity for h in C.HOPS}
-    staged = {n: stash(MASKER.table(f[n].select(*TIERS[e_]), TIERS[e_]), f"staged-{n}") for n, e_ in entities.items()}
-    count = lambda frames, c: D.union_all([d.agg(F.count("*").alias(c)).select(F.lit(n).alias("entity"), c) for n, d in frames.items()])
-    counts = stash(count(staged, "n_rows"), "staged-counts")
-    expected = count({n: f[n] for n in entities}, "expected")
-    off = counts.join(expected, "entity", "full").where("NOT (n_rows <=> expected)").agg(F.count("*").alias("n"))
-    found = stash(C.verdict(C.dangling(f, e)), "staged-verdict")
-    filled = counts.agg(F.sum("n_rows").alias("n"))
-    source = count({n: e[e_] for n, e_ in entities.items()}, "n").join(counts, "entity").where("n < n_rows").agg(F.count("*").alias("n"))
-    policy = rules.resolve(columns(spark, sf_dir))
-    gates = D.union_all([
-        G.policy_coverage(policy),
-        G.gate(filled, "masking_completion", F.col("n") > 0, F.col("n")),
-        G.gate(found, "referential_integrity", F.col("engine_bug") == 0, F.col("engine_bug")),
-        G.gate(off, "schema_validation", F.col("n") == 0, F.col("n")),
-        G.gate(filled, "data_quality_thresholds", F.col("n") >= 1, F.col("n")),
-        G.gate(source, "row_count_reconciliation", F.col("n") == 0, F.col("n")),
-        gate_distribution_shape(spark, sf_dir),
-        gate_policy_version_recorded(spark, sf_dir),
-        gate_masking_version_recorded(spark, sf_dir),
-    ])
-    status = G.certify(gates).first()["status"]
-    target, whole = folder(spark, "certified"), True
-    if status == "certified":
-        W.publish(spark, target, lambda path: [d.write.parquet(f"{path}/{n}") for n, d in staged.items()])
-        whole = all(R.exists(spark, f"{target}/{n}/_SUCCESS") for n in staged)
-    return counts.select("entity", "n_rows", F.lit(status).alias("status"), F.lit(status == "certified" and whole).alias("published"))
