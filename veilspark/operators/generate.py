@@ -86,19 +86,6 @@ class Generator:
 
 
 DATE = "CAST(DATE '2024-01-01' + CAST({n:%s:600} AS INT) AS VARCHAR(10))"
-ESTATE = {
-    "estate_plans": Generator({"plan_id": "{id:PLAN}", "plan_type": "{pick:plan_type:type}", "premium": "{money:premium:100:900}"}),
-    "estate_providers": Generator({"provider_id": "{id:PRV}", "specialty": "{pick:specialty:spec}", "npi": "CAST(1000000000 + {n:npi:999999999} AS VARCHAR(10))"}),
-    "estate_pharmacies": Generator({"pharmacy_id": "{id:PHM}", "city": "{pick:city:city}", "zip": "CAST(10000 + {n:zip:89999} AS VARCHAR(5))"}),
-    "estate_diagnoses": Generator({"code": "'D' || CAST(100 + i % 900 AS VARCHAR(5)) || '.' || CAST(i AS VARCHAR(20))", "chronic": "{n:chronic:4} = 0"}),
-    "estate_procedures": Generator({"code": "CAST(90000 + i AS VARCHAR(20))", "fee": "{money:fee:40:4000}"}),
-    "estate_members": Generator({"member_id": "{id:MBR}", "gender": "{pick:gender:gender}", "birth_date": "CAST(DATE '1930-01-01' + CAST({n:birth:33000} AS INT) AS VARCHAR(10))", "phone": "CASE {n:phone:25} WHEN 0 THEN 'N/A' WHEN 1 THEN NULL ELSE CAST(2000000000 + {n:digits:999999999} AS VARCHAR(10)) END", "zip": "CASE {n:zipcase:30} WHEN 0 THEN 'ABCDE' WHEN 1 THEN '00000' ELSE CAST(10000 + {n:zip:89999} AS VARCHAR(5)) END"}),
-    "estate_coverages": Generator({"coverage_id": "'COV-' || CAST(ij AS VARCHAR(20))", "member_id": "i", "start_date": DATE % "start", "end_date": "CASE WHEN {u:ended} < 0.4 THEN " + DATE % "end" + " END"}, fan="1 + {n:fan:2}", keep="{u:none} >= 0.05"),
-    "estate_claims_and_lines": Generator({"claim_id": "i", "line_number": "j", "member_id": "CASE WHEN {n:orphan:50} = 0 THEN -1 ELSE i % 1000 END", "service_date": "CASE WHEN {n:bad:40} = 0 THEN '2024-13-45' ELSE " + DATE % "service" + " END", "charge": "CASE WHEN {n:negative:60} = 0 THEN -{money:charge:10:900} ELSE {money:charge:10:900} END", "status": "{pick:status:status}"}, fan="{n:lines:5}"),
-    "estate_prescriptions": Generator({"prescription_id": "'RX-' || CAST(ij AS VARCHAR(20))", "member_id": "CASE WHEN {n:orphan:40} = 0 THEN -1 ELSE i END", "drug_name": "{pick:drug:drug}", "quantity": "CASE WHEN {n:negative:30} = 0 THEN -{n:qty:90} ELSE {n:qty:90} END", "prescriber_id": "CASE WHEN {n:none:20} = 0 THEN NULL ELSE {n:prescriber:500} END"}, fan="{n:fan:4}"),
-    "estate_encounters_and_labs": Generator({"encounter_id": "{id:ENC}", "discharge_date": "CASE {n:bad:30} WHEN 0 THEN 'TBD' WHEN 1 THEN 'UNKNOWN' WHEN 2 THEN '' ELSE " + DATE % "discharge" + " END", "test": "{pick:test:test}", "result": "CASE WHEN {n:badres:25} = 0 THEN 'ERR' ELSE CAST({n:res:400} AS VARCHAR(10)) END", "late": "{n:late:20} = 0"}),
-    "estate_partner_lab_feed": Generator({"lab_id": "{id:LAB}", "member_id": "CASE WHEN i % 5 = 0 THEN 'UNKNOWN-' || CAST(i AS VARCHAR(20)) ELSE CAST(i AS VARCHAR(20)) END", "schema_version": "CASE WHEN i % 3 = 0 THEN 'v1' ELSE 'v2' END", "test": "{pick:test:test}"}),
-}
 _CLAIM = {"claim_id": "{id:SYN-CLM-SCEN}", "member_id": "{id:SYN-MBR-SCEN}", "coverage_id": "{id:SYN-COV-SCEN}", "provider_id": "CAST({n:provider:100} AS VARCHAR(10))", "service_date": DATE % "service", "billed": "{money:billed:50:5000}", "status": "'paid'"}
 SCENARIOS = {
     "scenario_normal_claims": Generator(_CLAIM),

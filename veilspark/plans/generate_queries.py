@@ -9,9 +9,8 @@ from ..operators import generate as G
 from .base import ORACLES, QUERIES, SEED, WITH, entity, query, table
 
 #: Generator -> (table, key, filter): its seed rows.
-SEEDS = {"estate_plans": ("nation", "n_nationkey", "true"), "estate_providers": ("supplier", "s_suppkey", "true"), "estate_pharmacies": ("supplier", "s_suppkey", "s_suppkey % 2 = 0"), "estate_diagnoses": ("part", "p_partkey", "p_partkey % 2 = 0"), "estate_procedures": ("part", "p_partkey", "p_partkey % 2 = 1"), "estate_members": ("customer", "c_custkey", "true"), "estate_coverages": ("customer", "c_custkey", "true"), "estate_claims_and_lines": ("orders", "o_orderkey", "true"), "estate_prescriptions": ("events", "event_id", "event_type = 'purchase'"), "estate_encounters_and_labs": ("events", "event_id", "event_type = 'click'"), "estate_partner_lab_feed": ("events", "event_id", "event_type = 'view'")}
-SEEDS |= {name: ("customer", "c_custkey", f"c_custkey % 40 = {k}") for k, name in enumerate(G.SCENARIOS)}
-ALL = G.ESTATE | G.SCENARIOS
+SEEDS = {name: ("customer", "c_custkey", f"c_custkey % 40 = {k}") for k, name in enumerate(G.SCENARIOS)}
+ALL = G.SCENARIOS
 
 
 def seeds(spark, sf_dir, name):
