@@ -1,7 +1,7 @@
 """Registry analytics: set-based jobs over snapshots of the registry's tables.
 
-Each job reads whole snapshots and returns rows to write as the next one; none updates
-in place.
+Each analysis reads whole snapshots; the jobs write what they change as the next
+snapshot of a table (``sources.snapshots``), and none updates in place.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.snapshots import Snapshot, SnapshotTable
+
 # Status changes that are allowed, by kind of record.
 VERSION_CHANGES = [("active", "expired"), ("active", "revoked"), ("active", "rolled_back"), ("rolled_back", "active"), ("rolled_back", "revoked"), ("expired", "revoked")]
 REPORT_CHANGES = [("draft", "processing"), ("processing", "certified"), ("processing", "failed"), ("certified", "published"), ("certified", "revoked"), ("published", "revoked")]
@@ -23,6 +25,30 @@ def retention_expiry(versions: DataFrame, as_of: str) -> DataFrame:
     return versions.where((F.col("status") == "active") & (F.col("expires_at") <= F.lit(as_of).cast("date"))).withColumn("status", F.lit("expired"))
 
 
+def expire_job(versions: SnapshotTable, as_of: str) -> Snapshot:
+    """The snapshot in which active versions whose time has come are expired."""
+    return versions.apply(retention_expiry(versions.rows(), as_of).select("version_id", "status"), "retention_expiry")
+
+
+def revoke_job(versions: SnapshotTable, revocations: DataFrame) -> Snapshot:
+    """The snapshot in which the allowed revocations hold; the first reason of a version by its text counts."""
+    found = revoke(versions.rows(), revocations).where("outcome = 'revoked'").groupBy("version_id").agg(F.min("reason").alias("revoked_reason"))
+    return versions.apply(found.withColumn("status", F.lit("revoked")), "apply_revocations")
+
+
+def rollback_job(versions: SnapshotTable, requests: SnapshotTable, commands: DataFrame) -> tuple[Snapshot, Snapshot]:
+    """The snapshots after the commands: versions left and taken up again, and where the requests point now."""
+    held = rollback(requests.rows(), versions.rows(), commands).select("version_id", F.col("new_status").alias("status"))
+    moves = valid_commands(requests.rows(), versions.rows(), commands).select("request_id", F.col("target").alias("version_id"))
+    return versions.apply(held, "rollback"), requests.apply(moves, "rollback")
+
+
+def refresh_job(requests: SnapshotTable, versions: DataFrame, policies: DataFrame, as_of: str) -> Snapshot:
+    """The snapshot in which due requests point at the latest active version and have their next date; failed ones stay."""
+    done = bulk_refresh(requests.rows(), versions, policies, as_of).where("outcome = 'success'")
+    return requests.apply(done.select("request_id", F.col("to_version").alias("version_id"), "next_refresh_at"), "bulk_refresh")
+
+
 def due_refreshes(requests: DataFrame, as_of: str) -> DataFrame:
     return requests.where((F.col("status") == "active") & (F.col("next_refresh_at") <= F.lit(as_of).cast("date")))
 
@@ -63,6 +89,12 @@ def bulk_refresh(requests: DataFrame, versions: DataFrame, policies: DataFrame,
     return due.select("request_id", "dataset_name", "to_version", F.when(failed, "failed").otherwise("success").alias("outcome"), F.when(failed, "no ACTIVE version").alias("error"), F.when(~failed, schedule).alias("next_refresh_at"))
 
 
+def valid_commands(requests: DataFrame, versions: DataFrame, commands: DataFrame) -> DataFrame:
+    """request_id, target, was of the commands that hold."""
+    state = versions.select("version_id", F.col("status").alias("old_status"))
+    return commands.join(requests.select("request_id", F.col("version_id").alias("was")), "request_id").join(state, F.col("target") == F.col("version_id")).where("old_status <> 'revoked' AND target <> was").select("request_id", "target", "was")
+
+
 def rollback(requests: DataFrame, versions: DataFrame, commands: DataFrame) -> DataFrame:
     """version_id, old_status, new_status of every version that the commands change.
 
@@ -71,7 +103,7 @@ def rollback(requests: DataFrame, versions: DataFrame, commands: DataFrame) -> D
     back; a rolled-back target becomes active.
     """
     state = versions.select("version_id", F.col("status").alias("old_status"))
-    valid = commands.join(requests.select("request_id", F.col("version_id").alias("was")), "request_id").join(state, F.col("target") == F.col("version_id")).where("old_status <> 'revoked' AND target <> was").select("request_id", "target", "was")
+    valid = valid_commands(requests, versions, commands)
     moved = requests.join(valid.select("request_id", "target"), "request_id", "left").select(F.coalesce("target", "version_id").alias("version_id"))
     left = state.join(valid.select(F.col("was").alias("version_id")).distinct(), "version_id", "left_semi").where("old_status = 'active'").join(moved, "version_id", "left_anti").withColumn("new_status", F.lit("rolled_back"))
     raised = state.join(valid.select(F.col("target").alias("version_id")).distinct(), "version_id", "left_semi").where("old_status = 'rolled_back'").withColumn("new_status", F.lit("active"))

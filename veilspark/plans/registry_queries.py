@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import registry as R
+from ..sources.shared import folder
+from ..sources.snapshots import SnapshotTable
 from .base import query, table
 
 AS_OF = "2024-01-20"
@@ -41,9 +43,20 @@ DAYS = "CASE {c} WHEN 'weekly' THEN coalesce({i}, 7) WHEN 'biweekly' THEN coales
 RESOLVED = "resolved AS (SELECT r.*, coalesce(o.cadence, d.cadence) AS policy_cadence, CASE WHEN o.cadence IS NOT NULL THEN o.interval_days ELSE d.interval_days END AS policy_interval FROM request r LEFT JOIN policy o ON o.environment = r.environment AND o.dataset_name = r.dataset_name LEFT JOIN policy d ON d.environment = r.environment AND d.dataset_name IS NULL)"
 
 
-@query("retention_expiry", f"{WITH} SELECT version_id, dataset_name, 'expired' AS status FROM version WHERE status = 'active' AND expires_at <= DATE '{AS_OF}'")
+def snapshots(spark, sf_dir, name, key, **more) -> SnapshotTable:
+    """A registry table as the first snapshot of a table of its own."""
+    return SnapshotTable.create(spark, folder(spark, f"registry-{name}"), load(spark, sf_dir, name).withColumns(more), key, buckets=16)
+
+
+_EXPIRED = f"CASE WHEN status = 'active' AND expires_at <= DATE '{AS_OF}' THEN 'expired' ELSE status END"
+
+
+@query("retention_expiry", f"{WITH} SELECT version_id, dataset_name, {_EXPIRED} AS status FROM version")
 def retention_expiry(spark, sf_dir):
-    return R.retention_expiry(load(spark, sf_dir, "version"), AS_OF).select("version_id", "dataset_name", "status")
+    """The next snapshot of all versions, as it is read back."""
+    versions = snapshots(spark, sf_dir, "version", "version_id")
+    R.expire_job(versions, AS_OF)
+    return versions.rows().select("version_id", "dataset_name", "status")
 
 
 @query("due_refreshes", f"{WITH} SELECT request_id, environment, dataset_name FROM request WHERE status = 'active' AND next_refresh_at <= DATE '{AS_OF}'")
@@ -66,22 +79,40 @@ def cadence_next_refresh(spark, sf_dir):
     return load(spark, sf_dir, "request").select("request_id", R.next_refresh(F.col("cadence"), F.col("interval_days"), F.lit(AS_OF).cast("date")).alias("next_refresh_at"))
 
 
-@query("bulk_refresh_plan", f"{WITH}, {LATEST}, {RESOLVED} SELECT request_id, r.dataset_name, l.version_id AS to_version, CASE WHEN l.version_id IS NULL THEN 'failed' ELSE 'success' END AS outcome, CASE WHEN l.version_id IS NULL THEN 'no ACTIVE version' END AS error, CASE WHEN l.version_id IS NOT NULL THEN DATE '{AS_OF}' + {DAYS.format(c='policy_cadence', i='policy_interval')} END AS next_refresh_at FROM resolved r LEFT JOIN latest l ON l.dataset_name = r.dataset_name WHERE status = 'active' AND next_refresh_at <= DATE '{AS_OF}'")
+_PLAN = f"plan AS (SELECT request_id, r.dataset_name, l.version_id AS to_version, CASE WHEN l.version_id IS NULL THEN 'failed' ELSE 'success' END AS outcome, CASE WHEN l.version_id IS NULL THEN 'no ACTIVE version' END AS error, CASE WHEN l.version_id IS NOT NULL THEN DATE '{AS_OF}' + {DAYS.format(c='policy_cadence', i='policy_interval')} END AS due FROM resolved r LEFT JOIN latest l ON l.dataset_name = r.dataset_name WHERE status = 'active' AND next_refresh_at <= DATE '{AS_OF}')"
+
+
+@query("bulk_refresh_plan", f"{WITH}, {LATEST}, {RESOLVED}, {_PLAN} SELECT r.request_id, r.dataset_name, CASE WHEN p.outcome = 'success' THEN p.to_version ELSE r.version_id END AS version_id, CASE WHEN p.outcome = 'success' THEN p.due ELSE r.next_refresh_at END AS next_refresh_at, p.outcome, p.error FROM request r LEFT JOIN plan p ON p.request_id = r.request_id")
 def bulk_refresh_plan(spark, sf_dir):
-    return R.bulk_refresh(load(spark, sf_dir, "request"), load(spark, sf_dir, "version"), load(spark, sf_dir, "policy"), AS_OF)
+    """The next snapshot of all requests, with the outcome of those that were due."""
+    requests = snapshots(spark, sf_dir, "request", "request_id")
+    versions, policies = load(spark, sf_dir, "version"), load(spark, sf_dir, "policy")
+    plan = R.bulk_refresh(requests.rows(), versions, policies, AS_OF).select("request_id", "outcome", "error")
+    R.refresh_job(requests, versions, policies, AS_OF)
+    return requests.rows().join(plan, "request_id", "left").select("request_id", "dataset_name", "version_id", "next_refresh_at", "outcome", "error")
 
 
 _FIRST = "first_command AS (SELECT request_id, min(target) AS target FROM command GROUP BY request_id)"
 
 
-@query("rollback_plan", f"""{WITH}, {_FIRST},
-valid AS (SELECT c.request_id, c.target, r.version_id AS was FROM first_command c JOIN request r ON r.request_id = c.request_id JOIN version v ON v.version_id = c.target WHERE v.status <> 'revoked' AND c.target <> r.version_id),
-moved AS (SELECT coalesce(v.target, r.version_id) AS version_id FROM request r LEFT JOIN valid v ON v.request_id = r.request_id)
-SELECT version_id, status AS old_status, 'rolled_back' AS new_status FROM version WHERE status = 'active' AND version_id IN (SELECT was FROM valid) AND version_id NOT IN (SELECT version_id FROM moved)
-UNION ALL SELECT version_id, status, 'active' FROM version WHERE status = 'rolled_back' AND version_id IN (SELECT target FROM valid)""")
+def rolled_sql(version: str) -> str:
+    """valid: the commands that hold against a table of versions; rolled: the versions that they change."""
+    return f"""valid AS (SELECT c.request_id, c.target, r.version_id AS was FROM first_command c JOIN request r ON r.request_id = c.request_id JOIN {version} v ON v.version_id = c.target WHERE v.status <> 'revoked' AND c.target <> r.version_id),
+moved AS (SELECT coalesce(v.target, r.version_id) AS version_id FROM request r LEFT JOIN valid v ON v.request_id = r.request_id),
+rolled AS (SELECT version_id, 'rolled_back' AS new_status FROM {version} WHERE status = 'active' AND version_id IN (SELECT was FROM valid) AND version_id NOT IN (SELECT version_id FROM moved)
+UNION ALL SELECT version_id, 'active' FROM {version} WHERE status = 'rolled_back' AND version_id IN (SELECT target FROM valid))"""
+
+
+def first_commands(spark, sf_dir):
+    return load(spark, sf_dir, "command").groupBy("request_id").agg(F.min("target").alias("target"))
+
+
+@query("rollback_plan", f"{WITH}, {_FIRST}, {rolled_sql('version')} SELECT v.version_id, v.status AS old_status, coalesce(r.new_status, v.status) AS new_status FROM version v LEFT JOIN rolled r ON r.version_id = v.version_id")
 def rollback_plan(spark, sf_dir):
-    first = load(spark, sf_dir, "command").groupBy("request_id").agg(F.min("target").alias("target"))
-    return R.rollback(load(spark, sf_dir, "request"), load(spark, sf_dir, "version"), first)
+    """All versions in the snapshot before the commands and in the one after."""
+    versions, requests = snapshots(spark, sf_dir, "version", "version_id"), snapshots(spark, sf_dir, "request", "request_id")
+    R.rollback_job(versions, requests, first_commands(spark, sf_dir))
+    return versions.rows(1).select("version_id", F.col("status").alias("old_status")).join(versions.rows().select("version_id", F.col("status").alias("new_status")), "version_id")
 
 
 @query("request_dedup", f"{WITH} SELECT environment, dataset_name, min(consumer_request_id) AS consumer_request_id FROM consumer_request c WHERE NOT EXISTS (SELECT 1 FROM request r WHERE r.environment = c.environment AND r.dataset_name = c.dataset_name) GROUP BY environment, dataset_name")
@@ -110,9 +141,31 @@ def consumer_requests_eligible(spark, sf_dir):
     return R.eligible(load(spark, sf_dir, "consumer_request"), load(spark, sf_dir, "policy_version")).select("consumer_request_id", "accepted")
 
 
-@query("apply_revocations", f"{WITH} SELECT r.version_id, reason, CASE WHEN v.status IS NULL THEN 'unknown version' WHEN trim(reason) = '' THEN 'no reason' WHEN v.status IN ('active', 'expired', 'rolled_back') THEN 'revoked' ELSE 'not from ' || v.status END AS outcome FROM revocation r LEFT JOIN version v ON v.version_id = r.version_id")
+_OUTCOMES = "outcomes AS (SELECT r.version_id, reason, CASE WHEN v.status IS NULL THEN 'unknown version' WHEN trim(reason) = '' THEN 'no reason' WHEN v.status IN ('active', 'expired', 'rolled_back') THEN 'revoked' ELSE 'not from ' || v.status END AS outcome FROM revocation r LEFT JOIN {0} v ON v.version_id = r.version_id)"
+
+
+@query("apply_revocations", f"{WITH}, {_OUTCOMES.format('version')} SELECT coalesce(v.version_id, o.version_id) AS version_id, CASE WHEN o.outcome = 'revoked' THEN 'revoked' ELSE v.status END AS status, CASE WHEN o.outcome = 'revoked' THEN o.reason END AS revoked_reason, o.outcome FROM version v FULL JOIN outcomes o ON o.version_id = v.version_id")
 def apply_revocations(spark, sf_dir):
-    return R.revoke(load(spark, sf_dir, "version"), load(spark, sf_dir, "revocation"))
+    """All versions in the next snapshot, and the outcome of every revocation, those of unknown versions too."""
+    versions = snapshots(spark, sf_dir, "version", "version_id", revoked_reason=F.lit(None).cast("string"))
+    asked = load(spark, sf_dir, "revocation")
+    outcomes = R.revoke(versions.rows(), asked).select("version_id", "outcome")
+    R.revoke_job(versions, asked)
+    return versions.rows().select("version_id", "status", "revoked_reason").join(outcomes, "version_id", "full")
+
+
+@query("snapshot_chain", f"{WITH}, {_FIRST}, one AS (SELECT * REPLACE ({_EXPIRED} AS status) FROM version), {_OUTCOMES.format('one')}, two AS (SELECT v.* REPLACE (CASE WHEN o.outcome = 'revoked' THEN 'revoked' ELSE v.status END AS status) FROM one v LEFT JOIN outcomes o ON o.version_id = v.version_id), {rolled_sql('two')} SELECT v.version_id, v.status AS status_1, one.status AS status_2, two.status AS status_3, coalesce(r.new_status, two.status) AS status_4 FROM version v JOIN one ON one.version_id = v.version_id JOIN two ON two.version_id = v.version_id LEFT JOIN rolled r ON r.version_id = v.version_id")
+def snapshot_chain(spark, sf_dir):
+    """Expiry, then revocations, then rollbacks on one table: every version in each of its four snapshots."""
+    versions = snapshots(spark, sf_dir, "version", "version_id", revoked_reason=F.lit(None).cast("string"))
+    requests = snapshots(spark, sf_dir, "request", "request_id")
+    R.expire_job(versions, AS_OF)
+    R.revoke_job(versions, load(spark, sf_dir, "revocation"))
+    R.rollback_job(versions, requests, first_commands(spark, sf_dir))
+    out = versions.rows(1).select("version_id", F.col("status").alias("status_1"))
+    for k in (2, 3, 4):
+        out = out.join(versions.rows(k).select("version_id", F.col("status").alias(f"status_{k}")), "version_id")
+    return out
 
 
 @query("policy_draft_conflicts", f"{WITH} SELECT policy_version_id, policy_name, version FROM policy_version d WHERE status = 'draft' AND EXISTS (SELECT 1 FROM policy_version p WHERE p.status <> 'draft' AND p.policy_name = d.policy_name AND p.version = d.version)")

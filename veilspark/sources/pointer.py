@@ -43,6 +43,23 @@ def read(spark: SparkSession, root: str) -> str | None:
         stream.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file; one that is there already is an error."""
+    p, fs = _path(spark, path)
+    out = fs.create(p, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    p, fs = _path(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def swap(spark: SparkSession, root: str, folder: str, expected: str | None = "") -> None:
     """Make ``folder`` the one that readers see: a file beside the pointer is renamed over it.
 
