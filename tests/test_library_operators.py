@@ -104,14 +104,15 @@ def test_leaks_are_the_same_at_every_size(spark, monkeypatch):
     assert sorted(r.i for r in gates.leaks(texts, "t", raw, "v").collect()) == want
 
 
-def test_validation_report_sees_a_leak_of_any_member(spark, monkeypatch):
-    from veilspark.plans import QUERIES, quality_queries
-
-    plain = quality_queries.masked
-    leaky = lambda s, d, e: quality_queries.entity(s, d, e).where("member_id % 50 = 4") if e == "member" else plain(s, d, e)
-    monkeypatch.setattr(quality_queries, "masked", leaky)
-    got = {r.check_name: r.passed for r in QUERIES["masking_validation_report"](spark, "/root/testdata/sf0.001").collect()}
-    assert got["leaks"] is False
+def test_a_leak_of_any_member_is_seen_in_any_table(spark):
+    from veilspark.plans import quality_queries
+
+    SF = "/root/testdata/sf0.001"
+    raw = quality_queries.entity(spark, SF, "member")
+    frames = {"member": quality_queries.masked(spark, SF, "member"), "other": raw.where("member_id % 50 = 4").select("member_id", F.concat(F.lit("note of "), "name").alias("note"))}
+    cells = gates.text_cells(frames)
+    found = gates.leaks(cells, "text", raw, "name").select("entity", "column_name", "text").collect()
+    assert {(x.entity, x.column_name) for x in found} == {("other", "note")} and len(found) == frames["other"].count() > 0
 
 
 def test_gates_fail_when_they_should(spark):

@@ -192,7 +192,7 @@ def validate(run: Run) -> DataFrame:
     checks = [one("consistency", G.inconsistent(pairs)), one("collisions", G.collisions(pairs)), one("foreign", held.join(pairs, ["scope", "masked"], "left_anti"))]
     if run.terms.secrets:
         raw = union([run.subset[e].select(F.col(c).cast("string").alias("raw")) for e, c in run.terms.secrets])
-        texts = union([df.select(F.explode(F.array_distinct(F.array(*(c for c, t in df.dtypes if t == "string" and c not in TAGS)))).alias("text")) for df in base.values() if any(t == "string" and c not in TAGS for c, t in df.dtypes)])
+        texts = G.text_cells(base, TAGS)
         checks.append(one("leaks", G.leaks(texts, "text", raw, "raw")))
     return run.put(union(checks), "validation")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..functions.keyed import hmac_hex
 LEAK_BYTES = 8 << 20
 #: Characters of the pieces from which grams are taken.
 PIECE = 256
+#: Texts of one gram above which they are dealt out.
+HOT_GRAM = 20_000
 
 
 def gate(df: DataFrame, name: str, passed: Column, detail: Column) -> DataFrame:
@@ -41,13 +45,42 @@ def grams(text: str, size: int) -> Column:
     return F.when(F.length(text) >= size, F.flatten(F.transform(pieces, each)))
 
 
+def text_cells(frames: dict[str, DataFrame], without: tuple[str, ...] = ()) -> DataFrame:
+    """entity, column_name, text: the distinct cells of all text columns of all tables."""
+    parts = []
+    for name, df in frames.items():
+        texts = [c for c, t in df.dtypes if t == "string" and c not in without]
+        if texts:
+            cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("text")) for c in texts))
+            parts.append(df.select(F.lit(name).alias("entity"), F.inline(cells)).where("text IS NOT NULL").distinct())
+    return reduce(DataFrame.unionByName, parts)
+
+
+def gram_pairs(whole: DataFrame, values: DataFrame, n: int) -> DataFrame:
+    """__of, raw_value: texts that have the gram by which a value of at least n characters is looked for.
+
+    An index counts every gram in the texts and in the values.  A value with a gram that
+    no text has is in no text; each other one is looked for by the gram that the fewest
+    texts have.  Texts of a gram above HOT_GRAM are dealt out over parts, and the values
+    of such a gram go to each part.
+    """
+    held = whole.select("__of", F.explode(F.array_distinct(grams("__text", n))).alias("__gram"))
+    own = values.withColumn("__grams", F.array_distinct(grams("raw_value", n))).select("raw_value", F.size("__grams").alias("__size"), F.explode("__grams").alias("__gram"))
+    index = held.groupBy("__gram").agg(F.count("*").alias("__texts")).join(own.groupBy("__gram").agg(F.count("*").alias("__values")), "__gram")
+    best = own.join(index, "__gram").groupBy("raw_value").agg(F.count("*").alias("__found"), F.max("__size").alias("__size"), F.min(F.struct("__texts", "__values", "__gram")).alias("__best"))
+    keyed = best.where("__found = __size").select("raw_value", F.col("__best.__gram").alias("__gram"), F.ceil(F.col("__best.__texts") / HOT_GRAM).cast("int").alias("__parts"))
+    needed = keyed.select("__gram", "__parts").distinct()
+    texts = held.join(needed, "__gram").select("__of", "__gram", F.pmod(F.xxhash64("__of"), F.col("__parts")).cast("int").alias("__part"))
+    asked = keyed.select("raw_value", "__gram", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"))
+    return texts.join(asked, ["__gram", "__part"]).select("__of", "raw_value")
+
+
 def leaks(texts: DataFrame, text: str, raw: DataFrame, value: str, shortest: int = 4) -> DataFrame:
     """Rows of ``texts`` whose text contains a raw value of at least ``shortest`` characters, the empty one aside.
 
     The values are broadcast for the search only while their measured size is within
-    LEAK_BYTES.  Beyond it each value is looked for by one of its grams, that which the
-    fewest values have, among the grams of the texts; what meets is searched.  Both
-    ways find the same rows.
+    LEAK_BYTES; beyond it values and texts meet by an index of grams and are then
+    searched.  Both ways find the same rows.
     """
     shortest = max(1, shortest)
     values = raw.select(F.col(value).cast("string").alias("raw_value")).where(F.length("raw_value") >= shortest).distinct()
@@ -58,13 +91,8 @@ def leaks(texts: DataFrame, text: str, raw: DataFrame, value: str, shortest: int
     hits = []
     for n, above in ((shortest, 2 * shortest), (2 * shortest, 4 * shortest), (4 * shortest, None)):
         own = values.where(F.length("raw_value") >= n)
-        own = own.where(F.length("raw_value") < above) if above else own
-        own = own.select("raw_value", F.explode(F.array_distinct(grams("raw_value", n))).alias("__gram"))
-        rare = own.groupBy("__gram").agg(F.count("*").alias("__n"))
-        keyed = own.join(rare, "__gram").groupBy("raw_value").agg(F.min(F.struct("__n", "__gram"))["__gram"].alias("__gram"))
-        held = whole.select("__of", F.explode(F.array_distinct(grams("__text", n))).alias("__gram"))
-        hits.append(held.join(keyed, "__gram").select("__of", "raw_value"))
-    met = hits[0].unionByName(hits[1]).unionByName(hits[2]).distinct()
+        hits.append(gram_pairs(whole, own.where(F.length("raw_value") < above) if above else own, n))
+    met = reduce(DataFrame.unionByName, hits).distinct()
     found = whole.join(met, "__of").where(F.col("__text").contains(F.col("raw_value"))).select("__text").distinct()
     return texts.join(found, F.col(text) == F.col("__text"), "left_semi")
 

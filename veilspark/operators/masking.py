@@ -183,12 +183,3 @@ def quarantine(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n: values that could not be shifted, without the values."""
     sums = df.agg(*(F.count_if(F.col(c) == BAD_DATE).alias(c) for c in columns))
     return sums.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*columns))).alias("column", "n"))
-
-
-def extend_vault(vault: DataFrame, values: DataFrame, n: int = 12) -> DataFrame:
-    """The vault with a fresh random token for every value it lacks; known values keep theirs.
-
-    Tokens are random, so the result must be written once and read from there.
-    """
-    fresh = values.select("value").where("value IS NOT NULL").distinct().join(vault, "value", "left_anti")
-    return vault.unionByName(fresh.withColumn("token", F.concat(F.lit("TKN-"), F.upper(F.substring(F.regexp_replace(F.expr("uuid()"), "-", ""), 1, n)))))

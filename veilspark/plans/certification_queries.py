@@ -125,3 +125,22 @@ def certify_verdict(spark, sf_dir):
     """All twelve gates over one run without scenarios, with at most five orphans."""
     _, gates, _ = certified(spark, sf_dir, X.Terms(most_orphans=5, secrets=SECRETS))
     return G.certify(gates)
+
+
+@query("masking_validation_report", f"{_JUDGED}, found AS (SELECT 'consistency' AS check_name, (SELECT count(*) FROM (SELECT 1 FROM linked GROUP BY scope, original HAVING count(DISTINCT masked) > 1)) AS n_findings UNION ALL SELECT 'collisions', (SELECT count(*) FROM (SELECT 1 FROM linked GROUP BY scope, masked HAVING count(DISTINCT original) > 1)) UNION ALL SELECT 'foreign', (SELECT count(*) FROM linked WHERE masked IS NULL OR masked = original) UNION ALL SELECT 'leaks', (SELECT count(*) FROM shown WHERE EXISTS (SELECT 1 FROM raws WHERE contains(shown, raw)))) SELECT check_name, n_findings, n_findings = 0 AS passed FROM found")
+def masking_validation_report(spark, sf_dir):
+    """The checks of one masking run over all entities: every raw name against every masked text cell, linked ids both ways."""
+    run, _, _ = certified(spark, sf_dir, X.Terms(secrets=SECRETS))
+    return run.read(spark, "validation").select("check_name", "n_findings", (F.col("n_findings") == 0).alias("passed"))
+
+
+_WARNED = {e: " + ".join(f"CASE WHEN t_{c} = 'date_shift' AND m_{c} = '{M.BAD_DATE}' THEN 1 ELSE 0 END" for c in names(e)) for e in ESTATE}
+_RECORDS = " UNION ALL ".join(f"SELECT '{e}' AS entity, count(*) AS n_rows, CAST({len(names(e))} AS INT) AS n_columns, CAST(coalesce(sum({w}), 0) AS BIGINT) AS n_warnings FROM m_{e}" for e, w in _WARNED.items())
+
+
+@query("masking_summary", f"{_JUDGED}, records AS ({_RECORDS}), used AS (SELECT entity, technique, count(*) AS k FROM ruled_columns GROUP BY entity, technique) SELECT r.*, (SELECT string_agg(technique || ':' || CAST(k * n_rows AS VARCHAR), ',' ORDER BY technique) FROM used u WHERE u.entity = r.entity) AS techniques, 'default' AS policy_name, CAST(1 AS INT) AS policy_version, '1' AS engine_version, (SELECT count(*) FROM (SELECT 1 FROM linked GROUP BY scope, masked HAVING count(DISTINCT original) > 1)) = 0 AS validation_passed FROM records r")
+def masking_summary(spark, sf_dir):
+    """The record of a masking run over all entities, counted while the tables were written."""
+    run, _, _ = certified(spark, sf_dir, X.Terms(secrets=SECRETS))
+    used = F.array_join(F.transform(F.array_sort(F.map_entries("techniques")), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",")
+    return run.read(spark, "manifests/masking").select("entity", "n_rows", "n_columns", "n_warnings", used.alias("techniques"), "policy_name", "policy_version", "engine_version", "validation_passed")

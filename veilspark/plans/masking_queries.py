@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.keyed import hmac_sql, number_sql
 from ..operators import masking as M
 from ..operators import policy as P
-from ..sources.shared import stash
+from ..sources.shared import folder, stash
+from ..sources.vault import TokenVault
 from .base import KEY, ORACLES, QUERIES, WITH, entity, query, table
 
 MASKER = M.Masker(KEY, hidden=False)
@@ -130,13 +131,19 @@ def spark_claims_mask_job(spark, sf_dir):
     return stash(masked, "claims-masked").groupBy("status").agg(F.count("*").alias("n_rows"), F.countDistinct("member_id").alias("n_members"), F.min("member_id").alias("least"))
 
 
-@query("token_vault_table", f"{WITH}, v AS (SELECT DISTINCT member_id FROM claim) SELECT CAST(count(*) AS BIGINT) AS n_values, CAST(count_if(member_id % 2 = 0) AS BIGINT) AS n_kept, CAST(count(*) AS BIGINT) AS n_tokens, CAST(count(*) AS BIGINT) AS n_shaped FROM v")
+_VAULT_TOKEN = f"'TKN-' || upper(substr({hmac_sql('member_id', 'vault-0', KEY)}, 1, 12))"
+
+
+@query("token_vault_table", f"{WITH} SELECT CAST(member_id AS VARCHAR) AS value, {_VAULT_TOKEN} AS token, member_id % 2 = 0 AS known_before FROM (SELECT DISTINCT member_id FROM claim)")
 def token_vault_table(spark, sf_dir):
+    """The vault after two runs: members of even number first, then all; what the first run gave stays."""
+    vault = TokenVault(spark, folder(spark, "vault"), KEY, hidden=False, buckets=16)
     values = entity(spark, sf_dir, "claim").select(F.col("member_id").cast("string").alias("value"))
-    known = values.where("CAST(value AS BIGINT) % 2 = 0").distinct().withColumn("token", F.concat(F.lit("TKN-"), F.upper(F.substring(F.md5("value"), 1, 12))))
-    vault = stash(M.extend_vault(known, values), "vault")
-    kept = vault.join(known.withColumnRenamed("token", "old"), "value", "left")
-    return kept.agg(F.count("*").alias("n_values"), F.count_if(F.col("old") == F.col("token")).alias("n_kept"), F.countDistinct("token").alias("n_tokens"), F.count_if(F.col("token").rlike("^TKN-[0-9A-F]{12}$")).alias("n_shaped"))
+    vault.extend(values.where("CAST(value AS BIGINT) % 2 = 0"))
+    first = vault.by_value.rows().select("value", F.col("token").alias("before"))
+    vault.extend(values)
+    kept = vault.by_value.rows().join(first, "value", "left")
+    return kept.select("value", "token", F.coalesce(F.col("before") == F.col("token"), F.lit(False)).alias("known_before"))
 
 
 #: Tiers of the columns that are masked here.

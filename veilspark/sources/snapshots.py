@@ -95,6 +95,12 @@ class SnapshotTable:
         paths = [p for k, p in sorted(s.parts.items()) if buckets is None or k in buckets]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def near(self, keys: DataFrame, column: str | None = None) -> DataFrame:
+        """The rows of the partitions in which the keys of a frame lie; no other partition is read."""
+        s = self.current()[1]
+        touched = {r[0] for r in keys.select(self._bucket(s, column or s.key).alias(BUCKET)).distinct().collect()}  # at most ``buckets`` numbers
+        return self.rows(buckets=touched, snapshot=s)
+
     def apply(self, changes: DataFrame, job: str, insert: bool = False) -> Snapshot:
         """The next snapshot: rows whose key is among the changes get the changed columns.
 
