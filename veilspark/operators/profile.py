@@ -31,6 +31,8 @@ TIER = {"direct_identifier": "direct_identifier", "quasi_identifier": "quasi_ide
 STRATEGY = {"direct_identifier": "deterministic_tokenization", "quasi_identifier": "generalization", "sensitive_clinical_attribute": "synthetic_replacement", "non_sensitive": "passthrough"}
 RETENTION = {"direct_identifier": "extended", "phi": "extended", "quasi_identifier": "standard", "pii": "standard", "sensitive": "standard", "non_sensitive": "ephemeral"}
 REFERENCE = ("plan", "diagnosis", "procedure", "pharmacy", "provider")
+#: Code tables under another name are kept for reference too.
+CODE_TABLES = ("code",)
 NPI_ENTITIES, NPI_BOOST, DEFAULT = ("provider", "pharmacy"), 0.95, ("sensitive", 0.3)
 
 
@@ -54,7 +56,7 @@ def classify(entity: str, column: str, values_hit: set[str] = frozenset(), rules
 
 
 def retention(dataset: str, category: str) -> str:
-    return "persistent_reference" if dataset in REFERENCE else RETENTION[category]
+    return "persistent_reference" if dataset in REFERENCE + CODE_TABLES else RETENTION[category]
 
 
 def value_hits(df: DataFrame) -> DataFrame:

@@ -64,29 +64,35 @@ def detect(columns: DataFrame, name: Column | None = None) -> DataFrame:
 
 
 def classify(columns: DataFrame, rules: DataFrame, overrides: DataFrame, values: DataFrame | None = None) -> DataFrame:
-    """category, confidence and layer: override, else schema rule, else the surest detector, else the cautious default.
+    """category, confidence, layer, reason and confirmed_by: override, else schema rule, else the surest detector, else the cautious default.
 
-    ``rules`` and ``overrides`` are (entity, column_name, category), one row a column;
-    ``values`` are further detections by what columns hold, as ``detect`` returns them.
+    ``rules`` are (entity, column_name, category), ``overrides`` too, both one row a
+    column and with reason where they have one; overrides may go by source as well, and
+    say who confirmed them.  ``values`` are further detections by what columns hold, as
+    ``detect`` returns them.
     """
     hits = detect(columns) if values is None else detect(columns).unionByName(values)
-    best = hits.groupBy(*KEYS).agg(F.min_by(F.struct("category", "confidence"), F.struct(-F.col("confidence"), F.col("number"))).alias("__best"))
+    best = hits.groupBy(*KEYS).agg(F.min_by(F.struct("category", "confidence", "detector"), F.struct(-F.col("confidence"), F.col("number"))).alias("__best"))
     known = columns.join(best, KEYS, "left")
+    text = lambda frame, c: (F.col(c) if c in frame.columns else F.lit(None)).cast("string")
     for frame, own in ((rules, "__rule"), (overrides, "__override")):
-        known = known.join(F.broadcast(frame.select(*KEYS, F.col("category").alias(own))), KEYS, "left")  # written by hand, one row a column
+        by = [*KEYS, *(["source"] if "source" in frame.columns else [])]
+        known = known.join(frame.select(*by, F.struct("category", text(frame, "reason").alias("reason"), text(frame, "confirmed_by").alias("confirmed_by")).alias(own)), by, "left")
     given = F.coalesce("__override", "__rule")
     return known.withColumns({
-        "category": F.coalesce(given, F.col("__best.category"), F.lit(D.DEFAULT[0])),
+        "category": F.coalesce(given["category"], F.col("__best.category"), F.lit(D.DEFAULT[0])),
         "confidence": F.when(given.isNotNull(), 1.0).otherwise(F.coalesce("__best.confidence", F.lit(D.DEFAULT[1]))),
         "layer": F.when(F.col("__override").isNotNull(), "override").when(F.col("__rule").isNotNull(), "schema").when(F.col("__best").isNotNull(), "pattern").otherwise("default"),
+        "reason": F.coalesce(given["reason"], F.concat(F.lit("detector "), F.col("__best.detector")), F.when(given.isNull(), "no rule and no detector")),
+        "confirmed_by": F.col("__override.confirmed_by"),
     }).drop("__best", "__rule", "__override")
 
 
 def catalog(classified: DataFrame, owners: DataFrame) -> DataFrame:
     """tier, strategy, owner and retention of classified columns; ``owners`` is (source, owner)."""
     tiers = rule_table(classified, [(c, t, D.STRATEGY[t], D.RETENTION[c]) for c, t in D.TIER.items()], "category string, tier string, strategy string, __retention string")
-    named = classified.join(tiers, "category", "left").join(F.broadcast(owners), "source", "left")
-    return named.withColumn("retention", F.when(F.col("entity").isin(*D.REFERENCE), "persistent_reference").otherwise(F.col("__retention"))).drop("__retention")
+    named = classified.join(tiers, "category", "left").join(owners, "source", "left")
+    return named.withColumn("retention", F.when(F.col("entity").isin(*D.REFERENCE, *D.CODE_TABLES), "persistent_reference").otherwise(F.col("__retention"))).drop("__retention")
 
 
 def look_up(columns: DataFrame, catalogued: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import certification as X
 from ..operators import rules as R
+from ..operators import schema_rules as S
 from ..sources.shared import stash
 from .base import ESTATE, WITH, entity, names, query
 from .masking_queries import TIERS
@@ -132,14 +134,31 @@ def catalog_lookup_join(spark, sf_dir):
     return shown(R.look_up(every.drop("tier"), written), F.col("scope"))
 
 
-@query("schema_rules", f"{_CLASSES} SELECT c.entity, c.column_name, coalesce(r.category, '') AS resolved, n_values FROM cols c LEFT JOIN ruled r ON r.entity = c.entity AND r.column_name = c.column_name")
+#: Columns that no row of the linked estate fills.
+_UNFILLED = {("member", "term_date"), ("claim", "coverage_id"), ("claim_line", "revenue_code")}
+_SCHEMA_SQL = ", ".join(f"('{e}', '{c}', '{k}', '{S.reason(c, k)}')" for e, rules in S.SCHEMA.items() for c, k in rules)
+
+
+@query("schema_rules", f"SELECT e AS entity, c AS column_name, k AS category, r AS reason, NOT ({' OR '.join(f'e = {chr(39)}{e}{chr(39)} AND c = {chr(39)}{c}{chr(39)}' for e, c in sorted(_UNFILLED))}) AND (SELECT count(*) FROM customer) > 0 AS filled FROM (VALUES {_SCHEMA_SQL}) v(e, c, k, r)")
 def schema_rules(spark, sf_dir):
-    return shown(columns(spark, sf_dir).join(F.broadcast(frame(spark, RULES, ("entity", "column_name", "category"))), R.KEYS, "left"), F.coalesce("category", F.lit("")))
+    """Every column of the fourteen entities with its rule, profiled over the linked estate at the size of the given tables."""
+    from .estate_queries import made
+
+    profiled = X.profile(made(spark, sf_dir).frames(), {})
+    classes = R.classify(profiled, S.table(spark), S.overrides(spark).where("false"), X.value_detections(profiled))
+    return classes.where("layer = 'schema'").select("entity", "column_name", "category", "reason", (F.col("n_values") > 0).alias("filled"))
+
+
+_OVERRIDES_SQL = ", ".join(f"('{s}', '{e}', '{c}', '{k}', '{w}')" for s, e, c, k, _, w in [*S.OVERRIDES, *((SOURCE_OF[e], e, c, k, "", "steward") for e, c, k in OVERRIDES)])
 
 
-@query("manual_overrides", f"{_CLASSES} SELECT c.entity, c.column_name, coalesce(o.category, '') AS resolved, n_values FROM cols c LEFT JOIN overridden o ON o.entity = c.entity AND o.column_name = c.column_name")
+@query("manual_overrides", f"{WITH}, {ALL_COLS}, given(source, entity, column_name, category, confirmed_by) AS (VALUES {_OVERRIDES_SQL}) SELECT c.source, c.entity, c.column_name, o.category, o.confirmed_by, c.n_values FROM cols c JOIN given o ON o.source = c.source AND o.entity = c.entity AND o.column_name = c.column_name")
 def manual_overrides(spark, sf_dir):
-    return shown(columns(spark, sf_dir).join(F.broadcast(frame(spark, OVERRIDES, ("entity", "column_name", "category"))), R.KEYS, "left"), F.coalesce("category", F.lit("")))
+    """The columns of the estate that a steward has decided, by source, entity and column; those of other sources do not count."""
+    given = [*((s, e, c, k, r, w) for s, e, c, k, r, w in S.OVERRIDES), *((SOURCE_OF[e], e, c, k, "reviewed", "steward") for e, c, k in OVERRIDES), ("partner", "provider", "provider_name", "non_sensitive", "of another source", "nobody")]
+    every = X.profile({e: entity(spark, sf_dir, e) for e in ESTATE}, SOURCE_OF)
+    decided = R.classify(every, S.table(spark).where("false"), spark.createDataFrame(given, S.overrides(spark).schema))
+    return decided.where("layer = 'override'").select("source", "entity", "column_name", "category", "confirmed_by", "n_values")
 
 
 @query("npi_entity_boost", f"{_CLASSES}, hits AS (SELECT c.entity, c.column_name, max(CASE WHEN detector = 'npi' AND lower(trim(c.entity)) IN ('provider', 'pharmacy') THEN 0.95 ELSE confidence END) AS best FROM cols c JOIN detectors ON regexp_matches(CASE WHEN column_name = 'provider_id' THEN 'npi' ELSE column_name END, pattern, 'i') GROUP BY c.entity, c.column_name) SELECT c.entity, c.column_name, coalesce(CAST(CAST(best AS DECIMAL(3, 2)) AS VARCHAR), '') AS resolved, n_values FROM cols c LEFT JOIN hits h ON h.entity = c.entity AND h.column_name = c.column_name")
@@ -160,7 +179,7 @@ def tier_by_category(spark, sf_dir):
     return shown(R.catalog(classified(spark, sf_dir).drop("tier"), frame(spark, OWNERS, ("source", "owner"))), F.col("tier"))
 
 
-@query("build_catalog", f"{_CLASSES} SELECT c.entity, c.column_name, concat_ws('|', c.category, t.strategy, o.owner, CASE WHEN c.entity IN ('plan', 'diagnosis', 'procedure', 'pharmacy', 'provider') THEN 'persistent_reference' ELSE t.retention END) AS resolved, n_values FROM classified c JOIN tiers t ON t.category = c.category JOIN owners o ON o.source = c.source")
+@query("build_catalog", f"{_CLASSES} SELECT c.entity, c.column_name, concat_ws('|', c.category, t.strategy, o.owner, CASE WHEN c.entity IN ('plan', 'diagnosis', 'procedure', 'pharmacy', 'provider', 'code') THEN 'persistent_reference' ELSE t.retention END) AS resolved, n_values FROM classified c JOIN tiers t ON t.category = c.category JOIN owners o ON o.source = c.source")
 def build_catalog(spark, sf_dir):
     """The catalog of all columns, written and read back."""
     made = R.catalog(classified(spark, sf_dir).drop("tier"), frame(spark, OWNERS, ("source", "owner")))
