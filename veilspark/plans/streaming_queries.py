@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import masking as M
 from ..sources.shared import folder
+from ..streaming import arrivals as A
 from ..streaming import streams as S
 from .base import WITH, query, table
 from .masking_queries import MASKER, SCOPE, token_sql
@@ -45,3 +46,22 @@ def stream_replays(spark, sf_dir):
 def stream_masking(spark, sf_dir):
     """The batch masking expressions, unchanged, on a stream."""
     return _stream(spark, sf_dir, lambda s: s.select("event_id", M.token(MASKER.digest(F.col("user_id"), SCOPE)).alias("member")), "masking")
+
+
+#: Three deliveries of member records: all; some again and some changed; some again after the state's time limit, and some changed once more.
+_DELIVERIES = [("2024-01-01", "true", "c_mktsegment"), ("2024-01-20", "c_custkey % 7 = 0 OR c_custkey % 5 = 0", "CASE WHEN c_custkey % 5 = 0 THEN 'moved' ELSE c_mktsegment END"), ("2025-01-01", "c_custkey % 3 = 0", "CASE WHEN c_custkey % 30 = 0 THEN 'left' WHEN c_custkey % 5 = 0 THEN 'moved' ELSE c_mktsegment END")]
+_ARRIVED = " UNION ALL ".join(f"SELECT c_custkey AS member_id, {segment} AS segment, TIMESTAMP '{day} 00:00:00' AS delivered FROM customer WHERE {where}" for day, where, segment in _DELIVERIES)
+
+
+@query("stream_versions", f"WITH arrived AS ({_ARRIVED}), changed AS (SELECT *, lag(segment) OVER (PARTITION BY member_id ORDER BY delivered) AS was FROM arrived) SELECT member_id, arg_max(segment, delivered) AS segment, max(delivered) AS since FROM changed WHERE was IS DISTINCT FROM segment GROUP BY member_id")
+def stream_versions(spark, sf_dir):
+    """The newest contents of every member and since when, after three micro-batches with replays and new versions."""
+    customer = table(spark, sf_dir, "customer")
+    source = folder(spark, "arrivals-in")
+    for day, where, segment in _DELIVERIES:
+        rows = customer.where(where).select(F.col("c_custkey").alias("member_id"), F.expr(segment).alias("segment"), F.lit(f"{day} 00:00:00").cast("timestamp").alias("delivered"))
+        rows.coalesce(1).write.mode("append").parquet(source)
+    schema = spark.read.parquet(source).schema
+    kept = A.sink(spark, folder(spark, "arrivals-table"), schema, "member_id", 16)
+    A.run(spark, source, schema, "member_id", ["member_id", "segment"], "delivered", kept, folder(spark, "arrivals-state"), files=1)
+    return kept.rows().select("member_id", "segment", F.col("delivered").alias("since"))
