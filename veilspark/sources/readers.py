@@ -17,13 +17,27 @@ def empty(spark: SparkSession, schema: StructType | str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def key_bounds(spark: SparkSession, url: str, table: str, key: str) -> tuple[int, int] | None:
+    """The least and the largest key, asked of the database; none for an empty table."""
+    named = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    found = spark.read.format("jdbc").options(url=url, query=f"SELECT min({named}) AS low, max({named}) AS high FROM {table}").load().first()
+    return None if found[0] is None else (int(found[0]), int(found[1]))
+
+
 def read_relational(spark: SparkSession, root: str, table: str, schema: StructType, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 32) -> DataFrame:
-    """A relational table: by JDBC in key ranges where ``root`` is a JDBC URL, else its Parquet export."""
+    """A relational table: by JDBC where ``root`` is a JDBC URL, else its Parquet export.
+
+    With a numeric ``key`` the database is read in as many ranges as ``partitions`` says,
+    between ``bounds`` or the bounds that it states itself.  Filters and columns are
+    pushed down; names and types are those of ``schema``.
+    """
     if root.startswith("jdbc:"):
         options = {"url": root, "dbtable": table}
+        bounds = bounds or (key_bounds(spark, root, table, key) if key else None)
         if key and bounds:
-            options |= {"partitionColumn": key, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(partitions)}
-        return spark.read.format("jdbc").options(**options).load()
+            options |= {"partitionColumn": key, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1] + 1), "numPartitions": str(partitions)}
+        types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        return spark.read.format("jdbc").options(**options, customSchema=types).load().select(*(F.col(f"`{c}`") for c in schema.names))
     path = f"{root}/{table}"
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else empty(spark, schema)
 

@@ -28,11 +28,19 @@ def write_drift_batches(claims: DataFrame, path: str, legacy: str) -> None:
     new.hint("rebalance", "batch").write.mode("append").partitionBy("batch").parquet(path)
 
 
-def write_relational(frames: dict[str, DataFrame], root: str) -> None:
-    """Each table in replace mode: by JDBC where ``root`` is a JDBC URL, else as Parquet; empty tables are skipped."""
+def write_relational(frames: dict[str, DataFrame], root: str, text: int | None = None, connections: int = 16, batch: int = 10_000) -> None:
+    """Each table in replace mode: by JDBC where ``root`` is a JDBC URL, else as Parquet; empty tables are skipped.
+
+    By JDBC at most ``connections`` tasks write at once.  Text columns have the type that
+    Spark's dialect of the database gives them, or with ``text`` are VARCHARs of so many
+    characters, where the dialect's own type takes no filters (one database refuses nulls
+    in such columns).
+    """
     for name, df in frames.items():
         if root.startswith("jdbc:"):
-            df.write.mode("overwrite").format("jdbc").options(url=root, dbtable=name).save()
+            types = ", ".join(f"{c} VARCHAR({text})" for c, t in df.dtypes if t == "string" and text)
+            options = {"url": root, "dbtable": name, "batchsize": str(batch), "numPartitions": str(connections), **({"createTableColumnTypes": types} if types else {})}
+            df.write.mode("overwrite").format("jdbc").options(**options).save()
         elif not df.isEmpty():
             df.write.mode("overwrite").parquet(f"{root}/{name}")
 
