@@ -10,7 +10,7 @@ from ..operators import closure as C
 from ..operators import gates as G
 from ..operators import profile as D
 from ..sources.shared import folder, stash
-from .base import KEY, ORACLES, QUERIES, WITH, entity, estate, names, query, table
+from .base import KEY, ORACLES, QUERIES, WITH, entity, names, query, table
 from .masking_queries import MASKER, masked, numeric_sql, token_sql
 from .metadata_queries import POLICY, RESOLVED, SOURCES, columns
 from ..operators import rules
@@ -78,7 +78,7 @@ def links(spark, sf_dir) -> DataFrame:
     return D.union_all([entity(spark, sf_dir, e).select(F.lit(s).alias("scope"), F.col(c).cast("string").alias("original"), token(c, s).alias("masked")) for s, e, c in LINKED])
 
 
-@query("linkage_consistency", f"{WITH}, {LINKS_SQL} SELECT scope, CAST(count(DISTINCT original) AS BIGINT) AS n_originals, CAST(0 AS BIGINT) AS n_inconsistent FROM links GROUP BY scope")
+@query("linkage_consistency", f"{WITH}, {LINKS_SQL} SELECT scope, CAST(count(*) AS BIGINT) AS n_originals, CAST(count_if(n > 1) AS BIGINT) AS n_inconsistent FROM (SELECT scope, original, count(DISTINCT masked) AS n FROM links GROUP BY scope, original) GROUP BY scope")
 def linkage_consistency(spark, sf_dir):
     pairs = links(spark, sf_dir).groupBy("scope", "original").agg(F.countDistinct("masked").alias("n"))
     return pairs.groupBy("scope").agg(F.count("*").alias("n_originals"), F.count_if(F.col("n") > 1).alias("n_inconsistent"))
@@ -101,7 +101,10 @@ def leak_check_theta_join(spark, sf_dir):
     return G.leaks(texts, "text", c.select("c_name").union(table(spark, sf_dir, "supplier").select("s_name")), "c_name").select("c_custkey")
 
 
-@query("mean_ratio_profile", f"{WITH}, m AS (SELECT billed, {numeric_sql('billed', hmac_sql('claim_id', 'amount', KEY))} AS masked FROM claim) SELECT count(billed) AS source_n, CAST(sum(CAST(round(billed * 100) AS BIGINT)) AS BIGINT) / 100 / count(billed) AS source_mean, CAST(count_if(billed <> 0) AS BIGINT) AS source_nonzero, count(masked) AS masked_n, CAST(sum(CAST(round(masked * 100) AS BIGINT)) AS BIGINT) / 100 / count(masked) AS masked_mean, CAST(count_if(masked <> 0) AS BIGINT) AS masked_nonzero FROM m")
+_PROFILE = f"{WITH}, m AS (SELECT billed, {numeric_sql('billed', hmac_sql('claim_id', 'amount', KEY))} AS masked FROM claim) SELECT count(billed) AS source_n, CAST(sum(CAST(round(billed * 100) AS BIGINT)) AS BIGINT) / 100 / count(billed) AS source_mean, CAST(count_if(billed <> 0) AS BIGINT) AS source_nonzero, count(masked) AS masked_n, CAST(sum(CAST(round(masked * 100) AS BIGINT)) AS BIGINT) / 100 / count(masked) AS masked_mean, CAST(count_if(masked <> 0) AS BIGINT) AS masked_nonzero FROM m"
+
+
+@query("mean_ratio_profile", _PROFILE)
 def mean_ratio_profile(spark, sf_dir):
     from .masking_queries import synth_numeric
 
@@ -172,28 +175,25 @@ def gate_row_count_reconciliation(spark, sf_dir, both=None):
     return G.gate(short, "row_count_reconciliation", F.col("n") == 0, F.col("n"))
 
 
-@query("gate_distribution_shape", "SELECT 'distribution_shape' AS gate, true AS passed, 'compared' AS detail FROM (SELECT count(*) FROM orders)")
+@query("gate_distribution_shape", f"SELECT 'distribution_shape' AS gate, least(source_n, masked_n) < 5 OR masked_nonzero > 0 AND greatest(abs(source_mean), abs(masked_mean)) <= 10 * greatest(least(abs(source_mean), abs(masked_mean)), 1e-12) AS passed, CASE WHEN least(source_n, masked_n) < 5 THEN 'few values' ELSE 'compared' END AS detail FROM ({_PROFILE})")
 def gate_distribution_shape(spark, sf_dir):
     return G.mean_ratio(mean_ratio_profile(spark, sf_dir))
 
 
-@query("gate_manifest_generation", "SELECT 'manifest_generation' AS gate, false AS passed, 'synthetic' AS detail FROM (SELECT count(*) FROM orders)")
+_TYPES = ["signup", "view", "click", "purchase", "error", "refund"]
+
+
+@query("gate_manifest_generation", f"WITH expected(manifest) AS (VALUES {', '.join(f'({t!r})' for t in _TYPES)}), missing AS (SELECT manifest FROM expected WHERE manifest NOT IN (SELECT event_type FROM events)) SELECT 'manifest_generation' AS gate, count(*) = 0 AS passed, coalesce(string_agg(manifest, ',' ORDER BY manifest), '') AS detail FROM missing")
 def gate_manifest_generation(spark, sf_dir):
-    """Two of three expected manifests are written from the counts; the third is missing."""
+    """A manifest of counts is written for every kind of event that there is; those of expected kinds must be on disk."""
     root = folder(spark, "manifests")
-    counts = entity_counts(spark, sf_dir)
-    for n in ("subset", "masking"):
-        counts.coalesce(1).write.json(f"{root}/{n}")
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").format("binaryFile").load(root).select(F.regexp_extract("path", r"/(\w+)/part-[^/]*$", 1).alias("manifest")).distinct()
-    expected = spark.createDataFrame([("subset",), ("masking",), ("synthetic",)], "manifest string")
+    table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("manifest")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users")).write.partitionBy("manifest").json(root)
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").format("binaryFile").load(root).select(F.regexp_extract("path", r"/manifest=(\w+)/part-[^/]*$", 1).alias("manifest")).distinct()
+    expected = spark.createDataFrame([(t,) for t in _TYPES], "manifest string")
     missing = expected.join(found, "manifest", "left_anti").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("manifest")), ",").alias("names"))
     return G.gate(missing, "manifest_generation", F.col("n") == 0, F.col("names"))
 
 
-def entity_counts(spark, sf_dir):
-    return C.row_counts(estate(spark, sf_dir), LOGICAL)
-
-
 @query("gate_policy_version_recorded", f"{REGISTRY_WITH} SELECT 'policy_version_recorded' AS gate, count_if(policy_name = '' OR policy_version < 1) = 0 AS passed, CAST(count(*) AS VARCHAR) AS detail FROM version")
 def gate_policy_version_recorded(spark, sf_dir):
     sums = registry(spark, sf_dir, "version").agg(F.count("*").alias("n"), F.count_if((F.col("policy_name") == "") | (F.col("policy_version") < 1)).alias("bad"))

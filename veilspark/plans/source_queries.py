@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import readers as R
 from ..sources import writers as W
+from ..sources.snapshots import SnapshotTable
 from ..sources.shared import folder
 from .base import ESTATE, ORACLES, QUERIES, WITH, entity, query
 from .masking_queries import MASKER, TIERS, ids, ids_sql
@@ -233,15 +234,23 @@ def run_complete_marker(spark, sf_dir):
     return spark.read.parquet(root).agg(F.count("*").alias("n_rows")).withColumns({"complete": F.lit(R.is_complete(spark, root)), "absent_complete": F.lit(R.is_complete(spark, f"{root}-none"))})
 
 
-def _catalog(spark, sf_dir):
+@query("catalog_sink", f"{REGISTRY_WITH} SELECT source_system, dataset, column_name, category FROM catalog")
+def catalog_sink(spark, sf_dir):
+    """The catalog as one JSON object a column, read back by its schema."""
     df, root = registry(spark, sf_dir, "catalog").select("source_system", "dataset", "column_name", "category"), folder(spark, "catalog")
     W.write_ndjson(df, root)
     return spark.read.schema(df.schema).json(root)
 
 
-for _key in ("catalog_sink", "catalog_scan"):
-    QUERIES[_key] = _catalog
-    ORACLES[_key] = f"{REGISTRY_WITH} SELECT source_system, dataset, column_name, category FROM catalog"
+@query("catalog_scan", f"{REGISTRY_WITH} SELECT source_system, dataset, column_name, category, CASE WHEN confirmed_by IS NULL AND confidence >= 0.9 THEN 'second run' ELSE confirmed_by END AS confirmed_by FROM catalog")
+def catalog_scan(spark, sf_dir):
+    """A catalog that one run wrote and another confirmed in part, as a third finds it by its folder alone."""
+    root = folder(spark, "catalog")
+    first = registry(spark, sf_dir, "catalog").select("source_system", "dataset", "column_name", "category", "confidence", "confirmed_by")
+    SnapshotTable.create(spark, root, first, "column_name", buckets=16)
+    second = SnapshotTable(spark, root)
+    second.apply(second.rows().where("confirmed_by IS NULL AND confidence >= 0.9").select("column_name", F.lit("second run").alias("confirmed_by")), "confirm")
+    return SnapshotTable(spark, root).rows().drop("confidence")
 
 
 @query("manifest_scan", f"{REGISTRY_WITH} SELECT CASE WHEN version_id % 2 = 0 THEN 'subset' ELSE 'masking' END AS kind, count(*) AS n_manifests, CAST(sum(total_rows) AS BIGINT) AS n_rows FROM version GROUP BY 1")
