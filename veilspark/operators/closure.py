@@ -59,8 +59,14 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).cast("string").alias("value")).where("value IS NOT NULL").distinct()
 
 
+#: Columns that name the rows of their hop, so that they repeat little and need no shuffle to be distinct.
+NAMING = {("anchor", "member_id"), ("member", "member_id"), ("claim", "claim_id")}
+
+
 def key_union(frames: dict[str, DataFrame], sources: tuple[tuple[str, str], ...], name: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [keys_of(frames[s], c, name) for s, c in sources]).distinct()
+    """The keys that a hop follows, for a semi join; those that repeat much once each."""
+    keys = reduce(DataFrame.unionByName, [keys_of(frames[s], c, name) for s, c in sources])
+    return keys if set(sources) <= NAMING else keys.distinct()
 
 
 #: Hops whose rows later hops or several checks read.

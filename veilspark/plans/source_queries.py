@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from ..sources import readers as R
 from ..sources import writers as W
@@ -131,12 +132,7 @@ def partner(spark, sf_dir):
 def partner_feed(spark, v1, v2):
     root = folder(spark, "partner")
     W.write_partner_feed(v1, v2, root)
-    one = spark.read.option("header", True).option("sep", "|").schema(", ".join(f"{c} string" for c in v1.columns)).csv(f"{root}/v1")
-    one = one.select(*(F.col(c).cast(t).alias(c) for c, t in v1.dtypes), F.col("_metadata.file_name").alias("source_file"))
-    whole = spark.read.option("wholetext", True).text(f"{root}/v2").select("value", F.col("_metadata.file_name").alias("source_file"))
-    lines = whole.select(F.explode(F.split(F.trim("value"), r"\n")).alias("value"), "source_file")
-    two = lines.select(F.explode(F.from_json("value", f"array<{v2.schema.simpleString()}>")).alias("r"), "source_file").select("r.*", "source_file")
-    return one, two
+    return R.read_partner_feed(spark, root, dict(v1.dtypes), v2.schema, old="*.csv", new="*.txt", lines=True)
 
 
 _FEED = "SELECT lab_id, pat_id AS member_id, result, 'v1' AS shape FROM lab_partner_v1 UNION ALL SELECT lab_id, member_id, result, 'v2' FROM lab_partner_v2"
@@ -164,6 +160,19 @@ def partner_two_shape_sink(spark, sf_dir):
     return v1.select("lab_id", F.col("pat_id").cast("string").alias("member"), F.lit("v1").alias("shape")).unionByName(v2.select("lab_id", F.col("member_id").cast("string").alias("member"), F.lit("v2").alias("shape")))
 
 
+_PAYLOAD = "CASE event_id % 17 WHEN 3 THEN '{\"lab_id\":' || CAST(event_id AS VARCHAR(20)) || '}' WHEN 5 THEN '[{\"lab_id\":' WHEN 7 THEN '[]' ELSE '[{\"lab_id\":' || CAST(event_id AS VARCHAR(20)) || '},{\"lab_id\":' || CAST(event_id AS VARCHAR(20)) || '}]' END"
+
+
+@query("partner_refused_payloads", "SELECT CASE WHEN event_id % 17 = 3 THEN 'no array' WHEN event_id % 17 = 5 THEN 'broken' ELSE 'accepted' END AS reason, CAST(sum(CASE event_id % 17 WHEN 3 THEN 1 WHEN 5 THEN 1 WHEN 7 THEN 0 ELSE 2 END) AS BIGINT) AS n FROM events GROUP BY 1")
+def partner_refused_payloads(spark, sf_dir):
+    """Deliveries of which some are no array or broken: rows of the good ones, and the others counted by reason."""
+    root = folder(spark, "payloads")
+    spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(_PAYLOAD).alias("value")).write.text(root)
+    rows, lost = R.accepted(R.payloads(spark, root, "*.txt", lines=True), StructType().add("lab_id", LongType()))
+    count = lambda df, c: df.groupBy(c.alias("reason")).agg(F.count("*").alias("n"))
+    return count(rows, F.lit("accepted")).unionByName(count(lost, F.col("reason")))
+
+
 def sink_whole(spark, sf_dir) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """All entities but the partner feed written in the shapes of their sources; all frames, and the folder of each."""
     frames, roots = {n: entity(spark, sf_dir, n) for n in ESTATE}, {n: folder(spark, f"estate-{n}") for n in ESTATE}

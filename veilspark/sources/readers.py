@@ -58,18 +58,35 @@ def read_csv_strings(spark: SparkSession, path: str, columns: list[str]) -> Data
     return spark.read.option("header", True).schema(StructType([StructField(c, StringType()) for c in columns])).csv(path)
 
 
-def read_partner_feed(spark: SparkSession, root: str, v1: dict[str, str], v2: StructType) -> tuple[DataFrame, DataFrame]:
-    """(pipe-delimited v1 rows, JSON-array v2 rows), each with the file it came from.
+def payloads(spark: SparkSession, root: str, glob: str = "*.json", lines: bool = False) -> DataFrame:
+    """value and source_file of every payload below ``root``: a file each, or with ``lines`` a line each, which lets large files be cut."""
+    found = spark.read.option("wholetext", not lines).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(root)
+    return found.select("value", F.col("_metadata.file_name").alias("source_file")).where("trim(value) <> ''")
 
-    ``v1`` maps the abbreviated names to their types.  A v2 file that holds no array
-    gives no rows.
+
+def accepted(found: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows of the payloads that are JSON arrays, payloads that are none): refused ones keep their text, file and reason."""
+    is_array = F.ltrim("value").startswith("[")
+    parsed = found.withColumn("__rows", F.when(is_array, F.from_json("value", f"array<{schema.simpleString()}>")))
+    rows = parsed.where("__rows IS NOT NULL").select(F.explode("__rows").alias("r"), "source_file").select("r.*", "source_file")
+    why = F.when(is_array, "broken").otherwise("no array")
+    return rows, parsed.where("__rows IS NULL").select("value", "source_file", why.alias("reason"))
+
+
+def read_partner_feed(spark: SparkSession, root: str, v1: dict[str, str], v2: StructType, old: str = "*.txt", new: str = "*.json", lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(pipe-delimited v1 rows, JSON-array v2 rows), each with the file it came from; ``refused`` tells of the other payloads.
+
+    ``v1`` maps the abbreviated names to their types.
     """
     text = StructType([StructField(c, StringType()) for c in v1])
-    one = spark.read.option("header", True).option("sep", "|").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).schema(text).csv(root)
+    one = spark.read.option("header", True).option("sep", "|").option("pathGlobFilter", old).option("recursiveFileLookup", True).schema(text).csv(root)
     one = one.select(*(F.col(c).cast(t).alias(c) for c, t in v1.items()), F.col("_metadata.file_name").alias("source_file"))
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(root).select("value", F.col("_metadata.file_name").alias("source_file"))
-    rows = whole.where(F.ltrim("value").startswith("[")).select(F.explode(F.from_json("value", f"array<{v2.simpleString()}>")).alias("r"), "source_file")
-    return one, rows.select("r.*", "source_file")
+    return one, accepted(payloads(spark, root, new, lines), v2)[0]
+
+
+def refused(spark: SparkSession, root: str, v2: StructType, new: str = "*.json", lines: bool = False) -> DataFrame:
+    """value, source_file, reason of the v2 payloads that give no rows."""
+    return accepted(payloads(spark, root, new, lines), v2)[1]
 
 
 def read_manifests(spark: SparkSession, root: str, pattern: str, schema: StructType) -> DataFrame:
