@@ -178,7 +178,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound:
     """doc_id, held_out, score (the chance of label 1) and predicted of every document.
 
     Null and empty texts are bags of one empty passage; without a labelled row every
-    score is 0.5.  Repeated rows repeat their result.
+    score is 0.5.  Repeated rows repeat their result.  An id that is labelled several
+    times has its largest label, and of its texts one is learnt from.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, bound))  # a few thousand numbers
 
