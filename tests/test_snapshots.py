@@ -56,6 +56,8 @@ def test_keys_that_the_table_lacks(spark, table):
 def test_nothing_to_do_makes_no_snapshot(spark, table):
     assert table.apply(table.rows().limit(0).select("id", "status"), "none").number == 1
     assert len(table.history()) == 1
+    with pytest.raises(ValueError, match="no snapshot 2"):
+        table.rows(2)
 
 
 def test_refused_changes(spark, table):

@@ -159,12 +159,10 @@ def snapshot_chain(spark, sf_dir):
     """Expiry, then revocations, then rollbacks on one table: every version in each of its four snapshots."""
     versions = snapshots(spark, sf_dir, "version", "version_id", revoked_reason=F.lit(None).cast("string"))
     requests = snapshots(spark, sf_dir, "request", "request_id")
-    R.expire_job(versions, AS_OF)
-    R.revoke_job(versions, load(spark, sf_dir, "revocation"))
-    R.rollback_job(versions, requests, first_commands(spark, sf_dir))
-    out = versions.rows(1).select("version_id", F.col("status").alias("status_1"))
-    for k in (2, 3, 4):
-        out = out.join(versions.rows(k).select("version_id", F.col("status").alias(f"status_{k}")), "version_id")
+    chain = [versions.current()[1], R.expire_job(versions, AS_OF), R.revoke_job(versions, load(spark, sf_dir, "revocation")), R.rollback_job(versions, requests, first_commands(spark, sf_dir))[0]]  # a job without changes gives the snapshot before
+    out = load(spark, sf_dir, "version").select("version_id")
+    for k, snapshot in enumerate(chain, 1):
+        out = out.join(versions.rows(snapshot=snapshot).select("version_id", F.col("status").alias(f"status_{k}")), "version_id")
     return out
 
 

@@ -88,9 +88,15 @@ class SnapshotTable:
             out.append(s)
         return out
 
+    def _numbered(self, number: int) -> Snapshot:
+        for s in self.history():
+            if s.number == number:
+                return s
+        raise ValueError(f"no snapshot {number} below {self.root}")
+
     def rows(self, number: int | None = None, buckets: set[int] | None = None, snapshot: Snapshot | None = None) -> DataFrame:
         """The rows of the current snapshot, of one by number, or of some of its partitions."""
-        s = snapshot or (self.current()[1] if number is None else next(x for x in self.history() if x.number == number))
+        s = snapshot or (self.current()[1] if number is None else self._numbered(number))
         schema = StructType.fromJson(json.loads(s.schema))
         paths = [p for k, p in sorted(s.parts.items()) if buckets is None or k in buckets]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
