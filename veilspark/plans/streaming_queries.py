@@ -57,11 +57,11 @@ _ARRIVED = " UNION ALL ".join(f"SELECT c_custkey AS member_id, {segment} AS segm
 def stream_versions(spark, sf_dir):
     """The newest contents of every member and since when, after three micro-batches with replays and new versions."""
     customer = table(spark, sf_dir, "customer")
-    source = folder(spark, "arrivals-in")
+    source, state = folder(spark, "arrivals-in"), folder(spark, "arrivals-state")
+    kept = None
     for day, where, segment in _DELIVERIES:
         rows = customer.where(where).select(F.col("c_custkey").alias("member_id"), F.expr(segment).alias("segment"), F.lit(f"{day} 00:00:00").cast("timestamp").alias("delivered"))
-        rows.coalesce(1).write.mode("append").parquet(source)
-    schema = spark.read.parquet(source).schema
-    kept = A.sink(spark, folder(spark, "arrivals-table"), schema, "member_id", 16)
-    A.run(spark, source, schema, "member_id", ["member_id", "segment"], "delivered", kept, folder(spark, "arrivals-state"), files=1)
+        rows.write.mode("append").parquet(source)
+        kept = kept or A.sink(spark, folder(spark, "arrivals-table"), rows.schema, "member_id", 16)
+        A.run(spark, source, rows.schema, "member_id", ["member_id", "segment"], "delivered", kept, state, files=10_000)
     return kept.rows().select("member_id", "segment", F.col("delivered").alias("since"))
