@@ -13,3 +13,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables
 def test_policies_of_a_key_come_together(spark):
     plan = QUERIES["policy_version_join"](spark, SF)._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_every_column_with_what_a_steward_decided(spark):
+    got = QUERIES["manual_overrides"](spark, SF).collect()
+    assert len(got) > 50 and sorted((r.entity, r.column_name) for r in got if r.category) == [("lab_ehr", "result"), ("provider", "provider_name")]
