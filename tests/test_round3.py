@@ -18,3 +18,9 @@ def test_policies_of_a_key_come_together(spark):
 def test_every_column_with_what_a_steward_decided(spark):
     got = QUERIES["manual_overrides"](spark, SF).collect()
     assert len(got) > 50 and sorted((r.entity, r.column_name) for r in got if r.category) == [("lab_ehr", "result"), ("provider", "provider_name")]
+
+
+@pytest.mark.parametrize("name, columns, least", [("estate_coverages", 8, 200), ("estate_claims_and_lines", 22, 900), ("estate_partner_lab_feed", 13, 15)])
+def test_the_estate_comes_by_its_rows(spark, name, columns, least):
+    df = QUERIES[name](spark, SF)
+    assert len(df.columns) == columns and df.count() >= least

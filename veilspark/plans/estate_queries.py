@@ -118,18 +118,18 @@ def estate_members(spark, sf_dir):
     ])
 
 
-@query("estate_coverages", laws_sql([("coverage", "members_with", f"p - {share('p', 0.05)}"), ("coverage", "beyond_two", "0"), ("coverage", "gaps", "0"), ("coverage", "unresolved_member_id", "0"), ("coverage", "unresolved_plan_id", "0")]))
-def estate_coverages(spark, sf_dir):
+@query("coverage_laws", laws_sql([("coverage", "members_with", f"p - {share('p', 0.05)}"), ("coverage", "beyond_two", "0"), ("coverage", "gaps", "0"), ("coverage", "unresolved_member_id", "0"), ("coverage", "unresolved_plan_id", "0")]))
+def coverage_laws(spark, sf_dir):
     e = made(spark, sf_dir)
     each = e.coverage.groupBy("member_id").agg(F.count("*").alias("k"), F.max(tail("coverage_id")).alias("last"))
     return union([facts("coverage", each, {"members_with": F.count("*"), "beyond_two": F.count_if(F.col("k") > 2), "gaps": F.max("last") - F.sum("k")}), lost(e.frames(), "coverage")])
 
 
-@query("estate_claims_and_lines", laws_sql([
+@query("claim_laws", laws_sql([
     *(("claim", f"members_{c}", share("p", r)) for c, r in (("orphan_member", 0.02), ("orphan_provider", 0.02), ("malformed", 0.03), ("late", 0.04), ("no_lines", 0.05), ("twice", 0.015))),
     ("claim", "gaps", "0"), ("claim", "paid_above_billed", "0"), ("claim_line", "phantom_claims_beyond_two_percent", "0"), ("claim_line", "phantom_claims_unresolved", "0"), ("claim_line", "uneven_lines", "0"), ("claim_line", "unresolved_procedure_code", "0"),
 ]))
-def estate_claims_and_lines(spark, sf_dir):
+def claim_laws(spark, sf_dir):
     e = made(spark, sf_dir)
     f = e.frames()
     phantom = F.count_if(tail("claim_id") >= L.PHANTOM_CLAIM)
@@ -160,7 +160,114 @@ def estate_encounters_and_labs(spark, sf_dir):
     ])
 
 
-@query("estate_partner_lab_feed", laws_sql([("lab_result", "rows", "greatest(1, p // 10)"), ("lab_result", "old_shape", "(greatest(1, p // 10) + 2) // 3"), ("lab_result", "not_enrolled", "(greatest(1, p // 10) + 4) // 5"), ("lab_result", "unresolved_member_id", "(greatest(1, p // 10) + 4) // 5")]))
-def estate_partner_lab_feed(spark, sf_dir):
+@query("partner_lab_laws", laws_sql([("lab_result", "rows", "greatest(1, p // 10)"), ("lab_result", "old_shape", "(greatest(1, p // 10) + 2) // 3"), ("lab_result", "not_enrolled", "(greatest(1, p // 10) + 4) // 5"), ("lab_result", "unresolved_member_id", "(greatest(1, p // 10) + 4) // 5")]))
+def partner_lab_laws(spark, sf_dir):
     e = made(spark, sf_dir)
     return union([facts("lab_result", e.lab_partner, {"rows": F.count("*")}), planted(e, "lab_result"), lost(e.frames() | {"lab_result": e.lab_partner}, "lab_result").where("law = 'unresolved_member_id'")])
+
+
+# The rows themselves: SQL numbers the children of all members and draws every cell again.
+
+_PEOPLE = "people AS (SELECT m, p, unnest(range(p)) AS i FROM size)"
+_TODAY = "DATE '2025-09-30'"
+
+
+def hit_sql(case: str, rate: float) -> str:
+    """Whether person ``i`` is among the chosen ones: the affine permutation of the case, its factor the next one coprime to p."""
+    eight = lambda start: f"CAST(CAST('0x' || substr(sha256('{SEED}:{case}'), {start}, 16) AS UBIGINT) % CAST(p AS UBIGINT) AS HUGEINT)"
+    factor = f"list_filter(list_transform(range(0, 1000), lambda x: (greatest(1, {eight(1)}) - 1 + x) % p + 1), lambda y: gcd(y, CAST(p AS HUGEINT)) = 1)[1]"
+    return f"(((SELECT {factor} FROM size) * i + (SELECT {eight(17)} FROM size)) % p < least(p, {share('p', rate)}))"
+
+
+def keyed(tag: str, *keys: str) -> str:
+    return draw(tag, " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in keys))
+
+
+def pick_sql(entries: list, tag: str, *keys: str) -> str:
+    return f"[{', '.join('NULL' if x is None else repr(x) for x in entries)}][{keyed(tag, *keys)} % {len(entries)} + 1]"
+
+
+def money_sql(tag: str, low: int, high: int, *keys: str) -> str:
+    return f"(({low * 100} + {keyed(tag, *keys)} % {(high - low) * 100}) / 100)"
+
+
+def date_sql(tag: str, days: int, *keys: str) -> str:
+    return f"CAST({_TODAY} - CAST({keyed(tag, *keys)} % {days} AS INT) AS DATE)"
+
+
+def cents(e: str) -> str:
+    """Two places, half away from zero, of the number as it is written."""
+    return f"CAST(round(CAST(CAST(({e}) AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE)"
+
+
+def text(date: str) -> str:
+    return f"CAST(CAST({date} AS DATE) AS VARCHAR)"
+
+
+def children(name: str, fan: str, columns: str = "") -> str:
+    """i, j and the number through all people of every child, by one running sum."""
+    return f"{name} AS (SELECT *, before + j + 1 AS number FROM (SELECT *, unnest(range(fan)) AS j FROM (SELECT *, sum(fan) OVER (ORDER BY i) - fan AS before FROM (SELECT *, CAST({fan} AS BIGINT) AS fan FROM (SELECT *{columns} FROM people)))))"
+
+
+def sized(table: str) -> str:
+    return f"(SELECT count(*) FROM {table})"
+
+
+_MEMBER = number(6, "SYN-MBR-", "i + 1")
+_START = date_sql("coverage", 1095, "number")
+
+
+@query("estate_coverages", f"WITH {SIZE}, {_PEOPLE}, {children('rows', f'CASE WHEN none THEN 0 ELSE 1 + {keyed('coverages', 'i')} % 2 END', f', {hit_sql('no-coverage', 0.05)} AS none')} SELECT {number(6, 'SYN-COV-', 'number')} AS coverage_id, {_MEMBER} AS member_id, {number(4, 'SYN-PLN-', f'{keyed('plan', 'number')} % {sized('nation')} + 1')} AS plan_id, 'SYN-GRP-' || CAST({keyed('group', 'number')} % 9000 + 1000 AS VARCHAR) AS group_number, {text(_START)} AS effective_date, CASE WHEN {keyed('ends', 'number')} % 10 >= 6 THEN {text(f'{_START} + 365')} END AS term_date, 'active' AS coverage_status, CAST(1 AS BIGINT) AS row_version FROM rows")
+def estate_coverages(spark, sf_dir):
+    """Every coverage, all cells."""
+    return made(spark, sf_dir).coverage
+
+
+_CASES = {"orphan_member": ("claim-member", 0.02), "orphan_provider": ("claim-provider", 0.02), "malformed": ("claim-malformed", 0.03), "late": ("claim-late", 0.04), "no_lines": ("claim-no-lines", 0.05), "twice": ("claim-twice", 0.015), "code_hit": ("claim-code", 0.02)}
+_HITS = "".join(f", {hit_sql(c, r)} AS {k}" for k, (c, r) in _CASES.items())
+_ANY = "CASE WHEN orphan_member OR orphan_provider OR malformed OR late OR no_lines OR twice OR code_hit THEN 1 ELSE 0 END"
+_PRICED = f"""{children('numbered', f'{_ANY} + {keyed('claims', 'i')} % (greatest({_ANY}, 4) - {_ANY} + 1)', _HITS)},
+billed AS (SELECT *, {pick_sql(['paid', 'denied', 'pending', 'reversed'], 'claim-status', 'number')} AS status, {money_sql('billed', 50, 15_000, 'number')} AS billed FROM numbered),
+allowed AS (SELECT *, CASE WHEN status <> 'denied' THEN {cents(f'billed * (40 + {keyed('allowed', 'number')} % 56) / 100')} END AS allowed FROM billed),
+priced AS MATERIALIZED (SELECT *, {cents(f'allowed * (50 + {keyed('paid', 'number')} % 51) / 100')} AS paid, {date_sql('service', 730, 'number')} AS service FROM allowed),
+submitted AS (SELECT *, CAST(service + CAST({keyed('submitted', 'number')} % 30 + 1 AS INT) AS DATE) AS submitted FROM priced)"""
+_DIAGNOSIS = f"{keyed('diagnosis', 'number', 'line')} % {sized('part')}"
+_CODE = f"'SYN-' || chr(CAST(65 + {_DIAGNOSIS} // 100 % 26 AS INT)) || lpad(CAST({_DIAGNOSIS} % 100 AS VARCHAR), 2, '0') || '.' || CAST({_DIAGNOSIS} // 2600 AS VARCHAR)"
+_LINE_ID = f"{number(7, 'SYN-CLN-', 'number')} || '-' || CAST(line AS VARCHAR)"
+_CLAIM_ID = number(7, "SYN-CLM-", "number")
+_SERVICE = number(5, "SYN-", f"{keyed('procedure', 'number', 'line')} % {sized('part')} + 99000")
+_CLAIM_ROWS = f"""SELECT 'claim' AS entity, {_CLAIM_ID} AS claim_id, CASE WHEN orphan_member THEN {number(6, 'SYN-MBR-', f'i + p + {L.OFFSETS["claim"]}')} ELSE {_MEMBER} END AS member_id, CAST(NULL AS VARCHAR) AS coverage_id, CASE WHEN orphan_provider THEN '{L.NO_PROVIDER_OF_CLAIM}' ELSE {number(5, 'SYN-PRV-', f'{keyed("claim-by", "number")} % {sized("supplier")} + 1')} END AS provider_id,
+{pick_sql(['professional', 'institutional', 'pharmacy'], 'claim-type', 'number')} AS claim_type, status, {text('service')} AS service_date, {text('submitted')} AS submitted_date, CASE WHEN status IN ('paid', 'denied') THEN {text(f'submitted + CAST({keyed("adjudicated", "number")} % 10 + 1 AS INT)')} END AS adjudicated_date,
+billed AS billed_amount, allowed AS allowed_amount, CASE WHEN malformed THEN -abs(coalesce(paid, billed)) ELSE paid END AS paid_amount, CASE WHEN late THEN {text(f'{_TODAY} - CAST({keyed("seen-late", "number")} % 5 + 1 AS INT)')} ELSE {text(f'submitted + CAST({keyed("seen", "number")} % 3 + 1 AS INT)')} END AS source_extracted_at, CASE WHEN year(service) <= 2024 THEN 'claims-2024Q4' ELSE 'claims-2025Q1' END AS extract_batch_id,
+CAST(NULL AS VARCHAR) AS claim_line_id, CAST(NULL AS BIGINT) AS line_number, CAST(NULL AS VARCHAR) AS diagnosis_code, CAST(NULL AS VARCHAR) AS procedure_code, CAST(NULL AS BIGINT) AS units, CAST(NULL AS DOUBLE) AS charge_amount, CAST(NULL AS VARCHAR) AS revenue_code
+FROM (SELECT *, unnest(range(CASE WHEN twice THEN 2 ELSE 1 END)) FROM submitted)"""
+_LINES = f"lines AS (SELECT *, {cents('billed / n')} AS charge FROM (SELECT *, unnest(range(1, n + 1)) AS line FROM (SELECT *, {keyed('lines', 'number')} % 3 + 1 AS n FROM priced WHERE NOT no_lines)))"
+_PHANTOMS = f"phantoms AS (SELECT {L.PHANTOM_CLAIM} + unnest(range(greatest(1, CAST(floor((SELECT sum(CASE WHEN twice THEN 2 ELSE 1 END) FROM priced) * 0.02) AS BIGINT)))) AS number, 1 AS line)"
+
+
+def line_sql(code: str, units: str, charge: str, allowed: str, paid: str, of: str) -> str:
+    given = {"claim_id": _CLAIM_ID, "allowed_amount": allowed, "paid_amount": paid, "claim_line_id": _LINE_ID, "line_number": "line", "diagnosis_code": code, "procedure_code": _SERVICE, "units": units, "charge_amount": charge}
+    columns = ["claim_id", "member_id", "coverage_id", "provider_id", "claim_type", "status", "service_date", "submitted_date", "adjudicated_date", "billed_amount", "allowed_amount", "paid_amount", "source_extracted_at", "extract_batch_id", "claim_line_id", "line_number", "diagnosis_code", "procedure_code", "units", "charge_amount", "revenue_code"]
+    return f"SELECT 'claim_line', {', '.join(given.get(c, 'NULL') for c in columns)} FROM {of}"
+
+
+_REAL = line_sql(f"CASE WHEN code_hit AND NOT no_lines AND line = 1 THEN '{L.NO_DIAGNOSIS}' ELSE {_CODE} END", f"{keyed('units', 'number', 'line')} % 3 + 1", "charge", f"CASE WHEN allowed IS NOT NULL THEN {cents('charge * 0.8')} END", f"CASE WHEN paid IS NOT NULL OR malformed THEN {cents('charge * 0.7')} END", "lines")
+_LOST = line_sql(_CODE, "1", money_sql("phantom", 20, 500, "number"), "NULL", "NULL", "phantoms")
+
+
+@query("estate_claims_and_lines", f"WITH {SIZE}, {_PEOPLE}, {_PRICED}, {_LINES}, {_PHANTOMS} {_CLAIM_ROWS} UNION ALL {_REAL} UNION ALL {_LOST}")
+def estate_claims_and_lines(spark, sf_dir):
+    """Every claim and every line of claims, all cells of both tables."""
+    e = made(spark, sf_dir)
+    name = lambda df, n: df.select(F.lit(n).alias("entity"), "*")
+    return name(e.claim, "claim").unionByName(name(e.claim_line, "claim_line"), allowMissingColumns=True)
+
+
+_PARTNER_DATE = date_sql("partner-date", 730, "k")
+_TEST = lambda at: f"[{', '.join(repr(t[at]) for t in L.TESTS)}][{keyed('test', 'k')} % {len(L.TESTS)} + 1]"
+
+
+@query("estate_partner_lab_feed", f"WITH {SIZE} SELECT {number(7, 'SYN-LAB-P', 'k + 1')} AS lab_result_id, CAST(NULL AS VARCHAR) AS encounter_id, CASE WHEN k % 5 = 0 THEN {number(6, 'SYN-MBR-', f'k + p + {L.OFFSETS["partner"]}')} ELSE {number(6, 'SYN-MBR-', f'{keyed("partner", "k")} % p + 1')} END AS member_id, {_TEST(0)} AS test_code, {_TEST(1)} AS test_name, CAST({money_sql('partner-result', 50, 200, 'k')} AS VARCHAR) AS result_value, {_TEST(2)} AS result_unit, {_TEST(3)} AS reference_range, {pick_sql(['Normal', 'High', 'Low', None], 'flag', 'k')} AS abnormal_flag, {text(_PARTNER_DATE)} AS collected_date, {text(f'{_PARTNER_DATE} + 1')} AS resulted_date, 'partner_reference_lab' AS source, CASE WHEN k % 3 = 0 THEN 'v1' ELSE 'v2' END AS schema_version FROM (SELECT p, unnest(range(greatest(1, p // 10))) AS k FROM size)")
+def estate_partner_lab_feed(spark, sf_dir):
+    """Every row of the partner's feed, all cells."""
+    return made(spark, sf_dir).lab_partner
