@@ -9,6 +9,7 @@ fitted on a bounded sample of labelled rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,12 +163,18 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model | No
                 bounds = np.append(0, np.cumsum(count))
                 yield pa.RecordBatch.from_pydict({"x": pa.array([x[a : b : -(-(b - a) // PASSAGES_TO_FIT)].astype(np.float32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), "target": part.column("target")})
 
-    rows = sample_of(docs, labels, "quality", bound).mapInArrow(featurise, "x binary, target double").collect()
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (r.target, bytes(r.x)))
-    bags = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES).astype(float) for r in rows]
-    return fit(np.concatenate(bags), np.array([len(b) for b in bags]), np.array([r.target for r in rows]))
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(t, x) for b in batches for t, x in zip(b.column("target").to_pylist(), b.column("x").to_pylist(), strict=True)]
+        if rows:
+            rows.sort()
+            bags = [np.frombuffer(x, np.float32).reshape(-1, N_FEATURES).astype(float) for _, x in rows]
+            model = fit(np.concatenate(bags), np.array([len(b) for b in bags]), np.array([t for t, _ in rows]))
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # the bounded sample meets in one task; the driver gets the fitted numbers only
+    parts = sample_of(docs, labels, "quality", bound).mapInArrow(featurise, "x binary, target double")
+    found = parts.repartition(1).mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(bytes(found[0].model)) if found else None
 
 
 def scores(part: pa.RecordBatch, model: Model | None) -> np.ndarray:
