@@ -1,9 +1,12 @@
 import random
 import re
+from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
 from veilspark.llm import ngram_join
+from veilspark.llm.common import ensure_checkpoint_dir
 from veilspark.llm.components import components
 
 
@@ -116,3 +119,21 @@ def test_components_of_paths(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {7: 7, 9: 7}
     assert components(spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).collect() == []
+
+
+def test_components_of_few_edges_leave_few_files(spark):
+    """However many shuffle partitions there are, the rounds write as many files as their edges fill."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    ensure_checkpoint_dir(spark)
+    folder = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    before = set(folder.glob("rdd-*"))
+    try:
+        for k, v in zip(kept, ("48", "false"), strict=True):
+            spark.conf.set(k, v)
+        found = components(spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+        assert {(r.node, r.component) for r in found.collect()} == {(i, 0) for i in range(61)}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    files = sorted(len(list(f.glob("part-*"))) for f in set(folder.glob("rdd-*")) - before)
+    assert len(files) > 3 and files[-2] <= 2  # the last one: the edges as they came

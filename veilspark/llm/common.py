@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
 U = np.uint64
+#: Short rows (a few numbers each) that are worth a task of their own.
+ROWS_A_TASK = 10_000
 #: Separators of ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -55,6 +57,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of about ``rows`` short rows in no more partitions than these fill.
+
+    An empty task costs files and log lines too, and loops of small tables have many.
+    """
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``size`` bytes of text; a longer text is a run by itself."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

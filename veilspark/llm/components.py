@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few
 
 #: Rows of one key from which it counts as hot, and how many keys can be hot at most.
 LEAST_HOT, MOST_HOT = 100, 2000
@@ -33,24 +33,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200)
     """node, component (the smallest node reachable) for every node of an edge with two ends.
 
     ``edges`` holds pairs of longs.  Each round is a group-by and a join, materialised
-    in the shared folder; the number of rounds grows with the logarithm of the longest
-    path.  Repeated edges and loops do no harm; null ends are ignored.  Edges that are
-    not stars after ``rounds`` rounds are an error.
+    in the shared folder, in as many partitions as its edges fill; the number of rounds
+    grows with the logarithm of the longest path.  Repeated edges and loops do no harm;
+    null ends are ignored.  Edges that are not stars after ``rounds`` rounds are an error.
     """
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
     edges, before = cut(edges), None
     n_edges = edges.count()
+    edges = few(edges, n_edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every larger neighbour points to the least of the neighbourhood
         least = _least(both).select("u", F.least("u", "m").alias("m"), "n")
-        large = spread(both, least, "u", 2 * n_edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread(both, least, "u", 2 * n_edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = cut(few(few(large, n_edges).distinct(), n_edges))  # read three times
         # small star: every smaller neighbour, and the node, point to the least of them; after the
         # large star a node's smaller neighbours are the least ones of its neighbours, and few
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = _least(down)
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
+        edges = cut(few(few(small, n_edges).distinct(), n_edges))
         n_edges, digest = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n_edges, digest) == before:
             break

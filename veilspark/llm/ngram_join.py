@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import SPACE, U, Words, cut, flat, mix, pack, slices, text_bytes, unpack_all, windows
+from .common import SPACE, U, Words, cut, few, flat, mix, pack, slices, text_bytes, unpack_all, windows
 from .components import components, spread
 
 #: Words of a shingle; links need 100 * overlap >= 75 * union.
@@ -303,18 +303,19 @@ def link(ids: np.ndarray, sets: list[np.ndarray], weight: np.ndarray | None = No
 def linked(docs: DataFrame, families: DataFrame) -> DataFrame:
     """doc_id, root, links: components and weighed links inside every family (doc_id, one, family, n, weight)."""
     total, docs_in_all = families.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    families = few(families, docs_in_all)
     shards = max(12, -(-8 * total // (FAMILY_BYTES // 3)))
     band = F.floor(F.log(F.col("n").cast("double")) / BAND)
     size = families.groupBy("family").agg(F.sum("n").alias("size"), F.count("*").alias("n"))
     is_big = (8 * F.col("size") > FAMILY_BYTES) | (F.col("n") > FAMILY_DOCS)
-    size = cut(size.select("family", "n", is_big.alias("big")))
+    size = cut(few(size.select("family", "n", is_big.alias("big")), docs_in_all))
     n_big = size.where("big").count()
     kept = ["doc_id", "one", "weight", "family"]
     sized = spread(families.withColumn("band", band), size, "family", docs_in_all)
     placed = sized.where("NOT big").select(*kept, F.pmod(F.xxhash64("family"), F.lit(shards)).cast("string").alias("task"), F.lit("").alias("side"))
     if n_big:
         parts = F.ceil(F.greatest(8 * F.sum("n") / (FAMILY_BYTES // 3), F.count("*") / (FAMILY_DOCS // 3))).cast("int")
-        bands = cut(sized.where("big").groupBy("family", "band").agg(parts.alias("parts"), F.count("*").alias("n")))
+        bands = cut(few(sized.where("big").groupBy("family", "band").agg(parts.alias("parts"), F.count("*").alias("n")), docs_in_all))
         near = lambda d: bands.select("family", (F.col("band") - d).alias("band"), F.col("parts").alias(f"p{d}"))
         around = bands.join(near(1), ["family", "band"], "left").join(near(-1), ["family", "band"], "left")
         split = spread(sized.where("big").select(*kept, "band"), around, ["family", "band"], docs_in_all)
@@ -387,8 +388,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = classes.where("first IS NOT NULL").groupBy("first").agg(F.min(F.struct("one", "two", "n_shingles", "weight")).alias("x")).select("first", "x.*")
     keys = cut(candidates(docs).join(nodes.select(F.col("first").alias("doc_id"), "one"), ["doc_id", "one"], "left_semi"))
     meet = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    edges = spread(keys.select("key", "doc_id"), meet, "key", keys.count()).where("doc_id <> least").select("doc_id", "least").distinct()
-    family = components(edges, "doc_id", "least")
+    n_keys = keys.count()
+    edges = spread(keys.select("key", "doc_id"), meet, "key", n_keys).where("doc_id <> least").select("doc_id", "least")
+    family = components(few(edges, n_keys), "doc_id", "least")
     sized = family.join(nodes.select(F.col("first").alias("node"), "one", F.col("n_shingles").alias("n"), "weight"), "node")
     families = cut(sized.select(F.col("node").alias("doc_id"), "one", F.col("component").alias("family"), "n", "weight"))
     links = linked(docs, families).withColumnRenamed("doc_id", "first")
