@@ -60,4 +60,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200)
     else:
         raise RuntimeError(f"components: no end after {rounds} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    return few(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), 2 * n_edges)
